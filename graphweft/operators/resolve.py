@@ -109,19 +109,23 @@ def ideal_trees(requirements: DataFrame, strategy: str = "hoisted") -> DataFrame
     """(graph_id, location, name, version) for each graph. requirements:
     graph_id, owner, owner_version (both null for the root), name, type, spec."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        root, packages = [], {}
-        for owner, version, name, kind, spec in pdf[["owner", "owner_version", "name", "type", "spec"]].itertuples(index=False):
-            if owner is None or pd.isna(owner):
-                root.append((name, kind, spec))
-            else:
-                own = packages.setdefault((owner, version), [])
-                if name is not None and not pd.isna(name):
-                    own.append((name, kind, spec))
-        placed, _ = resolve(root, packages, strategy)
-        return pd.DataFrame([(pdf["graph_id"].iloc[0], *p) for p in placed], columns=["graph_id", "location", "name", "version"])
-
-    return requirements.groupBy("graph_id").applyInPandas(one, "graph_id string, location string, name string, version string")
+    def run(batches):
+        for b in batches:
+            out = []
+            for graph_id, wants in zip(b["graph_id"], b["wants"], strict=True):
+                root, packages = [], {}
+                for w in wants:
+                    if w["owner"] is None:
+                        root.append((w["name"], w["type"], w["spec"]))
+                    else:
+                        own = packages.setdefault((w["owner"], w["owner_version"]), [])
+                        if w["name"] is not None:
+                            own.append((w["name"], w["type"], w["spec"]))
+                out += [(graph_id, *p) for p in resolve(root, packages, strategy)[0]]
+            yield pd.DataFrame(out, columns=["graph_id", "location", "name", "version"])
+
+    wants = F.sort_array(F.collect_list(F.struct("owner", "owner_version", "name", "type", "spec"))).alias("wants")
+    return requirements.groupBy("graph_id").agg(wants).mapInPandas(run, "graph_id string, location string, name string, version string")
 
 
 def problem_edges(edges: DataFrame, update: list[str] | None = None, vulnerable: DataFrame | None = None) -> DataFrame:
