@@ -56,7 +56,7 @@ def expect_results(nodes: DataFrame, expected: bool | int) -> bool:
 def outdated(graph: Graph, edges: DataFrame | None = None, omit: tuple[str, ...] = ()) -> DataFrame:
     """(name, current, wanted, latest, dependent, type) of edges whose target
     isn't the best version that the spec lets in, or that isn't the newest.
-    The versions of a name are gathered to one row, then looked through."""
+    What a spec lets in is looked for once for each name and spec, not each edge."""
     e = (graph.edges if edges is None else edges).where(text.is_registry(text.spec_type(F.col("spec"))))
     for kind in omit:
         e = e.where(F.col("type") != kind)
@@ -64,9 +64,10 @@ def outdated(graph: Graph, edges: DataFrame | None = None, omit: tuple[str, ...]
     known = v.groupBy("name").agg(F.sort_array(F.collect_set(F.struct("v", "version")), asc=False).alias("all"))
     current = graph.nodes.select(F.col("location").alias("dst"), F.col("version").alias("current"))
     terms = semver.range_terms(e.select("spec"))
-    rows = e.join(known, "name").join(current, "dst", "left").join(terms, "spec", "left").where(F.col("current").isNotNull() | (F.col("type") == "prod"))
     wanted = F.filter("all", lambda x: semver.sv_satisfies(x["v"], F.col("terms")))
-    rows = rows.withColumn("wanted", F.try_element_at(wanted, F.lit(1))["version"]).withColumn("latest", F.col("all")[0]["version"])
+    asked = e.select("name", "spec").distinct().join(known, "name").join(terms, "spec")
+    best = asked.select("name", "spec", F.try_element_at(wanted, F.lit(1))["version"].alias("wanted"), F.col("all")[0]["version"].alias("latest"))
+    rows = e.join(best, ["name", "spec"]).join(current, "dst", "left").where(F.col("current").isNotNull() | (F.col("type") == "prod"))
     differs = F.col("current").isNull() | ~F.col("current").eqNullSafe(F.col("wanted")) | ~F.col("wanted").eqNullSafe(F.col("latest"))
     return rows.where(F.col("wanted").isNotNull() & differs).select("name", "current", "wanted", "latest", F.col("src").alias("dependent"), "type")
 
