@@ -3,14 +3,12 @@ tables written to the shared work folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphweft.storage import written
+
 #: Words of every contract that speaks of words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,32 +22,11 @@ def pick(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
-def work_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir). Only where it
-    is unset, as in tests, a local folder is made and set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            base = held.get()
-        else:
-            base = "file://" + tempfile.mkdtemp(prefix="graphweft-")
-            spark.sparkContext.setCheckpointDir(base)
-            base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return base.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage is cut and
     a lost executor costs only a reread."""
-    spark = df.sparkSession
-    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    path = written(df, name)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._gw_path = path
     return out
 
