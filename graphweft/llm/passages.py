@@ -1,6 +1,7 @@
 """Removal of passages that already stand in an earlier document.
 
-A window is `width` consecutive words. Every window is represented by the
+Of equal texts only the one with the smallest doc_id is looked into; all windows
+of the others begin there. A window is `width` consecutive words. Every window is represented by the
 smallest hash of the shorter phrases in it, so equal windows have equal
 anchors, and neighbouring windows mostly share theirs: only one row for each
 run of windows is counted. Anchors that stand in documents of two ids are
@@ -24,7 +25,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,15 +75,19 @@ def anchor_runs(words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray,
 def _anchors(batches, width: int):
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("h", pa.int64()), ("a", pa.int32()), ("n", pa.int32())])
     for b in batches:
-        ids, ths = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-        texts = b.column(2)
+        at = {name: b.schema.get_field_index(name) for name in ("doc_id", "th", "text", "copy")}
         for lo in range(0, b.num_rows, 512):
-            runs = [anchor_runs(t.encode().split(), width) for t in texts.slice(lo, 512).to_pylist()]
+            part = b.slice(lo, 512)
+            ids, ths, copies = (part.column(at[k]).to_pylist() for k in ("doc_id", "th", "copy"))
+            own = [k for k, d in enumerate(ids) if d is not None and not copies[k]]
+            texts = part.column(at["text"])
+            runs = [anchor_runs(texts[k].as_py().encode().split(), width) for k in own]
+            if not sum(len(r[0]) for r in runs):
+                continue
             times = [len(r[0]) for r in runs]
             h, a, n = (np.concatenate([r[k] for r in runs]) for k in range(3))
-            if len(h):
-                hi = lo + len(runs)
-                yield batch_of(schema, {"doc_id": np.repeat(ids[lo:hi], times), "th": np.repeat(ths[lo:hi], times), "h": h, "a": a.astype("i4"), "n": n.astype("i4")})
+            repeated = lambda xs: np.repeat(np.array([xs[k] for k in own], np.int64), times)
+            yield batch_of(schema, {"doc_id": repeated(ids), "th": repeated(ths), "h": h, "a": a.astype("i4"), "n": n.astype("i4")})
 
 
 def _segments(batches, width: int):
@@ -95,6 +100,8 @@ def _segments(batches, width: int):
             out: dict[str, list] = {f.name: [] for f in schema}
             add = [out[f.name].append for f in schema]
             for d, th, text, spots in zip(*(part.column(at[k]).to_pylist() for k in ("doc_id", "th", "text", "spots")), strict=True):
+                if not spots:
+                    continue
                 words = WORDS.findall(text)
                 done = set()
                 for spot in spots:
@@ -190,12 +197,22 @@ def covered(n_words: int, hits: list[dict] | None, width: int) -> np.ndarray:
 
 
 def repeats(keyed: DataFrame, width: int = 13, crowded: int = CROWDED, shard: int = SHARD) -> DataFrame:
-    """keyed (doc_id, th, text and any more) with `hits`: the windows of each
-    row that also begin in a document of a smaller doc_id, as (a, mask)."""
-    anchors = keyed.select("doc_id", "th", "text").where("doc_id is not null").mapInArrow(functools.partial(_anchors, width=width), "doc_id long, th long, h long, a int, n int")
-    recurring = anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("places")).where("lo < hi")
-    spots = anchors.join(recurring, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "n", "h", (F.col("places") > crowded).alias("crowded"))).alias("spots"))
-    segments = keyed.join(spots, ["doc_id", "th"]).mapInArrow(functools.partial(_segments, width=width), "key long, segment string, doc_id long, th long, a int").withColumn("sh", F.xxhash64("segment"))
+    """keyed (doc_id, th, text and any more) with `copy`, true where the same
+    text stands under a smaller doc_id, and for the others `hits`: the windows
+    that also begin in a document of a smaller doc_id, as (a, mask)."""
+    # Texts are shuffled once: every join to them is a left join on the same key.
+    texts = keyed.select("doc_id", "th", F.md5(F.col("text")).alias("same")).where("doc_id is not null")
+    first_of = texts.groupBy("same").agg(F.min("doc_id").alias("least"))
+    copies = texts.join(first_of, "same").where("doc_id > least").select("doc_id", "th").distinct().withColumn("copy", F.lit(True))
+    marked = keyed.join(copies, ["doc_id", "th"], "left")
+    anchors = marked.mapInArrow(functools.partial(_anchors, width=width), "doc_id long, th long, h long, a int, n int")
+    # Anchors are shuffled once too. One has a row for each run of a document, and equal
+    # texts count once, so even one that a third of all documents share has a small
+    # part of the rows.
+    same = Window.partitionBy("h")
+    counted = anchors.withColumns({"lo": F.min("doc_id").over(same), "hi": F.max("doc_id").over(same), "places": F.count(F.lit(1)).over(same)}).where("lo < hi")
+    spots = counted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "n", "h", (F.col("places") > crowded).alias("crowded"))).alias("spots"))
+    segments = marked.join(spots, ["doc_id", "th"], "left").mapInArrow(functools.partial(_segments, width=width), "key long, segment string, doc_id long, th long, a int").withColumn("sh", F.xxhash64("segment"))
     distinct = segments.groupBy("key", "sh", "segment").agg(F.min("doc_id").alias("first"))
     ordered = distinct.select("key", "segment", "sh", "first").repartition("key").sortWithinPartitions("key")
     found = ordered.mapInArrow(functools.partial(_confirmed, width=width, shard=shard), "key long, sh long, first long, mask long")
@@ -204,7 +221,7 @@ def repeats(keyed: DataFrame, width: int = 13, crowded: int = CROWDED, shard: in
     places = segments.select("key", "sh", "doc_id", "th", "a", n_windows.alias("n")).join(found, ["key", "sh"])
     mask = F.when(F.col("doc_id") > F.col("first"), F.expr(f"{whole}L >> ({RUN} - n)")).otherwise(F.col("mask"))
     hits = places.select("doc_id", "th", F.col("a"), mask.alias("mask")).where("mask <> 0").groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "mask")).alias("hits"))
-    return keyed.join(hits, ["doc_id", "th"], "left")
+    return marked.join(hits, ["doc_id", "th"], "left")
 
 
 def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rest: bool = False) -> DataFrame:
@@ -216,14 +233,14 @@ def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _kept(batches, width: int, digest: bool):
     kind = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256" if digest else "kept", pa.string())]
     for b in batches:
-        at = {name: b.schema.get_field_index(name) for name in ("doc_id", "text", "hits")}
+        at = {name: b.schema.get_field_index(name) for name in ("doc_id", "text", "hits", "copy")}
         for lo in range(0, b.num_rows, 512):
             part = b.slice(lo, 512)
             out: dict[str, list] = {k: [] for k, _ in kind}
-            for d, text, hits in zip(*(part.column(at[k]).to_pylist() for k in ("doc_id", "text", "hits")), strict=True):
+            for d, text, hits, copy in zip(*(part.column(at[k]).to_pylist() for k in ("doc_id", "text", "hits", "copy")), strict=True):
                 words = text.encode().split()
-                gone = covered(len(words), hits, width) if hits else np.zeros(len(words), bool)
-                kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if hits else words)
+                gone = covered(len(words), hits, width) if hits else np.full(len(words), bool(copy) and len(words) >= width)
+                kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
                 for (k, _), v in zip(kind, (d, len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest() if digest else kept.decode()), strict=True):
                     out[k].append(v)
             yield batch_of(pa.schema(kind), out)
@@ -243,9 +260,11 @@ def kept_words(docs: DataFrame, width: int = 13, digest: bool = False, id_col: s
     return rows.mapInArrow(functools.partial(_kept, width=width, digest=digest), schema)
 
 
-def kept_text(text: str, hits: list[dict] | None, width: int) -> str:
+def kept_text(text: str, hits: list[dict] | None, width: int, copy: bool = False) -> str:
     """The text without the covered words: each stretch between them as it
     stands, white space included, joined by one blank."""
+    if copy:
+        return text if len(text.encode().split()) < width else ""
     if not hits:
         return text
     spans = [m.span() for m in WORDS.finditer(text)]
@@ -260,8 +279,9 @@ def kept_text(text: str, hits: list[dict] | None, width: int) -> str:
 
 def _cleaned(batches, width: int):
     for b in batches:
-        at = {name: b.schema.get_field_index(name) for name in ("text", "hits", "rest")}
-        new = pa.array([kept_text(t, h, width) for t, h in zip(b.column(at["text"]).to_pylist(), b.column(at["hits"]).to_pylist(), strict=True)], pa.string())
+        at = {name: b.schema.get_field_index(name) for name in ("text", "hits", "copy", "rest")}
+        own = zip(*(b.column(at[k]).to_pylist() for k in ("text", "hits", "copy")), strict=True)
+        new = pa.array([kept_text(t, h, width, bool(c)) for t, h, c in own], pa.string())
         yield pa.RecordBatch.from_arrays([new, b.column(at["rest"])], names=["text", "rest"])
 
 

@@ -466,8 +466,9 @@ def test_passages_of_random_overlaps(spark):
 def test_cleaned_text_keeps_columns(docs, rows):
     clean = passages.remove_repeats(docs)
     assert clean.columns == docs.columns and clean.dtypes == docs.dtypes
-    want = Counter((d, tuple(k.split())) if t is not None else (d, None) for (d, t), (_, _, _, k) in zip(rows, brute_kept(rows), strict=True))
-    got = Counter((r["doc_id"], None if r["text"] is None else tuple(k.decode() for k in r["text"].encode().split())) for r in clean.collect())
+    parts = lambda k: tuple(w.decode() for w in k.encode().split())
+    want = Counter((d, parts(k)) if t is not None else (d, None) for (d, t), (_, _, _, k) in zip(rows, brute_kept(rows), strict=True))
+    got = Counter((r["doc_id"], None if r["text"] is None else parts(r["text"])) for r in clean.collect())
     assert got == want
 
 
