@@ -2,8 +2,7 @@
 ratio between trusted text and the raw corpus.
 
 Character trigrams are hashed to `BUCKETS` counts. The raw multinomial counts
-every document; the trusted one counts a bounded sample of the rows labelled
-good. A document's verdict is the mean over its trigrams of the logarithm of
+every document; the trusted one counts every document labelled good. A document's verdict is the mean over its trigrams of the logarithm of
 their ratio, so length doesn't count, against a fixed threshold.
 """
 
@@ -21,9 +20,8 @@ from graphweft.llm.tokens import slices
 
 BITS = 15
 BUCKETS = 1 << BITS
-#: Rows labelled good that the trusted multinomial is fitted on, at most: those
-#: with the smallest hashes of their doc_id.
-TRUSTED_ROWS = 20_000
+#: Documents without an id go to so many places of the join with the labels.
+SPREAD = 1024
 #: Documents with a smaller mean ratio go.
 THRESHOLD = -0.25
 SYMBOLS = "#*$%&|<>"
@@ -51,16 +49,19 @@ def _count(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(trusted[at])], names=["bucket", "raw", "trusted"])
 
 
-def trusted_sample(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def trusted(labels: DataFrame) -> DataFrame:
+    """Every doc_id labelled good, once."""
+    return labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
-def counts(docs: DataFrame, labels: DataFrame, rows: int = TRUSTED_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket, raw, trusted) over all documents. The sample is broadcast: it
-    has at most `rows` ids. Each task sums its documents before the shuffle."""
-    sample = trusted_sample(labels, rows).withColumn("good", F.lit(True))
-    flagged = pick(docs, id_col, text_col).join(F.broadcast(sample), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+def counts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(bucket, raw, trusted) over all documents and all that are labelled good.
+    Good ids grow with the corpus, so the join is a merge join at any size.
+    Documents without an id meet none and are spread by a second key; an id of
+    many rows is left to be split where it is skewed. Each task sums its documents before the shuffle."""
+    good = trusted(labels).select("doc_id", F.lit(0).alias("part"), F.lit(True).alias("good"))
+    part = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(SPREAD)).cast("int")).otherwise(0)
+    flagged = pick(docs, id_col, text_col).withColumn("part", part).join(good.hint("merge"), ["doc_id", "part"], "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     return flagged.mapInArrow(_count, "bucket long, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
 
 
@@ -135,14 +136,14 @@ def _judge(batches, table: np.ndarray, threshold: float):
             yield batch_of(pa.schema(kind), out)
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = TRUSTED_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, the plain counts, base_failed, kept, score) of every document.
 
     Null and empty texts have no words and fail; without labels, or with none
     good, the score is 0 and the plain rules decide; repeated rows give
     repeated rows with equal verdicts.
     """
-    table = ratios(counts(docs, labels, rows, id_col, text_col))
+    table = ratios(counts(docs, labels, id_col, text_col))
     schema = "doc_id long, " + ", ".join(f"{n} long" for n in NAMES) + ", base_failed boolean, kept boolean, score double"
     return pick(docs, id_col, text_col).mapInArrow(functools.partial(_judge, table=table, threshold=threshold), schema)
 
@@ -157,8 +158,8 @@ def _passing(batches, k: int, table: np.ndarray, threshold: float):
         yield b.filter(pa.array(keep))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = TRUSTED_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, that judge() keeps."""
-    table = ratios(counts(docs, labels, rows, id_col, text_col))
+    table = ratios(counts(docs, labels, id_col, text_col))
     k = [c.lower() for c in docs.columns].index(text_col.lower())
     return docs.mapInArrow(functools.partial(_passing, k=k, table=table, threshold=threshold), docs.schema)

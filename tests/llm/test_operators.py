@@ -385,6 +385,13 @@ def test_quality(docs, labels, rows, nothing):
     assert quality.judge(docs, labels.where("false")).where("score <> 0").count() == 0
 
 
+def test_quality_counts_every_good_row(spark):
+    docs = spark.range(20_500).selectExpr("nullif(id, 7) as doc_id", "'ab' || id as text")
+    labels = spark.range(20_500).selectExpr("id as doc_id", "1 as quality")
+    row = quality.counts(docs, labels).selectExpr("sum(raw) as raw", "sum(trusted) as trusted").first()
+    assert row.raw - row.trusted == len("ab7") - 2 and row.raw == sum(len(str(k)) for k in range(20_500))
+
+
 # --- sketches
 
 
