@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.storage import written
+from graphweft.storage import stored, written
 
 
 def closure(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
@@ -39,14 +39,39 @@ def reached(edges: DataFrame, start: DataFrame) -> DataFrame:
     return closure(edges, start).drop("depth")
 
 
-def paths(edges: DataFrame, start: DataFrame, most: int = 20) -> DataFrame:
+def least_joined(links: DataFrame) -> DataFrame:
+    """(location, least): each end of the links (src, dst), taken either way,
+    with the least location that it is joined to. Alternating stars: each round
+    ties all of a node's ends to the least of them, first the greater ends,
+    then the smaller, so a table never has more rows than there are links and
+    rounds grow with the logarithm of the longest chain."""
+    found = links.select("src", "dst").where("src is not null and dst is not null")
+    own = stored(found.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "links")
+    edges, before = own.where("a <> b"), None
+    while True:
+        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if mark == before or not mark[0]:
+            break
+        before = mark
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        smallest = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(smallest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = stored(small.union(smallest.select("a", F.col("m").alias("b"))).distinct(), "links")
+    ends = own.select(F.col("a").alias("location")).union(own.select("b")).distinct()
+    return ends.join(edges.select(F.col("a").alias("location"), F.col("b").alias("least")), "location", "left").select("location", F.coalesce("least", "location").alias("least"))
+
+
+def paths(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
     """(path, location): every path without repeats from start against or along
-    edges, as arrays of locations. Their number may be exponential."""
+    edges, as arrays of locations. Their number may be exponential. most: the
+    number of steps at most."""
     spark = start.sparkSession
     level = start.select(F.array("location").alias("path"), "location")
     out = [written(level, "paths")]
     schema = level.schema
-    for _ in range(most):
+    while most is None or len(out) <= most:
         held = spark.read.schema(schema).parquet(out[-1])
         if held.isEmpty():
             break

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweft.functions import semver, text
-from graphweft.operators.closure import closure, reached
+from graphweft.operators.closure import closure, least_joined, reached
 from graphweft.storage import stored
 
 #: Columns that a node may leave out, with what then holds.
@@ -181,9 +181,7 @@ def optional_set(edges: DataFrame, node: DataFrame) -> DataFrame:
 def peer_sets(edges: DataFrame) -> DataFrame:
     """(location, peer_set): nodes joined by peer edges, either way, named by their least."""
     peers = edges.where("dst is not null and type in ('peer', 'peerOptional')").select("src", "dst")
-    both = peers.union(peers.select(F.col("dst"), F.col("src")).toDF("src", "dst"))
-    starts = both.select(F.col("src").alias("location")).distinct().withColumn("seed", F.col("location"))
-    return reached(both, starts.select("seed", "location")).groupBy("location").agg(F.min("seed").alias("peer_set"))
+    return least_joined(peers).withColumnRenamed("least", "peer_set")
 
 
 def workspace_set(graph: Graph, names: list[str] | None = None) -> DataFrame:

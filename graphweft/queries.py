@@ -230,9 +230,7 @@ def dep_counts(spark, sf_dir):
 
 @query("peer_sets")
 def peer_sets(spark, sf_dir):
-    g = star.star_graph(spark, sf_dir)
-    nations = g.resolved.where("src like 'supplier/%' or src like 'nation/%'").withColumn("type", F.lit("peer"))
-    return G.peer_sets(nations)
+    return G.peer_sets(star.star_graph(spark, sf_dir).edges)
 
 
 # --- reports -----------------------------------------------------------------------

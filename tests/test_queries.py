@@ -18,6 +18,17 @@ def test_query_without_sql_runs(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
 
 
+def test_peer_sets_take_every_order(spark):
+    got = {r["location"]: r["peer_set"] for r in queries.QUERIES["peer_sets"](spark, SF).collect()}
+    pairs = {(f"orders/{r[0]}", f"supplier/{r[1]}") for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_suppkey").collect()}
+    part, before = {x: x for p in pairs for x in p}, None
+    while part != before:
+        before = dict(part)
+        for a, b in pairs:
+            part[a] = part[b] = min(part[a], part[b])
+    assert got == part
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -204,6 +204,18 @@ def test_sets_and_overrides(spark):
     assert [tuple(r) for r in graph.override_conflicts(clash).collect()] == [("k", 1, 2)]
 
 
+def test_peer_sets_equal_plain_components(spark):
+    rng = random.Random(7)
+    pairs = {(f"n{rng.randrange(90)}", f"n{rng.randrange(90)}") for _ in range(60)} | {(f"c{k}", f"c{k + 1}") for k in range(40)} | {("loop", "loop")}
+    rows = [(a, b, rng.choice(("peer", "peerOptional"))) for a, b in pairs] + [("n1", "c1", "prod"), ("c1", None, "peer")]
+    got = [tuple(r) for r in graph.peer_sets(spark.createDataFrame(rows, "src string, dst string, type string")).collect()]
+    part = {x: x for p in pairs for x in p}
+    for _ in part:
+        for a, b in pairs:
+            part[a] = part[b] = min(part[a], part[b])
+    assert sorted(got) == sorted(part.items())
+
+
 def test_diff_hides_what_is_below_a_change(spark):
     a = spark.createDataFrame([("node_modules/x", "1"), ("node_modules/x/node_modules/y", "1"), ("node_modules/z", "1")], "location string, version string")
     b = spark.createDataFrame([("node_modules/x", "2"), ("node_modules/x/node_modules/y", "2"), ("node_modules/new", "1")], "location string, version string")
