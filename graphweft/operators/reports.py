@@ -300,8 +300,9 @@ def cyclonedx(graph: Graph) -> DataFrame:
 # --- explanations ------------------------------------------------------------------
 
 
-def explain(graph: Graph, target: DataFrame, most: int = 20) -> DataFrame:
-    """(path, location): every chain of dependents from the targets up, without repeats."""
+def explain(graph: Graph, target: DataFrame, most: int | None = None) -> DataFrame:
+    """(path, location): every chain of dependents from the targets up, without
+    repeats. most: the number of steps at most."""
     from graphweft.operators.closure import paths
 
     up = graph.resolved.select(F.col("dst").alias("src"), F.col("src").alias("dst"))

@@ -325,7 +325,7 @@ def sbom_relationships(spark, sf_dir):
 @query("explain_paths")
 def explain_paths(spark, sf_dir):
     g = star.star_graph(spark, sf_dir)
-    return reports.explain(g, g.nodes.where("name = 'AFRICA'"), most=2).select(F.array_join("path", " < ").alias("path"))
+    return reports.explain(g, g.nodes.where("name = 'AFRICA'")).select(F.array_join("path", " < ").alias("path"))
 
 
 @query("brief_dependents", f"with {GRAPH}, d as (select distinct dst, src from e), r as (select dst as location, list(src order by src) as l from d group by dst) select location, array_to_string(l[1:2], ', ') as shown, greatest(len(l) - 2, 0) as more from r")

@@ -29,6 +29,27 @@ def test_peer_sets_take_every_order(spark):
     assert got == part
 
 
+def test_explain_goes_on_to_the_root(spark):
+    got = [r["path"] for r in queries.QUERIES["explain_paths"](spark, SF).collect()]
+    own = {t: spark.read.parquet(f"{SF}/{t}.parquet").collect() for t in ("region", "nation", "customer", "supplier", "orders", "lineitem")}
+    up = {}
+    for src, dst in {
+        *((f"nation/{r.n_nationkey}", f"region/{r.n_regionkey}") for r in own["nation"]),
+        *((f"customer/{r.c_custkey}", f"nation/{r.c_nationkey}") for r in own["customer"]),
+        *((f"supplier/{r.s_suppkey}", f"nation/{r.s_nationkey}") for r in own["supplier"]),
+        *((f"orders/{r.l_orderkey}", f"supplier/{r.l_suppkey}") for r in own["lineitem"]),
+        *((f"customer/{r.o_custkey}", f"orders/{r.o_orderkey}") for r in own["orders"]),
+        *(("", f"customer/{r.c_custkey}") for r in own["customer"] if r.c_acctbal > 0),
+    }:
+        up.setdefault(dst, []).append(src)
+    held = [[f"region/{r.r_regionkey}"] for r in own["region"] if r.r_name == "AFRICA"]
+    want = list(held)
+    while held:
+        held = [[*p, x] for p in held for x in up.get(p[-1], ()) if x not in p]
+        want += held
+    assert sorted(got) == sorted(" < ".join(p) for p in want)
+
+
 def test_entry(spark):
     import __spark_entry__
 

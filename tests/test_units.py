@@ -216,6 +216,13 @@ def test_peer_sets_equal_plain_components(spark):
     assert sorted(got) == sorted(part.items())
 
 
+def test_paths_end_only_at_repeats(spark):
+    edges = spark.createDataFrame([(str(k), str(k + 1)) for k in range(24)] + [("24", "0")], "src string, dst string")
+    got = [r["path"] for r in closure.paths(edges, spark.createDataFrame([("0",)], "location string")).collect()]
+    assert sorted(map(len, got)) == list(range(1, 26)) and max(got, key=len) == [str(k) for k in range(25)]
+    assert closure.paths(edges, spark.createDataFrame([("0",)], "location string"), 2).count() == 3
+
+
 def test_diff_hides_what_is_below_a_change(spark):
     a = spark.createDataFrame([("node_modules/x", "1"), ("node_modules/x/node_modules/y", "1"), ("node_modules/z", "1")], "location string, version string")
     b = spark.createDataFrame([("node_modules/x", "2"), ("node_modules/x/node_modules/y", "2"), ("node_modules/new", "1")], "location string, version string")
