@@ -97,8 +97,13 @@ AT_DOT = re.compile(
     re.I,
 )
 DOT = re.compile(rf"{_OPEN}(?:dot|punkt|point|punto|\.){_SHUT}|\x20(?:dot|punkt|point|punto)\x20|\x20?\.\x20?", re.I)
-AT_SIGN = re.compile(rf"{_OPEN}(?:at|@|arroba){_SHUT}|\x20(?:dot|punkt|point|punto)\x20|{_OPEN}(?:dot|punkt|point|punto|\.){_SHUT}", re.I)
-#: Endings that make a bare "at ... dot" an address.
+#: A cheap sign that AT_DOT may find a disguise: each way to write one that it knows.
+AT_SIGN = re.compile(
+    rf"{_OPEN}(?:at|@|arroba){_SHUT}|\x20(?:dot|punkt|point|punto)\x20|{_OPEN}(?:dot|punkt|point|punto|\.){_SHUT}"
+    r"|\x20@|@\x20|@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?:\x20\.|\.\x20)",
+    re.I,
+)
+#: Endings that make a bare "at ... dot", or dots as they are, an address.
 ENDINGS = frozenset("com org net edu gov mil int info biz io co ai app dev me tv de fr es uk eu us ca ch at be nl it pt ru pl cz se no dk fi jp cn in br mx ar au nz example test invalid".split())
 
 
@@ -165,18 +170,28 @@ def spelled_digits(m: Mapped) -> None:
 
 
 def at_and_dot(m: Mapped) -> None:
-    changes = []
-    for x in AT_DOT.finditer(m.text):
-        at, host = x["at"], x["host"]
+    changes, x = [], AT_DOT.search(m.text)
+    while x:
+        at, end = x["at"], x.end()
         dots = [(d.start(), d.end()) for d in DOT.finditer(m.text, *x.span("host"))]
-        bare = not re.search(r"[\[({<@]", at)
+        bracketed, bare = re.search(r"[\[({<]", at), not re.search(r"[\[({<@]", at)
+
+        def ends(a: int, b: int, dot: str, bracketed=bracketed) -> bool:
+            """Whether the label after a dot may end an address of plain dots."""
+            label = m.text[a:b]
+            return label.lower() in ENDINGS or bool(bracketed) and dot == "." and b - a > 1 and label.isascii() and label.isalpha()
+
+        for k in range(1, len(dots)):  # ". " after an ending ends a sentence, unless a small ending follows
+            (p, q), (a, b), c = *dots[k - 1 : k + 1], [*dots, (end, end)][k + 1][0]
+            if m.text[a:b] == ". " and ends(q, a, m.text[p:q]) and not (m.text[b:c].islower() and m.text[b:c] in ENDINGS):
+                dots, end = dots[:k], a
+                break
         disguised = at != "@" or any(m.text[a:b] != "." for a, b in dots)
-        ending = m.text[dots[-1][1] : x.end()].lower()
         spelled = any(m.text[a:b].strip(" .") for a, b in dots)
-        if not disguised or (bare and not spelled) or ending not in ENDINGS and (bare or not spelled):
-            continue
-        changes.append((*x.span("at"), "@"))
-        changes += [(a, b, ".") for a, b in dots]
+        if disguised and not (bare and not spelled) and (not bare and spelled or ends(dots[-1][1], end, m.text[slice(*dots[-1])])):
+            changes.append((*x.span("at"), "@"))
+            changes += [(a, b, ".") for a, b in dots]
+        x = AT_DOT.search(m.text, end)
     m.edit(changes)
 
 

@@ -115,6 +115,26 @@ def test_clean_text_has_no_spans(text):
     assert [s for s in pii.find_spans(text) if not s[3]] == []
 
 
+@pytest.mark.parametrize("extra", ["", " Наша цена"])
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("mail jane.doe @ example.com now", ["jane.doe @ example.com"]),
+        ("mail jane.doe @ example . com now", ["jane.doe @ example . com"]),
+        ("mail jane.doe@example .com now", ["jane.doe@example .com"]),
+        ("mail jane@ mail.example. com now", ["jane@ mail.example. com"]),
+        ("mail jane @ example.com. Then joe @ example.org. In time", ["jane @ example.com", "joe @ example.org"]),
+        ("mail jane [at] example.shop now", ["jane [at] example.shop"]),
+        ("mail jane (at) mail.example.online. Then go", ["jane (at) mail.example.online"]),
+        ("mail jane@example.com. In time", []),
+        ("mail jane@example.com. Then go", []),
+    ],
+)
+def test_spaced_and_bracketed_addresses_whatever_stands_beside(text, found, extra):
+    text += extra
+    assert [text[s:e] for k, s, e, base in pii.find_spans(text) if not base] == found
+
+
 def test_pii_query(docs, rows, nothing):
     got = {(r["doc_id"], r["base_sha256"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in pii.pii_digest(docs).collect()}
     want = set()
