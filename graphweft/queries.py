@@ -243,6 +243,13 @@ def query_report(spark, sf_dir):
     return rows.select("location", "name", "version", F.size("from").cast("long").alias("n_from"), F.array_join("to", ",").alias("to"))
 
 
+@query("query_report_all")
+def query_report_all(spark, sf_dir):
+    """query_report over every node."""
+    g = star.star_graph(spark, sf_dir)
+    return reports.query_report(g, g.nodes).select("location", "name", "version", F.size("from").cast("long").alias("n_from"), F.array_join("to", ",").alias("to"))
+
+
 @query("dedupe_by_rank", f"with {GRAPH} select name, location, version from (select *, row_number() over (partition by name order by case when kind = 'PROMO' then 2 when kind = 'ECONOMY' then 1 else 0 end desc, location) rn from n) z where rn = 1")
 def dedupe_by_rank(spark, sf_dir):
     n = star.star_graph(spark, sf_dir).nodes.withColumn("kind", F.expr("variant_get(package, '$.kind', 'string')"))
@@ -312,6 +319,12 @@ def newest_by_name(spark, sf_dir):
     return reports.newest_by_name(star.star_graph(spark, sf_dir).nodes.where("location like 'part/%'"))
 
 
+@query("newest_by_name_all")
+def newest_by_name_all(spark, sf_dir):
+    """newest_by_name over every node."""
+    return reports.newest_by_name(star.star_graph(spark, sf_dir).nodes)
+
+
 @query("sbom_dependencies", f"with {GRAPH}, r as (select location, name || '@' || version as ref from n), d as (select a.ref, b.ref as dep from e join r a on a.location = e.src join r b on b.location = e.dst) select r.ref, 'pkg:npm/' || r.ref as purl, count(distinct dep) as n_depends from (select distinct ref from r) r left join d on d.ref = r.ref group by r.ref")
 def sbom_dependencies(spark, sf_dir):
     return reports.bill_components(star.star_graph(spark, sf_dir)).select("ref", "purl", F.size("depends_on").cast("long").alias("n_depends"))
