@@ -173,15 +173,17 @@ class CachedTokenizer:
     """encode(texts) gives each text's ids as little-endian uint32 bytes, equal
     to the library's own. Distinct chunks go through the library once: plain
     Latin words straight to its BPE model, of which they are one or two pieces
-    already, any other chunk through the library's whole chain. The cache holds
-    at most `limit` chunks and then starts again."""
+    already, any other chunk through the library's whole chain. A text that
+    holds one of the vocabulary's added tokens goes to the library whole. The
+    cache holds at most `limit` chunks and then starts again."""
 
     def __init__(self, path: str, white_space_dropped: bool, limit: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)", re.I)
         self.model, self.lower = self.library.model, white_space_dropped
         self.chunks = re.compile(r"[^ \n\t]+") if white_space_dropped else CHUNK
         self.limit, self.held = limit, {}
@@ -207,7 +209,7 @@ class CachedTokenizer:
             self.held.update(zip(rest[lo : lo + 2048], self.raw(rest[lo : lo + 2048]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if ODD.search(text) else self.chunks.findall(text) for text in texts]
+        split = [None if ODD.search(text) or self.added.search(text) else self.chunks.findall(text) for text in texts]
         held = self.held
         new = {c for cs in split if cs for c in cs if c not in held}
         if len(held) + len(new) > self.limit:

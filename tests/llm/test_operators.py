@@ -230,6 +230,16 @@ def test_cached_tokenizer_equals_the_library(rows, name, dropped):
             assert np.frombuffer(raw, "<u4").tolist() == coder.library.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize(("name", "dropped"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_added_tokens_are_encoded_as_a_plain_library_call_does(name, dropped):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    own = ["foo<|endoftext|>bar", "a <|endoftext|> b", "<|startoftext|>x y<|endoftext|>", "<|endof text|> <|ENDOFTEXT|>", "foo bar", ""]
+    got = tokens.CachedTokenizer(public_tokenizers.path(name), dropped).encode(own)
+    assert [np.frombuffer(raw, "<u4").tolist() for raw in got] == [plain.encode(t, add_special_tokens=False).ids for t in own]
+
+
 def ids_of(name):
     coder = tokens.CachedTokenizer(public_tokenizers.path(name), True).library
     return lambda t: coder.encode(t or "", add_special_tokens=False).ids
