@@ -2,16 +2,19 @@
 
 A shard is one self-contained blob:
 
-    magic "EFS1", then little-endian uint64: documents, ids, bytes per id,
-    documents with a null id (they come first), low bits, words of the low
-    part, words of the high part, select samples;
-    the document ids (int64), the low part, the high part (uint64 words),
-    the select samples (uint32), the ids (uint16 or uint32).
+    magic "EFS2", then little-endian uint64: documents, ids, bytes per id,
+    documents with a null id (they come first); the smallest id (int64);
+    for the ends and for the ids' distances from the smallest: low bits, words
+    of the low part, words of the high part, select samples;
+    for both: the low part, the high part (uint64 words), the select samples
+    (uint32); then the ids (uint16 or uint32).
 
 The boundaries are the ends of the documents in the shard's concatenated
 ids. An end's low bits are packed; its high part sets one bit of a unary bit
 vector, so n ends below u take about n * (2 + log2(u / n)) bits. Every 64th
-set bit's position is sampled; select(k) starts at a sample and counts words.
+set bit's position is sampled; select(k) starts at a sample and counts words. The
+ascending document ids are kept in the same way, so a shard has no table of
+64-bit numbers; readers take every offset and id from select.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from graphweft.llm.common import batch_of, pick, stored
 from graphweft.llm.tokens import cached_tokenizer, slices
 
-MAGIC, HEAD, EVERY = b"EFS1", struct.Struct("<8Q"), 64
+MAGIC, HEAD, EVERY = b"EFS2", struct.Struct("<4Qq8Q"), 64
 #: A shard is closed once it holds so many ids; one long document may exceed it.
 SHARD_IDS = 1 << 20
 
@@ -96,21 +99,37 @@ def words(bits: np.ndarray) -> np.ndarray:
     return np.packbits(padded, bitorder="little").view("<u8")
 
 
+class Ids:
+    """A shard's document ids: nulls first, then ascending ones."""
+
+    def __init__(self, nulls: int, least: int, apart: EliasFano):
+        self.nulls, self.least, self.apart = nulls, least, apart
+
+    def __len__(self) -> int:
+        return self.nulls + self.apart.n
+
+    def __getitem__(self, k: int) -> int | None:
+        return None if k < self.nulls else self.least + self.apart.select(k - self.nulls)
+
+
 def write_shard(doc_ids: list[int | None], parts: list[bytes], wide: bool) -> bytes:
     """parts: each document's ids as little-endian uint32. wide: keep four bytes an id."""
     ends = EliasFano.of(np.cumsum([len(p) // 4 for p in parts], dtype=np.int64))
     ids = np.frombuffer(b"".join(parts), "<u4")
-    nulls = sum(d is None for d in doc_ids)
-    head = HEAD.pack(len(doc_ids), len(ids), 4 if wide else 2, nulls, ends.low_bits, len(ends.low), len(ends.high), len(ends.samples))
-    own = np.array([0 if d is None else d for d in doc_ids], "<i8")
-    return b"".join([MAGIC, head, own.tobytes(), ends.low.tobytes(), ends.high.tobytes(), ends.samples.tobytes(), ids.astype("<u4" if wide else "<u2").tobytes()])
+    known = [d for d in doc_ids if d is not None]
+    least = known[0] if known else 0
+    apart = EliasFano.of(np.array([d - least for d in known], np.uint64))
+    sizes = [n for e in (ends, apart) for n in (e.low_bits, len(e.low), len(e.high), len(e.samples))]
+    head = HEAD.pack(len(doc_ids), len(ids), 4 if wide else 2, len(doc_ids) - len(known), least, *sizes)
+    kept = [x.tobytes() for e in (ends, apart) for x in (e.low, e.high, e.samples)]
+    return b"".join([MAGIC, head, *kept, ids.astype("<u4" if wide else "<u2").tobytes()])
 
 
-def read_shard(blob: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
-    """(document ids, ends, ids); the ids are a view of the blob."""
+def read_shard(blob: bytes) -> tuple[Ids, EliasFano, np.ndarray]:
+    """(document ids, ends, ids); all are views of the blob."""
     if blob[:4] != MAGIC:
         raise ValueError("not a token shard")
-    n, n_ids, width, nulls, low_bits, n_low, n_high, n_samples = HEAD.unpack_from(blob, 4)
+    n, n_ids, width, nulls, least, *sizes = HEAD.unpack_from(blob, 4)
     at = 4 + HEAD.size
 
     def take(kind: str, count: int) -> np.ndarray:
@@ -119,9 +138,12 @@ def read_shard(blob: bytes) -> tuple[list[int | None], EliasFano, np.ndarray]:
         at += out.nbytes
         return out
 
-    own = take("<i8", n)
-    ends = EliasFano(n, low_bits, take("<u8", n_low), take("<u8", n_high), take("<u4", n_samples))
-    return [None] * nulls + own[nulls:].tolist(), ends, take("<u2" if width == 2 else "<u4", n_ids)
+    def sequence(count: int, low_bits: int, n_low: int, n_high: int, n_samples: int) -> EliasFano:
+        return EliasFano(count, low_bits, take("<u8", n_low), take("<u8", n_high), take("<u4", n_samples))
+
+    ends = sequence(n, *sizes[:4])
+    apart = sequence(n - nulls, *sizes[4:])
+    return Ids(nulls, least, apart), ends, take("<u2" if width == 2 else "<u4", n_ids)
 
 
 def document(blob: bytes, k: int) -> np.ndarray:
@@ -193,9 +215,9 @@ def _read(batches, digest: bool):
     for b in batches:
         for base, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             docs, ends, ids = read_shard(blob.as_py())
-            stops = ends.all()
-            begins = np.concatenate([[0], stops[:-1]]).astype(np.int64)
-            out = {"doc_id": docs, "start": (begins + base).tolist(), "n_tokens": (stops - begins).tolist()}
+            stops = [ends.select(k) for k in range(ends.n)]
+            begins = [0, *stops[:-1]]
+            out = {"doc_id": [docs[k] for k in range(len(docs))], "start": [base + s for s in begins], "n_tokens": [e - s for s, e in zip(begins, stops, strict=True)]}
             if digest:
                 whole = ids.astype("<u4")
                 out["ids_crc32"] = [zlib.crc32(whole[s:e]) for s, e in zip(begins, stops, strict=True)]

@@ -22,6 +22,16 @@ def pick(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with plain column names, by place: names with dots or clashing
+    names are no matter then. toDF(*docs.columns) gives the names back."""
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+
+
+def place(docs: DataFrame, column: str) -> int:
+    return [c.lower() for c in docs.columns].index(column.lower())
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage is cut and
     a lost executor costs only a reread."""

@@ -31,7 +31,7 @@ CHUNK = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+")
 SAFE = re.compile(r"(?<=[^ \n\t])(?=[ \n\t])")
 #: Texts over so many characters are cut at safe boundaries before tiktoken sees them.
 LONG = 1 << 16
-#: A run without safe boundary longer than this is split by the pattern itself.
+#: Runs of white space over so many characters are split by the pattern here.
 RUN = 1 << 14
 
 
@@ -55,35 +55,12 @@ def load_ranks(path: str, pattern: str):
     return encoding, ranks, lengths
 
 
-def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Byte-pair merges of one long piece in n log n steps: a heap of pairs over
-    a linked list of parts; lowest rank first, leftmost first among equals."""
-    import heapq
-
-    if piece in ranks:
-        return [ranks[piece]]
-    n = len(piece)
-    end = list(range(1, n + 1))  # a part starts at i and ends before end[i]
-    before, alive = list(range(-1, n - 1)), bytearray(b"\1") * n
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, stop = heapq.heappop(heap)
-        if not alive[i] or (j := end[i]) >= n or end[j] != stop:
-            continue
-        alive[j] = 0
-        end[i] = stop
-        if stop < n:
-            before[stop] = i
-            if (r := ranks.get(piece[i : end[stop]])) is not None:
-                heapq.heappush(heap, (r, i, end[stop]))
-        if (p := before[i]) >= 0 and (r := ranks.get(piece[p:stop])) is not None:
-            heapq.heappush(heap, (r, p, stop))
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : end[i]]])
-        i = end[i]
-    return out
+@functools.lru_cache(maxsize=4)
+def whole_pieces(path: str, pattern: str):
+    """The same ranks, with a pattern that takes all it is given as one piece."""
+    import tiktoken
+
+    return tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=load_ranks(path, pattern)[1], special_tokens={})
 
 
 def safe_parts(text: str, size: int = LONG):
@@ -98,26 +75,24 @@ def safe_parts(text: str, size: int = LONG):
     yield text[start:]
 
 
-LONG_RUN = re.compile(r"[^ \n\t]{%d}|[ \n\t]{%d}" % (RUN, RUN))
+#: White space that the library's own matching can't take in one run.
+LONG_RUN = re.compile(r"\s{%d}" % RUN)
 
 
-def encode_text(text: str, loaded, pattern: str) -> np.ndarray:
-    """Ids of a text as uint32. Short texts go to tiktoken whole; long ones in
-    safe parts; a part with a very long run is split by the pattern here and
-    its long pieces merged by merge_long."""
-    encoding, ranks, _ = loaded
-    if len(text) <= RUN or (len(text) <= LONG and not LONG_RUN.search(text)):
+def encode_text(text: str, ranks_path: str, pattern: str) -> np.ndarray:
+    """Ids of a text as uint32, by tiktoken. Long texts are cut at safe
+    boundaries first. A part with a very long run of white space is split by
+    the pattern here, and tiktoken merges each piece."""
+    encoding = load_ranks(ranks_path, pattern)[0]
+    if len(text) <= RUN:
         return np.asarray(encoding.encode_ordinary(text), dtype="<u4")
     out = []
     for part in [text] if ODD.search(text) else safe_parts(text):
-        if len(part) <= 2 * LONG and not LONG_RUN.search(part):
+        if LONG_RUN.search(part):
+            merge = whole_pieces(ranks_path, pattern).encode_ordinary
+            out += [np.asarray(merge(m.group()), dtype="<u4") for m in regex.finditer(pattern, part)]
+        else:
             out.append(np.asarray(encoding.encode_ordinary(part), dtype="<u4"))
-            continue
-        ids: list[int] = []
-        for m in regex.finditer(pattern, part):
-            piece = m.group()
-            ids += encoding._encode_single_piece(piece) if len(piece) <= 256 else merge_long(piece.encode(), ranks)
-        out.append(np.asarray(ids, dtype="<u4"))
     return np.concatenate(out)
 
 
@@ -125,14 +100,13 @@ BPE_SCHEMA = "doc_id long, ids array<int>, decoded binary"
 
 
 def _bpe(batches, ranks_path: str, pattern: str, digest: bool):
-    loaded = load_ranks(ranks_path, pattern)
-    decode = loaded[0].decode_bytes
+    decode = load_ranks(ranks_path, pattern)[0].decode_bytes
     for b in batches:
         docs, texts = b.column(0), b.column(1).to_pylist()
         for lo in range(0, len(texts), 256):
             cols: list[tuple] = []
             for text in texts[lo : lo + 256]:
-                ids = encode_text(text, loaded, pattern)
+                ids = encode_text(text, ranks_path, pattern)
                 raw = decode(ids.tolist())
                 cols.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest()) if digest else (ids.astype("i4"), raw))
             parts = [pa.array(list(c)) if digest else pa.array(list(c), type=t) for c, t in zip(zip(*cols), (pa.list_(pa.int32()), pa.binary()), strict=False)] if not digest else [pa.array([c[0] for c in cols], pa.int64()), pa.array([c[1] for c in cols], pa.string()), pa.array([c[2] for c in cols], pa.string())]
@@ -165,19 +139,24 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in shown else next(rest) for b in range(256)]
 
 
-#: A chunk of Latin letters, perhaps after one blank and before one stop or comma.
-PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: Latin letters, and signs behind them that are a piece of their own.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 class CachedTokenizer:
     """encode(texts) gives each text's ids as little-endian uint32 bytes, equal
     to the library's own. Distinct chunks go through the library once: plain
-    Latin words straight to its BPE model, of which they are one or two pieces
-    already, any other chunk through the library's whole chain. A text that
-    holds one of the vocabulary's added tokens goes to the library whole. The
-    cache holds at most `limit` chunks and then starts again."""
+    Latin words and the signs behind them straight to its BPE model, of which
+    they are a piece each already, any other chunk through the library's whole
+    chain. A text that holds one of the vocabulary's added tokens goes to the
+    library whole.
 
-    def __init__(self, path: str, white_space_dropped: bool, limit: int = 700_000):
+    Where white space is not dropped, a chunk is a word with the blank or the
+    newline before it; a text with any other white space is cut by CHUNK.
+    Chunks are held in two generations of at most `limit` / 2 each: when the
+    newer is full it becomes the older, so what is met often stays."""
+
+    def __init__(self, path: str, white_space_dropped: bool, limit: int = 1_600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -185,38 +164,85 @@ class CachedTokenizer:
         added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added) or "(?!)", re.I)
         self.model, self.lower = self.library.model, white_space_dropped
-        self.chunks = re.compile(r"[^ \n\t]+") if white_space_dropped else CHUNK
-        self.limit, self.held = limit, {}
+        self.model._resize_cache(0)  # chunks are held here instead
+        self.limit = limit
+        #: By chunk without its blank; by chunk as it stands (first words and odd ones).
+        self.held: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.begun: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {"": b""}
         stand = byte_chars()
         self.table = {c: "".join(stand[b] for b in chr(c).encode()) for c in range(256)}
-        self.stops = {"": b"", ".": self.piece("."), ",": self.piece(",")}
+        self.blank, self.newline = self.table[32], self.raw("\n")
 
     def piece(self, text: str) -> bytes:
-        stood = text.replace(" ", self.table[32]) if text.isascii() else text.translate(self.table)
-        return array.array("I", [t.id for t in self.model.tokenize(stood)]).tobytes()
-
-    def raw(self, texts: list[str]) -> list[bytes]:
-        return [array.array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, new: list[str]) -> None:
-        rest = []
-        for c in new:
-            if m := PLAIN.fullmatch(c):
-                self.held[c] = self.piece(m[1].lower() if self.lower else m[1]) + self.stops[m[2]]
+        return array.array("I", [t.id for t in self.model.tokenize(text if text.isascii() else text.translate(self.table))]).tobytes()
+
+    def raw(self, text: str) -> bytes:
+        return array.array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def chunk(self, c: str, before: str) -> bytes:
+        """Ids of a chunk after `before`, a blank or nothing."""
+        m = PLAIN.fullmatch(c)
+        if not m:
+            return self.raw(before + c)
+        word, sign = m[1], m[2]
+        if self.lower:
+            word = word.lower()
+        if sign and (self.lower or before) and (held := self.held.get(word) or self.older.get(word)):
+            pass
+        else:
+            held = self.piece(self.blank + word if before else word)
+        if sign not in self.signs:
+            if len(self.signs) > 10_000:
+                self.signs = {"": b""}
+            self.signs[sign] = self.piece(sign)
+        return held + self.signs[sign]
+
+    def first(self, c: str) -> bytes:
+        """A chunk that stands at the begin of a text or line, or is cut by CHUNK."""
+        if c not in self.begun:
+            if len(self.begun) > self.limit // 8:
+                self.begun.clear()
+            self.begun[c] = self.chunk(c, "")
+        return self.begun[c]
+
+    def learned(self, w: str) -> bytes | None:
+        """Ids of a word, held from now on; None if it isn't cut by single blanks."""
+        if (ids := self.older.get(w)) is None:
+            if self.lower:
+                ids = self.chunk(w, "")
+            elif w in ("", "\n") or "\t" in w:
+                return None
             else:
-                rest.append(c)
-        for lo in range(0, len(rest), 2048):
-            self.held.update(zip(rest[lo : lo + 2048], self.raw(rest[lo : lo + 2048]), strict=True))
+                ids = self.newline + self.first(w[1:]) if w[0] == "\n" else self.chunk(w, " ")
+        self.held[w] = ids
+        return ids
+
+    def one(self, text: str) -> bytes:
+        if ODD.search(text) or self.added.search(text):
+            return self.raw(text)
+        if self.lower:
+            words, begin = text.split(), b""
+        elif not text or text[0] in " \n\t":
+            return b"".join(map(self.first, CHUNK.findall(text)))
+        else:
+            start, *words = text.replace("\n", " \n").split(" ")
+            if "\t" in start:
+                return b"".join(map(self.first, CHUNK.findall(text)))
+            begin = self.first(start)
+        if len(self.held) > self.limit // 2:
+            self.older, self.held = self.held, {}
+        found = list(map(self.held.get, words))
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            w = words[k]
+            if (ids := self.held.get(w) or self.learned(w)) is None:
+                return b"".join(map(self.first, CHUNK.findall(text)))
+            found[k] = ids
+        return begin + b"".join(found)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if ODD.search(text) or self.added.search(text) else self.chunks.findall(text) for text in texts]
-        held = self.held
-        new = {c for cs in split if cs for c in cs if c not in held}
-        if len(held) + len(new) > self.limit:
-            held.clear()
-            new = {c for cs in split if cs for c in cs}
-        self.learn(list(new))
-        return [self.raw([text])[0] if cs is None else b"".join([held[c] for c in cs]) for text, cs in zip(texts, split, strict=True)]
+        return [self.one(text) for text in texts]
 
 
 @functools.lru_cache(maxsize=4)
@@ -237,11 +263,11 @@ def slices(b: pa.RecordBatch, size: int = 128):
 RULES = ("first", "last", "largest")
 
 
-def token_spans(text: str, loaded, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+def token_spans(text: str, ranks_path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
     """Character spans of the tokens of a text, encoded once. A token that
     holds a part of a character spans that character."""
-    lengths = loaded[2]
-    ids = encode_text(text, loaded, pattern)
+    lengths = load_ranks(ranks_path, pattern)[2]
+    ids = encode_text(text, ranks_path, pattern)
     stop = np.cumsum(lengths[ids]) if len(ids) else np.zeros(0, np.int64)
     start = stop - lengths[ids] if len(ids) else stop
     if len(text) == (len(stop) and stop[-1]):  # ASCII
@@ -278,13 +304,12 @@ def line_bounds(text: str) -> np.ndarray:
 
 
 def _sections(batches, ranks_path: str, pattern: str, rule: str, whole: bool):
-    loaded = load_ranks(ranks_path, pattern)
     for b in batches:
         for ids, texts in slices(b, 256):
             out: dict[str, list] = {k: [] for k in ("doc_id", "n_tokens", "n_sections", "n_crossing", "section_tokens")}
             flat: dict[str, list] = {k: [] for k in ("doc_id", "section", "start", "end", "n_tokens")}
             for d, text in zip(ids, texts, strict=True):
-                start, stop = token_spans(text, loaded, pattern)
+                start, stop = token_spans(text, ranks_path, pattern)
                 bounds = line_bounds(text)
                 counts, crossing = attribute(start, stop, bounds, rule)
                 if whole:
