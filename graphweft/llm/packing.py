@@ -4,9 +4,10 @@ Each partition packs its own stream of documents, so nothing is shuffled and
 a lost task is repeated alone. A document of more than a window is cut into
 full windows; what is left, or a shorter document, goes to the fill level
 that makes the sum of squared counts of partly filled windows smallest. The
-counts are kept in an array by level. At the end of a partition the windows
-still open are poured together by cutting, so at most one window of each
-partition is left part full.
+counts are kept in an array by level. At the end of a partition, and whenever
+the open windows hold OPEN_TOKENS, they are poured together by cutting: all but
+one come out full, and that one stays open. So memory is bounded and at most
+one window of each partition is left part full.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 NAMES = [x.split()[0] for x in PIECES.split(", ")]
 #: A partition's sequence ids start at its number times this.
 STRIDE = 1 << 40
+#: Tokens in open windows from which they are poured together (four bytes each).
+OPEN_TOKENS = 1 << 22
 
 
 class SumOfSquares:
@@ -34,7 +37,7 @@ class SumOfSquares:
     an item fills; flush() returns the rest, at most one of them part full."""
 
     def __init__(self, window: int):
-        self.window = window
+        self.window, self.held = window, 0  # held: tokens in open windows
         self.count = np.zeros(window + 1, np.int64)  # open windows by fill level; the ends stay 0
         self.open: list[list[list]] = [[] for _ in range(window)]
 
@@ -60,12 +63,23 @@ class SumOfSquares:
             pieces.append(piece)
         else:
             pieces = [piece]
+        self.held += size
         if h + size == self.window:
+            self.held -= self.window
             return pieces
         self.open[h + size].append(pieces)
         self.count[h + size] += 1
         return None
 
+    def pour(self, cut) -> list[list]:
+        """The full windows of flush(); one that isn't full stays open."""
+        out = self.flush(cut)
+        if out and (size := sum(p[2] for p in out[-1])) < self.window:
+            self.open[size].append(out.pop())
+            self.count[size] += 1
+            self.held = size
+        return out
+
     def flush(self, cut) -> list[list]:
         """cut(piece, k): the first k tokens of a piece, and the rest."""
         left = [p for level in range(self.window - 1, 0, -1) for p in self.open[level]]
@@ -124,6 +138,9 @@ def _pack(batches, tokenizer: str, white_space_dropped: bool, end_id: int, windo
                     emit([(doc, s, window, raw[4 * s : 4 * (s + window)], total)])
                 if whole < total and (full := packer.put((doc, whole, total - whole, raw[4 * whole :], total), total - whole)):
                     emit(full)
+                if packer.held >= OPEN_TOKENS:
+                    for pieces in packer.pour(cut):
+                        emit(pieces)
             if len(rows) > 5000:
                 yield taken()
     for pieces in packer.flush(cut):
