@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.llm.common import batch_of, pick
+from graphweft.llm.common import batch_of, numbered, pick, place
 from graphweft.llm.tokens import slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -91,13 +91,15 @@ WORDS_IN = re.compile(rf"(?P<digit>{_ONE}|[0-9])(?!\w)|(?P<plus>plus)|(?P<dot>\x
 SPELLED_SIGN = re.compile(rf"(?<!\w){_ONE}[\x20-](?:dot[\x20-])?(?:{_ONE}|[0-9])(?!\w)", re.I)
 
 _OPEN, _SHUT = r"\x20?[\[({<]\x20?", r"\x20?[\])}>]\x20?"
-AT_DOT = re.compile(
-    rf"(?P<local>[A-Za-z0-9._%+-]+)(?P<at>{_OPEN}(?:at|@|arroba){_SHUT}|\x20(?:at|arroba)\x20|\x20?@\x20?)"
-    rf"(?P<host>[A-Za-z0-9-]+(?:(?:{_OPEN}(?:dot|punkt|point|punto|\.){_SHUT}|\x20(?:dot|punkt|point|punto)\x20|\x20?\.\x20?(?=[a-z0-9])|\.)[A-Za-z0-9-]+)+)",
+#: What may stand for the sign between name and host; names are read backward from it.
+AT = re.compile(rf"{_OPEN}(?:at|@|arroba){_SHUT}|\x20(?:at|arroba)\x20|\x20?@\x20?", re.I)
+#: The host behind it. A part is taken whole, so no text is read twice.
+HOST = re.compile(
+    rf"[A-Za-z0-9-]++(?:(?:{_OPEN}(?:dot|punkt|point|punto|\.){_SHUT}|\x20(?:dot|punkt|point|punto)\x20|\x20?\.\x20?(?=[a-z0-9])|\.)[A-Za-z0-9-]++)+",
     re.I,
 )
 DOT = re.compile(rf"{_OPEN}(?:dot|punkt|point|punto|\.){_SHUT}|\x20(?:dot|punkt|point|punto)\x20|\x20?\.\x20?", re.I)
-#: A cheap sign that AT_DOT may find a disguise: each way to write one that it knows.
+#: A cheap sign that at_and_dot may find a disguise: each way to write one that it knows.
 AT_SIGN = re.compile(
     rf"{_OPEN}(?:at|@|arroba){_SHUT}|\x20(?:dot|punkt|point|punto)\x20|{_OPEN}(?:dot|punkt|point|punto|\.){_SHUT}"
     r"|\x20@|@\x20|@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+(?:\x20\.|\.\x20)",
@@ -170,10 +172,17 @@ def spelled_digits(m: Mapped) -> None:
 
 
 def at_and_dot(m: Mapped) -> None:
-    changes, x = [], AT_DOT.search(m.text)
+    changes, text, after, x = [], m.text, 0, AT.search(m.text)
     while x:
-        at, end = x["at"], x.end()
-        dots = [(d.start(), d.end()) for d in DOT.finditer(m.text, *x.span("host"))]
+        start = x.start()
+        while start > after and LOCAL.match(text, start - 1):
+            start -= 1
+        host = HOST.match(text, x.end()) if start < x.start() else None
+        if not host:
+            x = AT.search(text, x.start() + 1)
+            continue
+        at, end = x.group(), host.end()
+        dots = [(d.start(), d.end()) for d in DOT.finditer(text, *host.span())]
         bracketed, bare = re.search(r"[\[({<]", at), not re.search(r"[\[({<@]", at)
 
         def ends(a: int, b: int, dot: str, bracketed=bracketed) -> bool:
@@ -181,17 +190,18 @@ def at_and_dot(m: Mapped) -> None:
             label = m.text[a:b]
             return label.lower() in ENDINGS or bool(bracketed) and dot == "." and b - a > 1 and label.isascii() and label.isalpha()
 
+        edges = [*dots, (end, end)]
         for k in range(1, len(dots)):  # ". " after an ending ends a sentence, unless a small ending follows
-            (p, q), (a, b), c = *dots[k - 1 : k + 1], [*dots, (end, end)][k + 1][0]
+            (p, q), (a, b), c = edges[k - 1], edges[k], edges[k + 1][0]
             if m.text[a:b] == ". " and ends(q, a, m.text[p:q]) and not (m.text[b:c].islower() and m.text[b:c] in ENDINGS):
                 dots, end = dots[:k], a
                 break
         disguised = at != "@" or any(m.text[a:b] != "." for a, b in dots)
         spelled = any(m.text[a:b].strip(" .") for a, b in dots)
         if disguised and not (bare and not spelled) and (not bare and spelled or ends(dots[-1][1], end, m.text[slice(*dots[-1])])):
-            changes.append((*x.span("at"), "@"))
+            changes.append((*x.span(), "@"))
             changes += [(a, b, ".") for a, b in dots]
-        x = AT_DOT.search(m.text, end)
+        after, x = end, AT.search(text, end)
     m.edit(changes)
 
 
@@ -262,8 +272,8 @@ def _redact(batches, k: int):
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with personal data in text_col replaced by [KIND]; other columns,
     whatever their names, and null texts stay as they are."""
-    k = [c.lower() for c in docs.columns].index(text_col.lower())
-    return docs.mapInArrow(functools.partial(_redact, k=k), docs.schema)
+    own = numbered(docs)
+    return own.mapInArrow(functools.partial(_redact, k=place(docs, text_col)), own.schema).toDF(*docs.columns)
 
 
 def _digest(batches):

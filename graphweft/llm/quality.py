@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphweft.llm.common import batch_of, pick
+from graphweft.llm.common import batch_of, numbered, pick, place
 from graphweft.llm.tokens import slices
 
 BITS = 15
@@ -161,5 +161,5 @@ def _passing(batches, k: int, table: np.ndarray, threshold: float):
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, that judge() keeps."""
     table = ratios(counts(docs, labels, id_col, text_col))
-    k = [c.lower() for c in docs.columns].index(text_col.lower())
-    return docs.mapInArrow(functools.partial(_passing, k=k, table=table, threshold=threshold), docs.schema)
+    own = numbered(docs)
+    return own.mapInArrow(functools.partial(_passing, k=place(docs, text_col), table=table, threshold=threshold), own.schema).toDF(*docs.columns)
