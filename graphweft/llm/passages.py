@@ -8,9 +8,10 @@ run of windows is counted. Anchors that stand in documents of two ids are
 recurring; around each of their places the words are cut out as a segment.
 Equal segments are summed to one with its smallest doc_id before anything is
 gathered. Sorted by anchor, segments are taken in shards of bounded size: the
-windows that two segments of a shard share are confirmed word for word and
-compiled into an Aho-Corasick automaton, and the shard's segments are streamed
-through it, which locates each occurrence of a window that begins earlier.
+windows that segments of different documents share are confirmed by counting
+and compiled into an Aho-Corasick automaton over words, and the shard's
+segments - all text around recurring anchors - are streamed through it, which
+locates each occurrence, word for word, and so the earliest document of each.
 
 An anchor that stands in very many places is not gathered: there each window
 is a segment of its own, so that equal ones are summed.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphweft.llm.common import WORD, batch_of
+from graphweft.llm.common import WORD, batch_of, numbered, place
 
 WORDS = re.compile(WORD)
 #: Words of the phrases of which a window's smallest hash is its anchor.
@@ -117,34 +118,52 @@ def _segments(batches, width: int):
             yield batch_of(schema, out)
 
 
+def confirmed(codes: list[np.ndarray], firsts: list[int], width: int) -> list[tuple[int, ...]]:
+    """Windows that stand in segments of different first documents. Hashes are
+    counted to find them, so a window may be among them that does not recur;
+    the automaton's matches, word for word, decide."""
+    size = np.array([len(c) - width + 1 for c in codes])
+    flat = np.concatenate(codes)
+    g = np.zeros(len(flat) - width + 1, np.uint64)
+    for k in range(width):
+        g = mixed(g + flat[k : k + len(g)].astype(np.uint64) + np.uint64(1))
+    begin = np.concatenate([[0], np.cumsum([len(c) for c in codes])[:-1]])
+    at = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+    own, g = np.repeat(np.array(firsts, np.int64), size), g[at]
+    order = np.lexsort((own, g))
+    g, own, at = g[order], own[order], at[order]
+    start = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1])
+    stop = np.concatenate([start[1:], [len(g)]])
+    recurs = np.repeat(own[start] != own[stop - 1], stop - start)
+    return list({tuple(flat[a : a + width].tolist()) for a in at[recurs].tolist()})
+
+
 def located(segments: list[str], firsts: list[int], width: int) -> list[int]:
     """For each segment the mask of its windows that begin in a document before
-    the segment's first. Windows that segments of different first documents
-    share are the automaton's phrases."""
+    the segment's first. Confirmed windows are compiled into an automaton over
+    words, and every segment is streamed through it: its matches are the
+    occurrences, and a window's earliest document is the least of them."""
     import ahocorasick
 
-    earliest: dict[str, int] = {}
-    shared: set[str] = set()
-    for segment, first in zip(segments, firsts, strict=True):
-        words = segment.split(" ")
-        for k in range(len(words) - width + 1):
-            window = " ".join(words[k : k + width])
-            held = earliest.setdefault(window, first)
-            if held != first:
-                shared.add(window)
-                earliest[window] = min(held, first)
-    masks = [0] * len(segments)
-    if not shared:
+    ids: dict[str, int] = {}
+    codes = [np.array([ids.setdefault(w, len(ids)) for w in s.split(" ")], np.int64) for s in segments]
+    masks, phrases = [0] * len(segments), confirmed(codes, firsts, width)
+    if not phrases:
         return masks
-    automaton = ahocorasick.Automaton()
-    for window in shared:
-        automaton.add_word(f" {window} ", (earliest[window], len(window)))
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    for k, window in enumerate(phrases):
+        automaton.add_word(window, k)
     automaton.make_automaton()
-    for at, (segment, first) in enumerate(zip(segments, firsts, strict=True)):
-        subject = f" {segment} "
-        for end, (begins, size) in automaton.iter(subject):
-            if begins < first:
-                masks[at] |= 1 << subject.count(" ", 0, end - size - 1)
+    earliest: list[int | None] = [None] * len(phrases)
+    found = []
+    for at, (code, first) in enumerate(zip(codes, firsts, strict=True)):
+        for end, k in automaton.iter(tuple(code.tolist())):
+            found.append((at, end - width + 1, k))
+            if earliest[k] is None or first < earliest[k]:
+                earliest[k] = first
+    for at, begin, k in found:
+        if earliest[k] < firsts[at]:
+            masks[at] |= 1 << begin
     return masks
 
 
@@ -225,9 +244,15 @@ def repeats(keyed: DataFrame, width: int = 13, crowded: int = CROWDED, shard: in
 
 
 def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rest: bool = False) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = [F.struct(*[docs[c] for c in docs.columns]).alias("rest")] if rest else []
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"), *own)
+    """(doc_id, th, text and, if asked, the row as a struct of numbered
+    columns). th tells texts of one doc_id apart; it is 0 where no doc_id
+    repeats, as a column of zeros takes no room. Rows without an id are spread by it."""
+    unique = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long")).count().where("count > 1").isEmpty()
+    own = numbered(docs)
+    d, t = (F.col(f"c{place(docs, c)}") for c in (id_col, text_col))
+    d, t = d.cast("long"), F.coalesce(t.cast("string"), F.lit(""))
+    th = F.when(d.isNull(), F.xxhash64(t)).otherwise(F.lit(0).cast("long")) if unique else F.xxhash64(t)
+    return own.select(d.alias("doc_id"), th.alias("th"), t.alias("text"), *([F.struct(*own.columns).alias("rest")] if rest else []))
 
 
 def _kept(batches, width: int, digest: bool):
@@ -291,5 +316,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     rows = repeats(keyed_rows(docs, id_col, text_col, rest=True), width)
     schema = T.StructType([T.StructField("text", T.StringType()), rows.schema["rest"]])
     cleaned = rows.mapInArrow(functools.partial(_cleaned, width=width), schema)
-    own = F.col("rest").getField
-    return cleaned.select(*[(F.when(own(c).isNotNull(), F.col("text")) if c == text_col else own(c)).alias(c) for c in docs.columns])
+    own = [F.col("rest").getField(f"c{k}") for k in range(len(docs.columns))]
+    k = place(docs, text_col)
+    own[k] = F.when(own[k].isNotNull(), F.col("text"))
+    return cleaned.select(*own).toDF(*docs.columns)
