@@ -16,10 +16,12 @@ from graphweft.storage import stored, written
 
 def closure(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
     """start (location, perhaps seed) and all that edges (src, dst) lead to from
-    it, with `depth`, the fewest steps. most: the number of rounds at most."""
+    it, with `depth`, the fewest steps. most: the number of rounds at most.
+    Edges that have a seed too are followed from that seed only."""
     spark = start.sparkSession
     keys = [c for c in ("seed", "location") if c in start.columns]
-    steps = edges.select("src", "dst").where("dst is not null")
+    own = [c for c in ("seed",) if c in edges.columns and c in keys]
+    steps = edges.select(*own, F.col("src").alias("location"), "dst").where("dst is not null")
     first = start.select(*keys).distinct().withColumn("depth", F.lit(0))
     paths = [written(first, "frontier")]
     depth = 0
@@ -29,7 +31,7 @@ def closure(edges: DataFrame, start: DataFrame, most: int | None = None) -> Data
             break
         seen = spark.read.schema(first.schema).parquet(*paths).select(*keys)
         depth += 1
-        moved = frontier.join(steps, F.col("location") == F.col("src")).select(*[c for c in keys if c != "location"], F.col("dst").alias("location")).distinct()
+        moved = frontier.join(steps, [*own, "location"]).select(*[c for c in keys if c != "location"], F.col("dst").alias("location")).distinct()
         paths.append(written(moved.join(seen, keys, "left_anti").select(*keys).withColumn("depth", F.lit(depth)), "frontier"))
     return spark.read.schema(first.schema).parquet(*paths)
 

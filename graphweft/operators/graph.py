@@ -135,27 +135,25 @@ def edge_errors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def dependency_flags(nodes: DataFrame, edges: DataFrame, root: str = "") -> DataFrame:
     """(location, extraneous, dev, optional, peer, dev_optional). A flag is
-    unset on what the root reaches without edges of its kind."""
-    spark = nodes.sparkSession
-    start = spark.createDataFrame([(root,)], "location string")
-    steps = edges.where("dst is not null")
-    links = nodes.where("is_link").select(F.col("location").alias("src"), F.col("target_location").alias("dst"))
-
-    def lacks(name: str, allowed: Column) -> DataFrame:
-        free = reached(steps.where(allowed).select("src", "dst").union(links), start).select("location", F.lit(True).alias(f"_{name}"))
-        return free
-
+    unset on what the root reaches without edges of its kind. All five are
+    followed in one closure, each over the edges that it allows."""
     kind = F.col("type")
-    out = nodes.select("location")
-    for name, allowed in (
-        ("extraneous", kind != "peerOptional"),
-        ("dev", kind != "dev"),
-        ("optional", ~kind.isin("optional", "peerOptional")),
-        ("peer", ~kind.isin("peer", "peerOptional")),
-        ("both", ~kind.isin("dev", "optional", "peerOptional")),
-    ):
-        out = out.join(lacks(name, allowed), "location", "left").withColumn(name, F.col(f"_{name}").isNull()).drop(f"_{name}")
-    return out.select("location", "extraneous", "dev", "optional", "peer", (F.col("both") & ~F.col("dev") & ~F.col("optional")).alias("dev_optional"))
+    allowed = {
+        "extraneous": kind != "peerOptional",
+        "dev": kind != "dev",
+        "optional": ~kind.isin("optional", "peerOptional"),
+        "peer": ~kind.isin("peer", "peerOptional"),
+        "both": ~kind.isin("dev", "optional", "peerOptional"),
+    }
+    every = F.array(*map(F.lit, allowed))
+    steps = edges.where("dst is not null").select("src", "dst", F.array_compact(F.array(*[F.when(ok, F.lit(name)) for name, ok in allowed.items()])).alias("seeds"))
+    links = nodes.where("is_link").select(F.col("location").alias("src"), F.col("target_location").alias("dst"), every.alias("seeds"))
+    tagged = steps.union(links).groupBy("src", "dst").agg(F.array_distinct(F.flatten(F.collect_list("seeds"))).alias("seeds")).select("src", "dst", F.explode("seeds").alias("seed"))
+    start = nodes.sparkSession.createDataFrame([(name, root) for name in allowed], "seed string, location string")
+    free = reached(tagged, start).groupBy("location").agg(F.collect_set("seed").alias("_free"))
+    found = nodes.select("location").join(free, "location", "left").withColumn("_free", F.coalesce("_free", F.array().cast("array<string>")))
+    has = lambda name: ~F.array_contains("_free", name)
+    return found.select("location", *[has(k).alias(k) for k in ("extraneous", "dev", "optional", "peer")], (has("both") & ~has("dev") & ~has("optional")).alias("dev_optional"))
 
 
 # --- sets --------------------------------------------------------------------------
@@ -267,11 +265,12 @@ def matches(a: Column, b: Column) -> Column:
     )
 
 
-def can_replace(edges: DataFrame, nodes: DataFrame, candidates: DataFrame) -> DataFrame:
+def can_replace(edges: DataFrame, candidates: DataFrame, root: str = "") -> DataFrame:
     """candidates (location, version): whether each edge into the location that
     isn't the root's own would be satisfied by the version."""
-    terms = semver.range_terms(edges.select("spec"))
-    into = candidates.join(edges.where("dst is not null").select(F.col("dst").alias("location"), "spec"), "location").join(terms, "spec", "left")
+    others = edges.where("dst is not null").where(F.col("src") != root)
+    terms = semver.range_terms(others.select("spec"))
+    into = candidates.join(others.select(F.col("dst").alias("location"), "spec"), "location").join(terms, "spec", "left")
     held = into.groupBy("location", "version").agg(F.bool_and(semver.sv_satisfies(semver.sv(F.col("version")), F.col("terms"))).alias("ok"))
     return candidates.join(held, ["location", "version"], "left").withColumn("ok", F.coalesce("ok", F.lit(True)))
 

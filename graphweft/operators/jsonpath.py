@@ -50,13 +50,14 @@ def _quoted(key: str) -> str:
 def get(document: Column, path: str, unwrap: bool = True) -> Column:
     """Map of path to variant. A key that meets an array fans out to
     `path[i].key` for each element and stops there; with unwrap, an array of
-    one element stands for the element. Nothing found: an empty map."""
+    one element stands for the element and an empty one for nothing. Nothing
+    found: an empty map."""
     none = F.create_map().cast("map<string,variant>")
 
     def held(prefix: str, value: Column) -> Column:
         if unwrap:
             items = F.try_variant_get(value, "$", "array<variant>")
-            value = F.when(F.size(items) == 1, F.try_element_at(items, F.lit(1))).otherwise(value)
+            value = F.when(F.size(items) <= 1, F.try_element_at(items, F.lit(1))).otherwise(value)
         return F.when(value.isNotNull(), F.create_map(F.lit(prefix), value)).otherwise(none)
 
     def build(value: Column, steps: list, prefix: str) -> Column:
@@ -64,7 +65,7 @@ def get(document: Column, path: str, unwrap: bool = True) -> Column:
             return held(prefix, value)
         first, rest = steps[0], steps[1:]
         if first is APPEND:
-            raise PathError("ENOAPPEND", "an empty index only sets")
+            raise PathError("EINVALIDSYNTAX", "an empty index only sets")
         if isinstance(first, int):
             return build(F.try_variant_get(value, f"$[{first}]", "variant"), rest, f"{prefix}[{first}]")
         here = f"{prefix}.{first}" if prefix else first

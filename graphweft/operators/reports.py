@@ -53,25 +53,48 @@ def expect_results(nodes: DataFrame, expected: bool | int) -> bool:
 # --- outdated ----------------------------------------------------------------------
 
 
-def outdated(graph: Graph, edges: DataFrame | None = None, omit: tuple[str, ...] = ()) -> DataFrame:
+def outdated(graph: Graph, edges: DataFrame | None = None, omit: tuple[str, ...] = (), tags: DataFrame | None = None, before: str | None = None) -> DataFrame:
     """(name, current, wanted, latest, dependent, type) of edges whose target
     isn't the best version that the spec lets in, or that isn't the newest.
-    What a spec lets in is looked for once for each name and spec, not each edge."""
+    What a spec lets in is looked for once for each name and spec, not each edge.
+    tags (name, tag, version): `latest` is what that tag says, the highest
+    version only where there is none. before: versions published later don't count."""
     e = (graph.edges if edges is None else edges).where(text.is_registry(text.spec_type(F.col("spec"))))
     for kind in omit:
         e = e.where(F.col("type") != kind)
-    v = graph.versions.select("name", "version", semver.sv(F.col("version")).alias("v")).where("v is not null")
+    published = graph.versions if before is None else graph.versions.where(F.col("published_at") <= F.lit(before).cast("timestamp"))
+    v = published.select("name", "version", semver.sv(F.col("version")).alias("v")).where("v is not null")
     known = v.groupBy("name").agg(F.sort_array(F.collect_set(F.struct("v", "version")), asc=False).alias("all"))
     current = graph.nodes.select(F.col("location").alias("dst"), F.col("version").alias("current"))
     terms = semver.range_terms(e.select("spec"))
     wanted = F.filter("all", lambda x: semver.sv_satisfies(x["v"], F.col("terms")))
     asked = e.select("name", "spec").distinct().join(known, "name").join(terms, "spec")
     best = asked.select("name", "spec", F.try_element_at(wanted, F.lit(1))["version"].alias("wanted"), F.col("all")[0]["version"].alias("latest"))
+    if tags is not None:
+        tagged = tags.where("tag = 'latest'").join(v.select("name", "version"), ["name", "version"], "left_semi").select("name", F.col("version").alias("_tagged"))
+        best = best.join(tagged, "name", "left").withColumn("latest", F.coalesce("_tagged", "latest")).drop("_tagged")
     rows = e.join(best, ["name", "spec"]).join(current, "dst", "left").where(F.col("current").isNotNull() | (F.col("type") == "prod"))
     differs = F.col("current").isNull() | ~F.col("current").eqNullSafe(F.col("wanted")) | ~F.col("wanted").eqNullSafe(F.col("latest"))
     return rows.where(F.col("wanted").isNotNull() & differs).select("name", "current", "wanted", "latest", F.col("src").alias("dependent"), "type")
 
 
+def select_edges(graph: Graph, names: list[str] | None = None, every: bool = False) -> DataFrame:
+    """The edges that a report looks at: those into nodes of the names, else
+    all, else those out of the root and its workspaces."""
+    e = graph.edges
+    if names:
+        return e.where(F.col("name").isin(names))
+    if every:
+        return e
+    top = graph.nodes.where("is_root or is_workspace").select(F.col("location").alias("src"))
+    return e.join(top, "src", "left_semi")
+
+
+def page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
+    """`limit` rows in an order that leaves no ties, after the first `offset`."""
+    return rows.orderBy(*order).offset(offset).limit(limit)
+
+
 def folded_by_name(rows: DataFrame) -> DataFrame:
     """One row a name; what several edges say becomes a list."""
     rest = [c for c in rows.columns if c != "name"]
@@ -156,6 +179,27 @@ def vulnerability_summary(graph: Graph) -> DataFrame:
     )
 
 
+def bulk_request(nodes: DataFrame) -> DataFrame:
+    """(name, versions): distinct versions of each package name, sorted as
+    text; root, links and nodes without a version are left out."""
+    own = nodes.where("not is_root and not is_link and version is not null")
+    return own.groupBy(F.col("package_name").alias("name")).agg(F.sort_array(F.collect_set("version")).alias("versions"))
+
+
+def fix_blocked_by_age(vulnerable: DataFrame, versions: DataFrame, cutoff: str) -> DataFrame:
+    """(name, spec, fix): the highest version that the spec lets in and no
+    advisory spoils, where each such version is newer than the cutoff.
+    vulnerable: name, spec, vulnerable_versions."""
+    asked = vulnerable.select("name", "spec", "vulnerable_versions").distinct()
+    terms = lambda c, to: semver.range_terms(asked.select(F.col(c).alias("spec"))).select(F.col("spec").alias(c), F.col("terms").alias(to))
+    v = versions.select("name", "version", "published_at", semver.sv(F.col("version")).alias("v"))
+    pairs = asked.join(v, "name").join(terms("spec", "allows"), "spec").join(terms("vulnerable_versions", "spoils"), "vulnerable_versions")
+    spoiled = semver.sv_satisfies(F.col("v"), F.col("spoils"), include_prerelease=True)
+    good = pairs.where(semver.sv_satisfies(F.col("v"), F.col("allows"))).groupBy("name", "spec", "version").agg(F.bool_or(spoiled).alias("bad"), F.first("v").alias("v"), F.min("published_at").alias("at")).where("not bad")
+    old = F.max(F.col("at") <= F.lit(cutoff).cast("timestamp"))
+    return good.groupBy("name", "spec").agg(F.max_by("version", "v").alias("fix"), old.alias("old")).where("not old").drop("old")
+
+
 def severity_counts(summary: DataFrame) -> DataFrame:
     """One row: how many names by severity, and in all."""
     return summary.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITY], F.count(F.lit(1)).alias("total"))
@@ -309,6 +353,21 @@ def explain(graph: Graph, target: DataFrame, most: int | None = None) -> DataFra
     return paths(up, target.select("location"), most)
 
 
+def find_nodes(graph: Graph, wanted: str) -> DataFrame:
+    """Nodes that an argument names: a location, else a realpath, else a name,
+    else a name with a range behind its last @. The first kind that finds any decides."""
+    name, _, range_ = wanted.rpartition("@")
+    tries = [F.col("location") == wanted, F.col("realpath") == wanted, F.col("name") == wanted]
+    if name:
+        tries.append((F.col("name") == name) & F.coalesce(semver.in_range(semver.sv(F.col("version")), range_), F.lit(False)))
+    kind = F.lit(None).cast("int")
+    for k, hit in reversed(list(enumerate(tries))):
+        kind = F.when(F.coalesce(hit, F.lit(False)), k).otherwise(kind)
+    found = graph.nodes.withColumn("_kind", kind).where("_kind is not null")
+    first = found.agg(F.min("_kind")).first()[0]
+    return found.where(F.col("_kind") == F.lit(first)).drop("_kind")
+
+
 def brief_dependents(edges: DataFrame, depth: int) -> DataFrame:
     """(location, shown, more): the first ceil(depth / 2) dependents, and how many others."""
     k = (depth + 1) // 2
@@ -353,7 +412,7 @@ def chosen_patch(nodes: DataFrame, selectors: DataFrame) -> DataFrame:
     return rows.groupBy("location").agg(F.min(F.when(F.col("good"), F.col("selector"))).alias("selector"), (F.count_if("good") != 1).alias("ambiguous"))
 
 
-def engine_check(nodes: DataFrame, runtime: str, os: str | None = None) -> DataFrame:
+def engine_check(nodes: DataFrame, runtime: str) -> DataFrame:
     """(location, name, wants): nodes whose engines.node range the runtime doesn't satisfy."""
     wants = F.try_variant_get("package", "$.engines.node", "string")
     rows = nodes.select("location", "name", wants.alias("wants")).where("wants is not null")
@@ -361,6 +420,23 @@ def engine_check(nodes: DataFrame, runtime: str, os: str | None = None) -> DataF
     return rows.join(tested, "wants").where("not ok").select("location", "name", "wants")
 
 
+def platform_check(nodes: DataFrame, os: str, cpu: str, libc: str | None = None) -> DataFrame:
+    """(location, name, failed): nodes whose os, cpu or libc list shuts this
+    platform out, and the first list that does. A list of names lets in only
+    those, or all with `any`; a name with ! before it is shut out."""
+
+    def shut(key: str, here: str | None) -> Column:
+        listed = F.coalesce(F.try_variant_get("package", f"$.{key}", "array<string>"), F.transform(F.array_compact(F.array(F.try_variant_get("package", f"$.{key}", "string"))), lambda x: x))
+        let_in = F.filter(listed, lambda x: ~x.startswith("!"))
+        if here is None:  # unknown: only a list that lets in something shuts it out
+            return F.coalesce(F.size(let_in) > 0, F.lit(False))
+        wrong = F.array_contains(listed, f"!{here}") | ((F.size(let_in) > 0) & ~F.array_contains(let_in, here) & ~F.array_contains(let_in, "any"))
+        return F.coalesce(wrong, F.lit(False))
+
+    failed = F.when(shut("os", os), "os").when(shut("cpu", cpu), "cpu").when(shut("libc", libc), "libc")
+    return nodes.select("location", "name", failed.alias("failed")).where("failed is not null")
+
+
 def signature_states(nodes: DataFrame, signatures: DataFrame) -> DataFrame:
     """(location, state): missing, invalid or verified, a row for each location.
     signatures: name, version, valid."""

@@ -14,7 +14,7 @@ from graphweft.operators.closure import closure, reached
 from graphweft.operators.filediff import file_diff
 from graphweft.operators.resolve import ideal_trees
 from graphweft.plans.compiler import select
-from graphweft.sources import star
+from graphweft.sources import lockfile, star
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -527,11 +527,194 @@ def ideal_tree_query(spark, sf_dir):
     return ideal_trees(wanted.unionByName(offered))
 
 
+
+# --- selectors by name and version, nodes by argument, edge choice -------------------
+
+selector("sel_id_version", "#NATION_3@^1.0.0, #NATION_4@2", nodes_of("name = 'NATION_3'"))
+
+
+def finding(name: str, wanted: str, where: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return reports.find_nodes(star.star_graph(spark, sf_dir), wanted).select("location", "name", "version")
+
+    query(name, nodes_of(where))(run)
+
+
+finding("find_by_location", "nation/3", "location = 'nation/3'")
+finding("find_by_path", "/star/region/2", "location = 'region/2'")
+finding("find_by_name", "red ring", "name = 'red ring'")
+finding("find_by_range", "red ring@2 || 3", "name = 'red ring' and split_part(version, '.', 1) in ('2', '3')")
+
+
+@query("edges_default", f"with {GRAPH} select src, dst, name from e where src = '' or src like 'customer/%'")
+def edges_default(spark, sf_dir):
+    return reports.select_edges(star.star_graph(spark, sf_dir)).select("src", "dst", "name")
+
+
+@query("edges_by_name", f"with {GRAPH} select src, dst, name from e where name in ('red ring', 'ASIA')")
+def edges_by_name(spark, sf_dir):
+    return reports.select_edges(star.star_graph(spark, sf_dir), ["red ring", "ASIA"]).select("src", "dst", "name")
+
+
+OUT_EDGES = f"with {GRAPH}, {VER}, edge as (select e.*, n.version as current from e join n on n.location = e.dst where spec <> '*' and e.name in (select name from ver))"
+
+
+@query("outdated_tagged", f"""{OUT_EDGES}, tag as (select name, arg_min(version, (a, b, c)) as tagged from ver group by name),
+ best as (select edge.src, edge.name, edge.type, edge.current, arg_max(v.version, (v.a, v.b, v.c)) filter (where v.a = try_cast(substr(split_part(edge.spec, '.', 1), 2) as int)) as wanted from edge join ver v on v.name = edge.name group by all)
+ select name, current, wanted, tagged as latest, src as dependent, type from best join tag using (name) where wanted is not null and (current <> wanted or wanted <> tagged)""")
+def outdated_tagged(spark, sf_dir):
+    g = star.star_graph(spark, sf_dir)
+    tags = g.versions.groupBy("name").agg(F.min_by("version", semver.sv(F.col("version"))).alias("version")).withColumn("tag", F.lit("latest"))
+    return reports.outdated(g, tags=tags)
+
+
+@query("outdated_before", f"""{OUT_EDGES}, old as (select * from ver where days <= 24),
+ best as (select edge.src, edge.name, edge.type, edge.current, arg_max(v.version, (v.a, v.b, v.c)) filter (where v.a = try_cast(substr(split_part(edge.spec, '.', 1), 2) as int)) as wanted, arg_max(v.version, (v.a, v.b, v.c)) as latest from edge join old v on v.name = edge.name group by all)
+ select name, current, wanted, latest, src as dependent, type from best where wanted is not null and (current <> wanted or wanted <> latest)""")
+def outdated_before(spark, sf_dir):
+    return reports.outdated(star.star_graph(spark, sf_dir), before="1996-01-25 00:00:00")
+
+
+@query("outdated_folded", f"""{OUT_EDGES},
+ best as (select edge.src, edge.dst, edge.name, edge.type, edge.current, arg_max(v.version, (v.a, v.b, v.c)) filter (where v.a = try_cast(substr(split_part(edge.spec, '.', 1), 2) as int)) as wanted, arg_max(v.version, (v.a, v.b, v.c)) as latest from edge join ver v on v.name = edge.name group by all)
+ select name, count(*) as entries from best where wanted is not null and (current <> wanted or wanted <> latest) and type <> 'dev' group by name""")
+def outdated_folded(spark, sf_dir):
+    return reports.folded_by_name(reports.outdated(star.star_graph(spark, sf_dir), omit=("dev",))).select("name", F.size("entries").cast("long").alias("entries"))
+
+
+@query("page_of_names", "select p_partkey as location, p_name as name from part order by p_name, p_partkey limit 50 offset 120")
+def page_of_names(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("location"), F.col("p_name").alias("name"))
+    return reports.page(rows, ["name", "location"], 120, 50)
+
+
+@query("audit_request", f"with n as ({N}) select name, string_agg(distinct version, ',' order by version) as versions from n where location <> '' group by name")
+def audit_request(spark, sf_dir):
+    return reports.bulk_request(star.star_graph(spark, sf_dir).nodes).select("name", F.array_join("versions", ",").alias("versions"))
+
+
+@query("audit_ranges", f"with {GRAPH}, {ADV}, {HIT} select name, case any_value(severity) when 'critical' then '<2.0.0' when 'high' then '>=3.0.0' when 'moderate' then '1.0.0 - 2.9.9' else '~4.1.0' end as ranges from hit group by name")
+def audit_ranges(spark, sf_dir):
+    return reports.vulnerability_summary(star.star_graph(spark, sf_dir)).select("name", "ranges")
+
+
+@query("audit_fix_age", f"""with {VER}, asked as (select distinct name, m from ver, (select unnest([1, 2, 3, 4]) as m) z where name like 'b%' or name like 'h%'),
+ good as (select asked.name, m, version, a, b, c, days from asked join ver using (name) where a = m and not (case when name like 'b%' then a < 2 else a >= 3 end))
+ select name, '^' || m || '.0.0' as spec, arg_max(version, (a, b, c)) as fix from good group by name, m having min(days) > 20""")
+def audit_fix_age(spark, sf_dir):
+    g = star.star_graph(spark, sf_dir)
+    specs = F.explode(F.array(*[F.lit(f"^{m}.0.0") for m in range(1, 5)])).alias("spec")
+    wanted = g.versions.select("name").distinct().join(g.advisories.select("name", "vulnerable_versions"), "name").where("name like 'b%' or name like 'h%'").select("name", "vulnerable_versions", specs)
+    return reports.fix_blocked_by_age(wanted, g.versions, "1996-01-21 00:00:00")
+
+
+@query("parseable_nodes", f"with n as ({N}) select location || ':' || name || '@' || version || ':' || coalesce(brand, '') as value from n where location <> ''")
+def parseable_nodes(spark, sf_dir):
+    rows = star.star_graph(spark, sf_dir).nodes.where("not is_root").select("location", F.concat("name", F.lit("@"), "version").alias("id"), F.try_variant_get("package", "$.brand", "string").alias("brand"))
+    return lockfile.parseable(rows, "location", "id", "brand")
+
+
+@query("json_lines", "select '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' as value from region")
+def json_lines(spark, sf_dir):
+    return lockfile.json_lines(table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
+
+
+@query("place_ranks", "select p_partkey as location, case when p_size % 3 = 0 then case when p_size % 2 = 0 then 0 else 1 end else 2 end as rank from part")
+def place_ranks(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("location"), reports.place_rank(F.col("p_partkey"), F.col("p_size") % 2 == 0, F.col("p_size") % 3 == 0).alias("rank"))
+
+
+@query("licences", "select p_partkey as location, case when p_size % 7 < 6 then p_type end as licence from part")
+def licences(spark, sf_dir):
+    forms = ('{"license":"%s"}', '{"license":{"type":"%s"}}', '{"licence":"%s"}', '{"licenses":[{"type":"%s"},{"type":"other"}]}', '{"licenses":["%s"]}', '{"license":["%s"]}', '{"name":"%s"}')
+    picked = F.element_at(F.array(*[F.format_string(f, "p_type") for f in forms]), (F.col("p_size") % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("location"), reports.licence(F.parse_json(picked)).alias("licence"))
+
+
+@query("platform", "select 'supplier/' || s_suppkey as location, case when s_suppkey % 4 < 2 then 'os' when s_suppkey % 3 = 0 then 'cpu' end as failed from supplier where s_suppkey % 4 < 2 or s_suppkey % 3 = 0")
+def platform(spark, sf_dir):
+    os = ('["darwin","win32"]', '["!linux"]', '["linux","!win32"]', "null")
+    manifest = F.format_string('{"os":%s,"cpu":%s}', F.element_at(F.array(*map(F.lit, os)), (F.col("s_suppkey") % 4 + 1).cast("int")), F.when(F.col("s_suppkey") % 3 == 0, F.lit('["arm64"]')).otherwise(F.lit('["any"]')))
+    nodes = table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier/"), "s_suppkey").alias("location"), F.col("s_name").alias("name"), F.parse_json(manifest).alias("package"))
+    return reports.platform_check(nodes, "linux", "x64").select("location", "failed")
+
+
+@query("identity", """select a.p_partkey as a, case when a.p_name <> b.p_name then false when a.p_size % 3 > 0 and b.p_size % 3 > 0 then a.p_brand = b.p_brand
+ when a.p_size % 2 > 0 and b.p_size % 2 > 0 then a.p_type = b.p_type else a.p_size = b.p_size end as same from part a join part b on b.p_name = a.p_name and b.p_partkey = a.p_partkey + 1 or b.p_partkey = a.p_partkey + 7""")
+def identity(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    size = F.col("p_size")
+    node = F.struct(F.col("p_name").alias("name"), F.col("p_name").alias("package_name"), size.cast("string").alias("version"), F.lit(False).alias("is_link"), F.lit(None).cast("string").alias("target_location"), F.when(size % 3 > 0, F.col("p_brand")).alias("integrity"), F.when(size % 2 > 0, F.col("p_type")).alias("resolved"))
+    a = part.select(F.col("p_partkey").alias("a"), node.alias("x"))
+    b = part.select(F.explode(F.array(F.col("p_partkey") - 1, F.col("p_partkey") - 7)).alias("a"), F.col("p_partkey").alias("b"), node.alias("y"))
+    pairs = a.join(b, "a").where((F.col("b") == F.col("a") + 7) | (F.col("x.name") == F.col("y.name")))
+    return pairs.select("a", G.matches(F.col("x"), F.col("y")).alias("same"))
+
+
+@query("can_replace", f"with {GRAPH} select location, coalesce(bool_and(spec = '*' or spec = '^2.0.0'), true) as ok from n left join e on dst = location and src <> '' where location like 'part/%' or location like 'customer/%' group by location")
+def can_replace(spark, sf_dir):
+    g = star.star_graph(spark, sf_dir)
+    candidates = g.nodes.where("location like 'part/%' or location like 'customer/%'").select("location", F.lit("2.3.4").alias("version"))
+    return G.can_replace(g.edges, candidates).select("location", "ok")
+
+
+@query("optional_set", f"""with recursive {GRAPH}, up as (select 'part/1' as location union select e.src from e join up on up.location = e.dst where type not in ('optional', 'peerOptional')),
+ s as (select location from up where location <> ''), r as (select location from s union select e.dst from e join r on r.location = e.src),
+ o as (select e.dst as location from e where e.src not in (select location from r) and e.dst in (select location from r) and e.dst not in (select location from s)
+  union select e.dst from e join o on o.location = e.src where e.dst not in (select location from s))
+ select location from r where location not in (select location from o)""")
+def optional_set(spark, sf_dir):
+    return G.optional_set(star.star_graph(spark, sf_dir).edges, spark.createDataFrame([("part/1",)], "location string")).select("location")
+
+
+# --- folders: nations hold customers and, the even ones, a region of their own ---------
+
+FOLDERS = """select '' as location, 'root' as name, '1.0.0' as version
+union all select 'node_modules/r' || r_regionkey, 'r' || r_regionkey, (r_regionkey + 1) || '.0.0' from {region}
+union all select 'node_modules/n' || n_nationkey, 'n' || n_nationkey, '1.0.0' from {nation}
+union all select 'node_modules/n' || n_nationkey || '/node_modules/r' || n_regionkey, 'r' || n_regionkey, (n_regionkey + 2) || '.0.0' from {nation} where n_nationkey % 2 = 0
+union all select 'node_modules/n' || c_nationkey || '/node_modules/c' || c_custkey, 'c' || c_custkey, '1.0.0' from {customer}"""
+NEEDS = """select 'node_modules/n' || c_nationkey || '/node_modules/c' || c_custkey as src, 'r' || n_regionkey as name, case when c_custkey % 3 > 0 then 'prod' else 'optional' end as type, '^' || (c_custkey % 5 + 1) || '.0.0' as spec from {customer} join {nation} on n_nationkey = c_nationkey
+union all select 'node_modules/n' || c_nationkey || '/node_modules/c' || c_custkey, 'n' || c_nationkey, 'peer', '*' from {customer}
+union all select 'node_modules/n' || c_nationkey || '/node_modules/c' || c_custkey, 'gone', case when c_custkey % 2 = 0 then 'optional' else 'prod' end, '^1.0.0' from {customer}
+union all select 'node_modules/n' || n_nationkey, 'r' || n_regionkey, 'peer', '*' from {nation}"""
+_FOUND = f"""need as ({NEEDS.format(**_P)}), placed as (select *, cast(regexp_extract(src, 'node_modules/n([0-9]+)', 1) as int) % 2 = 0 as own, split_part(src, '/node_modules/', 1) as nation from need),
+ found as (select src, name, type, spec, case when name = 'gone' then null when name like 'n%' then 'node_modules/' || name when own then nation || '/node_modules/' || name else 'node_modules/' || name end as dst from placed)"""
+
+
+def folders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    own = star.tables(spark, sf_dir)
+    nodes = G.complete(spark.sql(FOLDERS, **{t: own[t] for t in ("region", "nation", "customer")}))
+    return nodes, G.resolve_edges(nodes, spark.sql(NEEDS, **{t: own[t] for t in ("nation", "customer")}))
+
+
+@query("edge_resolution", f"with {_FOUND} select src, name, dst from found")
+def edge_resolution(spark, sf_dir):
+    return folders(spark, sf_dir)[1].select("src", "name", "dst")
+
+
+@query("edge_states", f"""with {_FOUND}, f as ({FOLDERS.format(**_P)}) select src, found.name, type, case when dst is null then case when type = 'prod' then 'MISSING' end when type = 'peer' and starts_with(dst, src || '/node_modules/') then 'PEER LOCAL'
+ when spec <> '*' and split_part(version, '.', 1) <> substr(split_part(spec, '.', 1), 2) then 'INVALID' end as error from found left join f on f.location = dst""")
+def edge_states(spark, sf_dir):
+    nodes, edges = folders(spark, sf_dir)
+    return G.edge_errors(edges, nodes).select("src", "name", "type", "error")
+
+
+@query("folder_depths", f"select location, cast((length(location) - length(replace(location, 'node_modules/', ''))) / 13 as int) as depth, '' as top from ({FOLDERS.format(**_P)}) f")
+def folder_depths(spark, sf_dir):
+    return G.depths(folders(spark, sf_dir)[0]).select("location", "depth", "top")
+
+
+@query("deepest_targets", f"""with f as ({FOLDERS.format(**_P)}) select location, case when location like '%node_modules/r%' then location else '' end as target from f where location not like 'node_modules/n%' or location like '%/node_modules/c%' and location like 'node_modules/n3/%' or location = 'node_modules/n3'""")
+def deepest_targets(spark, sf_dir):
+    nodes, edges = folders(spark, sf_dir)
+    peers = edges.where("type = 'peer'").withColumn("name", F.lit("host"))
+    few = nodes.where("location not like 'node_modules/n%' or location like 'node_modules/n3/node_modules/c%' or location = 'node_modules/n3'")
+    return G.deepest_target(peers, few, "host").select("location", "target")
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
-
-

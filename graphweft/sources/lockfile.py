@@ -8,7 +8,7 @@ import re
 import tarfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphweft.functions import text
@@ -117,7 +117,11 @@ def parse_yarn(content: str) -> dict[str, dict]:
             section = entry.setdefault(words[:-1], {})
         else:
             m = re.match(r'("(?:[^"\\]|\\.)*"|\S+)\s+(.*)', words)
+            if not m or entry is None:
+                raise ValueError(f"corrupt yarn lock: {words!r}")
             key, value = m[1].strip('"'), m[2].strip('"')
+            if key == "resolved" and depth == 2:
+                value = value.partition("#")[0]
             (section if depth >= 4 and section is not None else entry)[key] = value
     return out
 
@@ -203,6 +207,30 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, pages: list[str]) -> DataFrame:
-    """Items of paged responses: each file {items: [...], total}, until total is reached."""
-    rows = spark.read.text(pages, wholetext=True).select(F.from_json("value", "items array<string>, total long").alias("p"))
-    return rows.select(F.explode("p.items").alias("item"))
+    """Items of paged responses in the order of the pages, each file {items:
+    [...], total}: at most as many as the first page's total, if it has one."""
+    out = None
+    for k, page in enumerate(pages):
+        rows = spark.read.text(page, wholetext=True).select(F.lit(k).alias("page"), F.from_json("value", "items array<string>, total long").alias("p"))
+        out = rows if out is None else out.union(rows)
+    before = F.coalesce(F.sum(F.size("p.items")).over(Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a page
+    total = F.first("p.total").over(Window.orderBy("page"))
+    placed = out.select("page", "p", before.alias("before"), total.alias("total")).select("before", "total", F.posexplode("p.items").alias("at", "item"))
+    return placed.where("total is null or before + at < total").select("item")
+
+
+def spec_overrides(declared: DataFrame, entries: DataFrame) -> DataFrame:
+    """declared edges (src, name, spec) with the version, address and integrity
+    that a yarn lock's entry of the raw spec (`name@spec`) fixes, if any."""
+    own = entries.select(F.col("spec").alias("_raw"), "version", "resolved", "integrity")
+    return declared.join(own, F.concat("name", F.lit("@"), "spec") == F.col("_raw"), "left").drop("_raw")
+
+
+def json_lines(rows: DataFrame) -> DataFrame:
+    """(value): each row as a JSON object, as the buffered sink writes them."""
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+
+
+def parseable(rows: DataFrame, *columns: str, separator: str = ":") -> DataFrame:
+    """(value): the columns of each row joined by a separator; a null is empty."""
+    return rows.select(F.concat_ws(separator, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("value"))

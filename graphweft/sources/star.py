@@ -70,7 +70,7 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
 def project(spark: SparkSession, sf_dir: str) -> Graph:
     own = tables(spark, sf_dir)
     nodes = spark.sql(NODES, **own)
-    edges = spark.sql(EDGES, **own)
+    edges = stored(spark.sql(EDGES, **own), "raw-edges")  # read thrice below
     targets = spark.sql(PARTS, part=own["part"]).select(F.col("location").alias("dst"), semver.sv(F.col("version")).alias("v"))
     terms = semver.range_terms(edges.select("spec"))
     # only ranges need a look at the target; "*" is always met

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where it is unset, as in
-    tests, a local folder is made and set."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a session without
+    other machines, as in tests, gets a local folder; any other fails, since
+    its executors and driver don't share one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not held.isDefined():
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors and the driver share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="graphweft-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get()
