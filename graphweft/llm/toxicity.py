@@ -3,9 +3,13 @@
 A word enters as the sum of a hashed word vector and the mean of its hashed
 character n-grams' vectors. Both directions read windows of `WINDOW` words,
 `STRIDE` apart; attention pools their states to one logit a window. All
-windows of a text are scored; a logistic rule over the largest logit, the mean
-and the sum of the windows' probabilities makes the document's score. It is
-all trained here, in numpy, on a bounded sample of labelled rows.
+windows of a text are scored; a logistic rule that rises with the largest
+logit, the mean and the sum of the windows' probabilities makes the document's
+score. It is all trained here, in numpy, on a bounded sample of labelled rows.
+
+A toxic text need not be toxic throughout. All its windows are learned from at
+first; later only those that the model itself finds toxic, and the one it
+finds most so.
 """
 
 from __future__ import annotations
@@ -16,21 +20,26 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphweft.llm.common import batch_of, pick
+from graphweft.llm.common import batch_of, dropped, pick, stored
 from graphweft.llm.tokens import slices
 
 WINDOW, STRIDE = 64, 48
 DIM, HIDDEN = 12, 12
 WORD_BUCKETS, GRAM_BUCKETS, GRAMS = 1 << 14, 1 << 15, (3, 4, 5)
-#: Labelled rows of each class that are learned from, at most, and windows of each.
-ROWS_A_CLASS, WINDOWS_A_ROW = 2500, 6
-EPOCHS, BATCH, RATE = 6, 160, 0.006
+#: Labelled rows of each class that are learned from, at most, and their
+#: characters in all: rows are taken until either bound is met, each whole.
+ROWS_A_CLASS, CHARS_A_CLASS = 2500, 16_000_000
+#: The windows are gone through EPOCHS times, or often enough for LEAST_STEPS
+#: steps, in batches of BATCH, or of a CUT-th of the windows if that is less.
+EPOCHS, LEAST_STEPS, BATCH, CUT, RATE = 2, 600, 160, 40, 0.006
+#: So often the model is held against documents that it doesn't learn from; the best stays.
+CHECKS = 3
 #: The score from which a text is predicted toxic.
 THRESHOLD = 0.7
-PUNCTUATION = ".,;:!?\"'()[]{}"
+PUNCTUATION = ".,;:!?\"'()[]{}#*$%&|<>"
 F32 = np.float32
 
 
@@ -181,38 +190,54 @@ def spread(windows: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]
     return list(ids) or [""], np.ascontiguousarray(at.T), np.ascontiguousarray(mask.T)
 
 
-def fit(windows: list[list[str]], labels: np.ndarray, seed: int = 7) -> Model:
+def fit(windows: list[list[str]], labels: np.ndarray, bags: np.ndarray, check, seed: int = 7) -> Model:
     """Adam over the windows' cross-entropy; a word's own vector is left out at
-    random, so that rare words are read by their characters."""
+    random, so that rare words are read by their characters. bags: the
+    document of each window. check(parameters): a loss on other documents."""
     model, rng = Model.new(seed), np.random.default_rng(seed)
     p = model.p
     one, two = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
-    weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * len(labels)
-    step = 0
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(windows))
-        for lo in range(0, len(order), BATCH):
-            own = order[lo : lo + BATCH]
-            words, at, mask = spread([windows[k] for k in own])
-            feats = features(words)
-            shown = (rng.random(len(words)) < 0.5).astype(F32)[:, None]
-            vec = vectors(p, feats) - (1 - shown) * p["word"][feats[0]]
-            x = vec[at]
-            logit, kept = forward(p, x, mask, keep=True)
-            d = ((sigmoid(logit) - labels[own]) * weight[own] / len(own)).astype(F32)
-            g, dx = backward(p, x, d, kept)
-            touched, dvec = summed(at.ravel(), (dx * mask[:, :, None]).reshape(-1, DIM))
-            whole = np.zeros_like(vec)
-            whole[touched] = dvec
-            sparse = {"word": summed(feats[0], whole * shown)}
-            if len(feats[2]):
-                sparse["gram"] = summed(feats[1], whole[feats[2]] * feats[3][:, None])
-            step += 1
-            rate = RATE * (1 - 0.8 * (epoch / EPOCHS)) * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
-            for k, (rows, grad) in [*((k, (slice(None), v)) for k, v in g.items()), *sparse.items()]:
-                one[k][rows] = m = 0.9 * one[k][rows] + 0.1 * grad
-                two[k][rows] = s = 0.999 * two[k][rows] + 0.001 * grad * grad
-                p[k][rows] -= (rate * m / (np.sqrt(s) + 1e-8)).astype(F32)
+    batch = max(24, min(BATCH, len(windows) // CUT))
+    steps = max(LEAST_STEPS, EPOCHS * len(windows) // batch)
+    toxic = np.flatnonzero(labels == 1)
+    used, least, best = np.ones(len(windows), bool), np.inf, None
+    order, at_order = np.zeros(0, np.int64), 0
+    for step in range(1, steps + 1):
+        if at_order >= len(order):
+            order, at_order = rng.permutation(np.flatnonzero(used)), 0
+            n_toxic = (labels[order] == 1).sum()
+            weight = np.where(labels == 1, 0.5 / max(1, n_toxic), 0.5 / max(1, len(order) - n_toxic)) * len(order)
+        own = order[at_order : at_order + batch]
+        at_order += batch
+        words, at, mask = spread([windows[k] for k in own])
+        feats = features(words)
+        shown = (rng.random(len(words)) < 0.5).astype(F32)[:, None]
+        vec = vectors(p, feats) - (1 - shown) * p["word"][feats[0]]
+        x = vec[at]
+        logit, kept = forward(p, x, mask, keep=True)
+        d = ((sigmoid(logit) - labels[own]) * weight[own] / len(own)).astype(F32)
+        g, dx = backward(p, x, d, kept)
+        touched, dvec = summed(at.ravel(), (dx * mask[:, :, None]).reshape(-1, DIM))
+        whole = np.zeros_like(vec)
+        whole[touched] = dvec
+        sparse = {"word": summed(feats[0], whole * shown)}
+        if len(feats[2]):
+            sparse["gram"] = summed(feats[1], whole[feats[2]] * feats[3][:, None])
+        rate = RATE * (1 - 0.9 * step / steps) * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
+        for k, (rows, grad) in [*((k, (slice(None), v)) for k, v in g.items()), *sparse.items()]:
+            one[k][rows] = m = 0.9 * one[k][rows] + 0.1 * grad
+            two[k][rows] = s = 0.999 * two[k][rows] + 0.001 * grad * grad
+            p[k][rows] -= (rate * m / (np.sqrt(s) + 1e-8)).astype(F32)
+        if step * CHECKS // steps > (step - 1) * CHECKS // steps:
+            if (loss := check(p)) <= least:
+                least, best = loss, {k: v.copy() for k, v in p.items()}
+            if step < steps:
+                logits = coded_logits(p, *coded([windows[k] for k in toxic]))
+                most = np.full(int(bags.max()) + 1, -np.inf)
+                np.maximum.at(most, bags[toxic], logits)
+                used[toxic] = (logits > 0) | (logits >= most[bags[toxic]])
+                at_order = len(order)
+    model.p = best or p
     return model
 
 
@@ -227,33 +252,51 @@ def cut_windows(n: int) -> list[tuple[int, int]]:
     return out
 
 
-def window_logits(p: dict, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(logits of all windows of all texts in order, windows of each text)."""
+def coded(windows: list[list]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, windows as rows of their indices, words of each window)."""
+    ids: dict[str, int] = {}
+    at, size = np.zeros((len(windows), WINDOW), np.int64), np.zeros(len(windows), np.int64)
+    for k, window in enumerate(windows):
+        at[k, : len(window)], size[k] = [ids.setdefault(w, len(ids)) for w in window], len(window)
+    return list(ids) or [""], at, size
+
+
+def coded_logits(p: dict, words: list[str], at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    vec = vectors(p, features(words))
+    order = np.argsort(size, kind="stable")  # short windows together take few steps
+    out = np.empty(len(at), F32)
+    for lo in range(0, len(at), 1024):
+        own = order[lo : lo + 1024]
+        steps = int(size[own].max())
+        mask = np.ascontiguousarray((np.arange(steps)[:, None] < size[own]).astype(F32))
+        out[own] = forward(p, vec[at[own, :steps].T], mask)[0]
+    return out
+
+
+def window_codes(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """coded() of all windows of all texts in order, and windows of each text."""
     ids: dict[str, int] = {}
     codes = [np.array([ids.setdefault(w, len(ids)) for w in words_of(t)], np.int64) for t in texts]
     pieces = [cut_windows(len(c)) for c in codes]
     count = np.array([len(x) for x in pieces], np.int64)
-    if not count.sum():
-        return np.zeros(0, F32), count
     bares: dict[str, int] = {}
     same = np.array([bares.setdefault(bare(w), len(bares)) for w in ids], np.int64)
-    vec = vectors(p, features(list(bares)))
     total = int(count.sum())
     at, size = np.zeros((total, WINDOW), np.int64), np.zeros(total, np.int64)
     k = 0
     for c, xs in zip(codes, pieces, strict=True):
-        c = same[c]
+        if xs:
+            c = same[c]
         for a, z in xs:
             at[k, : z - a], size[k] = c[a:z], z - a
             k += 1
-    order = np.argsort(size, kind="stable")  # short windows together take few steps
-    out = np.empty(total, F32)
-    for lo in range(0, total, 1024):
-        own = order[lo : lo + 1024]
-        steps = int(size[own].max())
-        mask = np.ascontiguousarray((np.arange(steps)[:, None] < size[own]).astype(F32))
-        out[own] = forward(p, vec[at[own, :steps].T], mask)[0]
-    return out, count
+    return list(bares) or [""], at, size, count
+
+
+def window_logits(p: dict, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(logits of all windows of all texts in order, windows of each text)."""
+    words, at, size, count = window_codes(texts)
+    return coded_logits(p, words, at, size) if len(at) else np.zeros(0, F32), count
 
 
 def document_features(logits: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -286,6 +329,18 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return b
 
 
+def rising(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """logistic() whose weights, but for the constant, are not negative: what
+    comes out negative is left out and the rest fitted anew."""
+    kept = list(range(x.shape[1]))
+    while True:
+        b = np.zeros(x.shape[1])
+        b[kept] = logistic(x[:, kept], y, weight)
+        if (b[1:] >= 0).all():
+            return b
+        kept = [k for k in kept if not k or b[k] >= 0]
+
+
 def scores(model: Model, texts: list[str]) -> np.ndarray:
     """0 to 1; texts without words score 0."""
     if model.rule is None:
@@ -295,27 +350,39 @@ def scores(model: Model, texts: list[str]) -> np.ndarray:
 
 
 def train(rows: list[tuple[int, int, str]], share: float) -> Model:
-    """rows: (doc_id, toxic, text), sorted. Four of five documents fit the
-    network, the fifth the document rule. share: of toxic among all labelled
-    rows; the rule is weighted to it. One class only: all scores are 0."""
-    rule_rows = [r for k, r in enumerate(rows) if k % 5 == 4]
-    net_rows = [r for k, r in enumerate(rows) if k % 5 != 4]
-    if len({t for _, t, _ in net_rows}) < 2 or len({t for _, t, _ in rule_rows}) < 2:
-        return Model.new()
-    windows, labels = [], []
-    for _, toxic, text in net_rows:
+    """rows: (doc_id, toxic, text), sorted. Four of five documents of each
+    class fit the network; on the fifth it is checked while it learns, and
+    the document rule is fitted. share: of toxic among all labelled rows; the
+    rule is weighted to it. Without two documents of both classes all scores are 0."""
+    net_rows, rule_rows = [], []
+    for toxic in (0, 1):
+        own = [r for r in rows if r[1] == toxic]
+        if len(own) < 2:
+            return Model.new()
+        rule_rows += own[1::5]
+        net_rows += own[::5] + own[2::5] + own[3::5] + own[4::5]
+    windows, labels, bags = [], [], []
+    for bag, (_, toxic, text) in enumerate(net_rows):
         words = [bare(w) for w in words_of(text)]
         pieces = cut_windows(len(words))
-        if len(pieces) > WINDOWS_A_ROW:
-            pieces = [pieces[k * len(pieces) // WINDOWS_A_ROW] for k in range(WINDOWS_A_ROW)]
-        for a, z in pieces:
-            windows.append(words[a:z])
-            labels.append(toxic)
-    model = fit(windows, np.array(labels))
-    logits, count = window_logits(model.p, [t for _, _, t in rule_rows])
+        windows += [words[a:z] for a, z in pieces]
+        labels += [toxic] * len(pieces)
+        bags += [bag] * len(pieces)
+    if len(set(labels)) < 2:
+        return Model.new()
+    *codes, count = window_codes([t for _, _, t in rule_rows])
     y = np.array([t for _, t, _ in rule_rows])
-    weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
-    model.rule = logistic(document_features(logits, count), y, weight)
+
+    def ruled(p: dict, prior: float) -> tuple[np.ndarray, float]:
+        """The rule for these parameters and its loss, at this share of toxic documents."""
+        x = document_features(coded_logits(p, *codes) if len(codes[1]) else np.zeros(0, F32), count)
+        weight = np.where(y == 1, prior / max(1, y.sum()), (1 - prior) / max(1, (1 - y).sum())) * len(y)
+        b = rising(x, y, weight)
+        z = x @ b
+        return b, float(np.average(np.logaddexp(0, np.where(y == 1, -z, z)), weights=weight))
+
+    model = fit(windows, np.array(labels), np.array(bags), lambda p: ruled(p, 0.5)[1])
+    model.rule = ruled(model.p, share)[0]
     return model
 
 
@@ -323,16 +390,23 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most rows_a_class labelled documents of each class: those with
-    the smallest hashes of their doc_id, none of them held out."""
-    known = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).distinct().where(~held_out("doc_id"))
+def learn(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLASS, chars_a_class: int = CHARS_A_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit on labelled documents, none of them held out: of each class those
+    with the smallest hashes of their doc_id, at most rows_a_class of them and
+    chars_a_class characters. An id labelled both ways counts as toxic; of
+    rows that repeat an id the least text is taken."""
+    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out("doc_id"))
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
     sample = None
     for toxic in (0, 1):
         part = known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_a_class)
         sample = part if sample is None else sample.union(part)
-    rows = pick(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").collect()
+    found = pick(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")  # rows_a_class ids of each class at most
+    held = stored(found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")), "labelled")
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = held.select("doc_id", "toxic", F.length("text").alias("n")).withColumn("upto", F.sum("n").over(order)).where(F.col("upto") <= chars_a_class)
+    rows = held.join(F.broadcast(chosen.select("doc_id")), "doc_id").select("doc_id", "toxic", "text").collect()
+    dropped(held)
     return train(sorted((r["doc_id"], r["toxic"], r["text"]) for r in rows), share)
 
 
