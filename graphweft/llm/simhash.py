@@ -1,11 +1,14 @@
 """SimHash near-duplicates over an inverted index of positional bytes.
 
 Two 64-bit fingerprints that differ in at most `bits` bits differ in at most
-so many of their eight bytes, so at least `8 - bits` bytes agree in place.
-That minimum is what the index is built on: its postings are the sets of
-`8 - bits` positions with their bytes, so that any pair that shares a posting
-has the guaranteed matches and no other pair is ever formed. Within a posting
-the shared positional bytes of each pair are tallied and the pairs verified.
+so many of their eight bytes, so at least `8 - bits` bytes agree in place: the
+guaranteed minimum. The index's postings are keyed by a few positions with
+their bytes. Not every set of positions is needed: the sets of COVER are
+chosen so that any four positions hold one of them, hence any pair with the
+guaranteed matches meets in a posting. There the shared positional bytes of
+each pair are tallied, pairs that reach the minimum are retained, and their
+differing bits counted. Postings of one position would make a pair of every
+256th fingerprint with every other; three keep them short.
 
 A posting may be very long where thousands of distinct fingerprints lie close
 together. Those fingerprints are linked instead through the values within
@@ -31,6 +34,8 @@ from graphweft.llm.tokens import slices
 
 #: Postings with more distinct fingerprints are linked through common values.
 LONG_POSTING = 4096
+#: Places that a component's name is sent to.
+SPREAD = 16
 
 
 def fingerprint(text: str, width: int = 4, seed: int = 42) -> int:
@@ -70,19 +75,31 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def posting_sets(shared: int) -> list[tuple[int, ...]]:
+    """Sets of positions such that any `shared` positions hold one of them.
+    For four: three groups in a ring; the triples within a group, or with two
+    of a group and one of the next. Four positions always hold such a triple."""
+    if shared != 4:
+        return list(itertools.combinations(range(8), shared))
+    group = (0, 0, 0, 1, 1, 1, 2, 2)
+    fits = lambda at, g: sorted((group[p] - g) % 3 for p in at) in ([0, 0, 0], [0, 0, 1])
+    return [at for at in itertools.combinations(range(8), 3) for g in range(3) if fits(at, g)]
+
+
 def posting_masks(bits: int) -> list[int]:
-    return [signed(sum(0xFF << (8 * p) for p in at)) for at in itertools.combinations(range(8), 8 - bits)]
+    return [signed(sum(0xFF << (8 * p) for p in at)) for at in posting_sets(8 - bits)]
 
 
 def roots(fps: np.ndarray, bits: int) -> np.ndarray:
     """For each of a posting's fingerprints the index of its component's first."""
     n = len(fps)
     linked = np.zeros((n, n), bool)
-    for lo in range(0, n, 512):
-        differ = fps[lo : lo + 512, None] ^ fps[None, :]
-        tally = (differ.view(np.uint8).reshape(len(differ), n, 8) == 0).sum(axis=2) if n <= 64 else None
-        near = np.bitwise_count(differ) <= bits  # implies the guaranteed tally
-        linked[lo : lo + 512] = near if tally is None else near & (tally >= 8 - bits)
+    for lo in range(0, n, 256):
+        differ = fps[lo : lo + 256, None] ^ fps[None, :]
+        tally = (differ.view(np.uint8).reshape(len(differ), n, 8) == 0).sum(axis=2, dtype=np.int8)
+        at, other = np.nonzero(tally >= 8 - bits)  # count filter; the rest is not verified
+        near = np.bitwise_count(differ[at, other]) <= bits
+        linked[lo + at[near], other[near]] = True
     label = np.arange(n)
     while True:
         new = np.where(linked, label[None, :], n).min(axis=1)
@@ -103,7 +120,10 @@ def _links(batches, bits: int):
         start = np.concatenate([[0], cut])
         size = np.diff(np.concatenate([start, [len(k)]]))
         two = start[size == 2]
-        near = np.bitwise_count((f[two] ^ f[two + 1]).view(np.uint64)) <= bits
+        differ = f[two] ^ f[two + 1]
+        tally = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1, dtype=np.int8)
+        near = tally >= 8 - bits
+        near[near] = np.bitwise_count(differ[near].view(np.uint64)) <= bits
         a, b = [f[two][near]], [f[two + 1][near]]
         for s, m in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             own = f[s : s + m]
@@ -128,7 +148,9 @@ def links(distinct: DataFrame, bits: int = 4, long_posting: int = LONG_POSTING)
     """Links (a, b) that join up the same components as all pairs of the
     distinct fingerprints `fp` at `bits` or fewer differing bits."""
     masks = posting_masks(bits)
-    keys = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("p", "own")).select(F.xxhash64("p", "own").alias("k"), "fp")
+    # A few bytes become many: they are dealt to as many tasks as the postings first.
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = distinct.repartition(tasks, "fp").select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("p", "own")).select(F.xxhash64("p", "own").alias("k"), "fp")
     counts = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     shared = keys.join(counts, "k")
     short = shared.where(F.col("n") <= long_posting).select("k", "fp").repartition("k").sortWithinPartitions("k")
@@ -159,10 +181,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4, long_posting
     """
     rows = stored(fingerprints(docs, width, id_col, text_col), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    parts = stored(components(links(distinct.select("fp"), bits, long_posting)), "components")
-    rooted = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id")
+    parts = components(links(distinct.select("fp"), bits, long_posting)).withColumnRenamed("node", "fp")
+    rooted = stored(distinct.join(parts, "fp", "left"), "components")
+    # One component may hold very many fingerprints: its name goes to SPREAD places.
+    linked = rooted.where("root is not null").withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(SPREAD)))
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)).cast("array<long>")))
+    classes = linked.join(named, ["root", "part"]).select("fp", "component_id").union(rooted.where("root is null").select("fp", "least"))
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
