@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -135,6 +136,23 @@ def test_spaced_and_bracketed_addresses_whatever_stands_beside(text, found, extr
     assert [text[s:e] for k, s, e, base in pii.find_spans(text) if not base] == found
 
 
+@pytest.mark.parametrize("unit", ["1.", "a-", "a.", " @", "a @ ", "one ", "1 ", "+1 ", "a@", " at a", "а", "[at] ", "x (at) y (dot) ", "x @ y . ", "1.1.1.1", "one-", "@a.b . "])
+def test_a_long_text_takes_time_in_proportion(unit):
+    n = 300_000 // len(unit)
+    for text in (unit * n + " [at] x", "x [at] " + unit * n):
+        began = time.perf_counter()
+        pii.find_spans(text)
+        assert time.perf_counter() - began < 20  # minutes to hours, were it quadratic
+
+
+def test_stages_keep_columns_of_any_name(spark, labels):
+    frame = spark.createDataFrame([(1, "mail ann@example.com now and then and so on for ever and ever", "p", 1), (2, None, "q", 2), (3, "", None, 3)], "doc_id long, text string, `a.b` string, `c d.e` int")
+    for out in (quality.keep_good(frame, labels.where("false")), pii.redact(frame), passages.remove_repeats(frame), simhash.keep_one(frame)):
+        assert out.columns == frame.columns and out.dtypes == frame.dtypes
+        assert out.where("doc_id = 1").select("`a.b`", "`c d.e`").collect() == [("p", 1)]
+    assert "[EMAIL]" in pii.redact(frame).where("doc_id = 1").first()["text"]
+
+
 def test_pii_query(docs, rows, nothing):
     got = {(r["doc_id"], r["base_sha256"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in pii.pii_digest(docs).collect()}
     want = set()
@@ -221,27 +239,34 @@ def test_components_of_a_chain(spark):
 # --- tokens
 
 
+def fresh(name):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
 @pytest.mark.parametrize(("name", "dropped"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
 def test_cached_tokenizer_equals_the_library(rows, name, dropped):
     own = [t or "" for _, t in rows] + ["  a\n\n b \t c ", "it's <|endoftext|> I'LL don't", "\r\n a\r b", "ﬁ ǅ İstanbul ΣΑΣ", "é é ́x", "日本語 テスト。 x", "Äh. Öl, \n.x", " ​ x \x85 y"]
-    coder = tokens.CachedTokenizer(public_tokenizers.path(name), dropped, limit=50)
+    coder, library = tokens.CachedTokenizer(public_tokenizers.path(name), dropped, limit=50), fresh(name)
+    signs = ["a", "B", "é", "ß", "É", " ", "  ", "\n", "\n\n", " \n", "\t", ".", ",", "$$$", "'s", "'", "7", "_", "\r", "日", " ", "-", "word ", "Next\n", "\x00", "don't", "`"]
+    rng = random.Random(4)
+    own += ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
     for lo in range(0, len(own), 9):
         for t, raw in zip(own[lo : lo + 9], coder.encode(own[lo : lo + 9]), strict=True):
-            assert np.frombuffer(raw, "<u4").tolist() == coder.library.encode(t, add_special_tokens=False).ids
+            assert np.frombuffer(raw, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize(("name", "dropped"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
 def test_added_tokens_are_encoded_as_a_plain_library_call_does(name, dropped):
-    from tokenizers import Tokenizer
-
-    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    plain = fresh(name)
     own = ["foo<|endoftext|>bar", "a <|endoftext|> b", "<|startoftext|>x y<|endoftext|>", "<|endof text|> <|ENDOFTEXT|>", "foo bar", ""]
     got = tokens.CachedTokenizer(public_tokenizers.path(name), dropped).encode(own)
     assert [np.frombuffer(raw, "<u4").tolist() for raw in got] == [plain.encode(t, add_special_tokens=False).ids for t in own]
 
 
 def ids_of(name):
-    coder = tokens.CachedTokenizer(public_tokenizers.path(name), True).library
+    coder = fresh(name)
     return lambda t: coder.encode(t or "", add_special_tokens=False).ids
 
 
@@ -269,10 +294,14 @@ def test_elias_fano():
         e = binary.EliasFano.of(np.array(case))
         assert e.all().tolist() == case == [e.select(k) for k in range(len(case))]
     assert binary.EliasFano.of(np.array([], int)).all().tolist() == []
+    far = [-(1 << 63), -5, 0, 3, 3, (1 << 63) - 1]
+    known = binary.read_shard(binary.write_shard([None, *far], [b"\0\0\0\0"] * 7, False))[0]
+    assert [known[k] for k in range(7)] == [None, *far]
     parts = [np.array(x, "<u4").tobytes() for x in ([1, 2, 3], [9], [7, 7])]
     for wide in (False, True):
         blob = binary.write_shard([None, 4, 5], parts, wide)
-        assert binary.read_shard(blob)[0] == [None, 4, 5]
+        known = binary.read_shard(blob)[0]
+        assert [known[k] for k in range(len(known))] == [None, 4, 5]
         assert [binary.document(blob, k).tolist() for k in range(3)] == [[1, 2, 3], [9], [7, 7]]
 
 
@@ -293,8 +322,11 @@ def test_long_texts_are_split_safely():
     rng = random.Random(4)
     mixed = "".join(rng.choice(["a", "B", "7", " ", "  ", "\n", "\t", " ", "é", "!", "'s"]) for _ in range(150_000))
     plain = "".join(rng.choice(["a", "B", "7", " ", "  ", "\n", "\t", "é", "!", "'s"]) for _ in range(150_000))
-    for t in (mixed, plain, "ab" * 12_000 + " c", " " * 20_000 + "x", "é" * 18_000, "x" + "\n" * 17_000):
-        assert tokens.encode_text(t, loaded, public_tokenizers.PATTERN).tolist() == loaded[0].encode_ordinary(t)
+    args = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    for t in (mixed, plain, "ab" * 12_000 + " c", " " * 20_000 + "x", "é" * 18_000, "x" + "\n" * 17_000, "y\r" + " " * 17_000 + "x"):
+        assert tokens.encode_text(t, *args).tolist() == loaded[0].encode_ordinary(t)
+    for t in (" " * 1_000_000 + "x", "\n" * 1_000_000, "!" * 1_000_000):  # beyond what one match of the library takes
+        assert loaded[0].decode_bytes(tokens.encode_text(t, *args).tolist()) == t.encode()
 
 
 def test_token_counts(docs, rows, nothing):
@@ -459,6 +491,33 @@ def test_sketch_keeps_the_fraction_and_estimates(spark):
     assert row["m"] == sorted(set(row["m"]))
 
 
+def test_sketches_equal_plain_python(spark, docs, rows):
+    own = sketches.fingerprints(docs).select("doc_id", "sketch", "fingerprint").collect()
+    shingles = {t: [" ".join(x) for x in zip(*(WORD.findall(t)[k:] for k in range(5)), strict=False)] for t in {t or "" for _, t in rows}}
+    hashed = spark.createDataFrame([(s.split(" "),) for s in {s for v in shingles.values() for s in v}], "w array<string>").select(F.array_join("w", " ").alias("s"), F.xxhash64("w").alias("h"))
+    h = {r["s"]: (r["h"] & (1 << 64) - 1) >> 32 for r in hashed.collect()}
+    want = {}
+    for t, v in shingles.items():
+        every = sorted({h[s] for s in v})
+        want[t] = [x for x in every if x < 1 << 30] if sum(x < 1 << 30 for x in every) >= 8 else every[:8]
+    got = Counter((r["doc_id"], tuple(r["sketch"])) for r in own if len(r["sketch"]) != 1)
+    assert got == Counter((d, tuple(want[t or ""])) for d, t in rows if len(want[t or ""]) > 1)
+    assert all(r["fingerprint"][16:] == "".join(f"{x:08x}" for x in r["sketch"]) for r in own)
+
+
+def test_likeness_of_whole_sketches_is_exact(spark):
+    rng = random.Random(3)
+    cases = []
+    for n in (1, 3, 7, 8, 40):
+        a = sorted({rng.randrange(1 << 32) for _ in range(n)})
+        cases.append((a[: 1 + n // 2], a))
+    frame = spark.createDataFrame(cases, "a array<long>, b array<long>")
+    for r in frame.select("a", "b", sketches.likeness(F.col("a"), F.col("b"), F.lit(False)).alias("j")).collect():
+        upto = min((1 << 32) if len(x) < 8 else max(1 << 30, x[-1] + 1) for x in (r["a"], r["b"]))
+        a, b = ({x for x in v if x < upto} for v in (r["a"], r["b"]))
+        assert abs(r["j"] - len(a & b) / len(a | b)) < 1e-12
+
+
 # --- passages
 
 
@@ -561,6 +620,17 @@ def test_gradients(monkeypatch):
         assert abs(g[k][at] - (ends[0] - ends[1]) / 2e-5) < 1e-5
 
 
+def test_learning_takes_one_row_an_id_and_whole_rows_up_to_a_bound(toxic_docs, monkeypatch):
+    docs, labels = toxic_docs
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda rows, share: seen.append(rows))
+    toxicity.learn(docs.union(docs), labels.union(labels), rows_a_class=30)
+    toxicity.learn(docs, labels, chars_a_class=5000)
+    assert len(seen[0]) == 60 == len({d for d, _, _ in seen[0]})
+    for toxic in (0, 1):
+        assert 3000 < sum(len(t) for _, x, t in seen[1] if x == toxic) <= 5000
+
+
 def test_windows_cover_every_word():
     for n in (0, 1, 63, 64, 65, 112, 113, 1000):
         cuts = toxicity.cut_windows(n)
