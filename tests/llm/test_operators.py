@@ -413,6 +413,21 @@ def test_sum_of_squares_takes_the_best_level():
         packer.put((0, 0, size, b"", size), size)
 
 
+def test_pouring_keeps_every_token_and_one_window_open():
+    rng = random.Random(7)
+    packer, out, given = packing.SumOfSquares(16), [], 0
+    for k in range(500):
+        size = rng.randint(9, 15)  # such items never pair
+        given += size
+        if full := packer.put((k, 0, size, bytes(4 * size), size), size):
+            out.append(full)
+        if packer.held >= 200:
+            out += packer.pour(packing.cut)
+            assert packer.held < 16 and sum(map(len, packer.open)) <= 1
+    assert all(sum(p[2] for p in pieces) == 16 for pieces in out)
+    assert sum(p[2] for pieces in [*out, *packer.flush(packing.cut)] for p in pieces) == given
+
+
 # --- quality
 
 
