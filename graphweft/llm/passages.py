@@ -41,6 +41,8 @@ RUN = 32
 CROWDED = 10_000
 #: Segments in an automaton, unless one anchor has more.
 SHARD = 4_000
+#: Distinct segments, or characters of them, that a task sums before it sends them on.
+HELD, HELD_CHARS = 50_000, 8_000_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -91,31 +93,67 @@ def _anchors(batches, width: int):
             yield batch_of(schema, {"doc_id": repeated(ids), "th": repeated(ths), "h": h, "a": a.astype("i4"), "n": n.astype("i4")})
 
 
-def _segments(batches, width: int):
-    """Input columns end with doc_id, th, text, spots; the text around each spot."""
-    schema = pa.schema([("key", pa.int64()), ("segment", pa.string()), ("doc_id", pa.int64()), ("th", pa.int64()), ("a", pa.int32())])
+def _around(batches, width: int):
+    """Input columns end with doc_id, th, text, spots; yields for each 256 rows
+    the text around each spot as (key, segment, doc_id, th, first window)."""
     for b in batches:
         at = {name: b.schema.get_field_index(name) for name in ("doc_id", "th", "text", "spots")}
         for lo in range(0, b.num_rows, 256):
             part = b.slice(lo, 256)
-            out: dict[str, list] = {f.name: [] for f in schema}
-            add = [out[f.name].append for f in schema]
-            for d, th, text, spots in zip(*(part.column(at[k]).to_pylist() for k in ("doc_id", "th", "text", "spots")), strict=True):
-                if not spots:
-                    continue
-                words = WORDS.findall(text)
-                done = set()
-                for spot in spots:
-                    a, n, h = spot["a"], spot["n"], spot["h"]
-                    if a in done:  # the same text may stand twice under one id
-                        continue
-                    done.add(a)
-                    for s, m in [(a, n)] if not spot["crowded"] else [(s, 1) for s in range(a, a + n)]:
-                        segment = " ".join(words[s : s + m + width - 1])
-                        key = h if not spot["crowded"] else xxhash.xxh64_intdigest(segment.encode()) - (1 << 63)
-                        for put, v in zip(add, (key, segment, d, th, s), strict=True):
-                            put(v)
-            yield batch_of(schema, out)
+            yield _cut(zip(*(part.column(at[k]).to_pylist() for k in ("doc_id", "th", "text", "spots")), strict=True), width)
+
+
+def _cut(rows, width: int):
+    for d, th, text, spots in rows:
+        if not spots:
+            continue
+        words = WORDS.findall(text)
+        done = set()
+        for spot in spots:
+            a, n, h = spot["a"], spot["n"], spot["h"]
+            if a in done:  # the same text may stand twice under one id
+                continue
+            done.add(a)
+            for s, m in [(a, n)] if not spot["crowded"] else [(s, 1) for s in range(a, a + n)]:
+                segment = " ".join(words[s : s + m + width - 1])
+                yield h if not spot["crowded"] else xxhash.xxh64_intdigest(segment.encode()) - (1 << 63), segment, d, th, s
+
+
+def _places(batches, width: int):
+    """Each segment's place; its text only for its hash and length, which are
+    taken before anything is shuffled."""
+    schema = pa.schema([("key", pa.int64()), ("segment", pa.string()), ("doc_id", pa.int64()), ("th", pa.int64()), ("a", pa.int32())])
+    for found in _around(batches, width):
+        columns = list(zip(*found, strict=True)) or [()] * len(schema)
+        yield batch_of(schema, {f.name: c for f, c in zip(schema, columns, strict=True)})
+
+
+def _summed(batches, width: int, held: int = HELD, held_chars: int = HELD_CHARS):
+    """(key, segment, first): equal segments of a task summed to one with its
+    smallest doc_id, as far as `held` segments or `held_chars` characters go;
+    what is held is then sent on, so a segment may come more than once."""
+    schema = pa.schema([("key", pa.int64()), ("segment", pa.string()), ("first", pa.int64())])
+    least: dict[tuple[int, str], int] = {}
+    chars = 0
+
+    def sent() -> pa.RecordBatch:
+        out = batch_of(schema, {"key": [k for k, _ in least], "segment": [s for _, s in least], "first": list(least.values())})
+        least.clear()
+        return out
+
+    for found in _around(batches, width):
+        for key, segment, d, _, _ in found:
+            before = least.get((key, segment))
+            if before is None:
+                chars += len(segment)
+                least[key, segment] = d
+            elif d < before:
+                least[key, segment] = d
+            if len(least) >= held or chars >= held_chars:
+                yield sent()
+                chars = 0
+    if least:
+        yield sent()
 
 
 def confirmed(codes: list[np.ndarray], firsts: list[int], width: int) -> list[tuple[int, ...]]:
@@ -231,9 +269,13 @@ def repeats(keyed: DataFrame, width: int = 13, crowded: int = CROWDED, shard: in
     same = Window.partitionBy("h")
     counted = anchors.withColumns({"lo": F.min("doc_id").over(same), "hi": F.max("doc_id").over(same), "places": F.count(F.lit(1)).over(same)}).where("lo < hi")
     spots = counted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "n", "h", (F.col("places") > crowded).alias("crowded"))).alias("spots"))
-    segments = marked.join(spots, ["doc_id", "th"], "left").mapInArrow(functools.partial(_segments, width=width), "key long, segment string, doc_id long, th long, a int").withColumn("sh", F.xxhash64("segment"))
-    distinct = segments.groupBy("key", "sh", "segment").agg(F.min("doc_id").alias("first"))
-    ordered = distinct.select("key", "segment", "sh", "first").repartition("key").sortWithinPartitions("key")
+    spotted = marked.join(spots, ["doc_id", "th"], "left")
+    segments = spotted.mapInArrow(functools.partial(_places, width=width), "key long, segment string, doc_id long, th long, a int").withColumn("sh", F.xxhash64("segment"))
+    # Segments are shuffled once, summed by each task before: dealt out by key, equal ones
+    # are together too.
+    dealt = spotted.mapInArrow(functools.partial(_summed, width=width), "key long, segment string, first long").repartition("key").withColumn("sh", F.xxhash64("segment"))
+    distinct = dealt.groupBy("key", "sh", "segment").agg(F.min("first").alias("first"))
+    ordered = distinct.select("key", "segment", "sh", "first").sortWithinPartitions("key")
     found = ordered.mapInArrow(functools.partial(_confirmed, width=width, shard=shard), "key long, sh long, first long, mask long")
     whole = (1 << RUN) - 1
     n_windows = F.size(F.split("segment", " ")) - F.lit(width - 1)

@@ -559,6 +559,29 @@ def test_passages(docs, rows, nothing, crowded, shard):
     assert passages.kept_words(nothing).count() == 0
 
 
+def test_segments_summed_in_small_parts_are_the_same():
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    spots = lambda: [{"a": a, "n": 2, "h": a % 3, "crowded": a % 2 == 0} for a in range(0, 8, 2)] + [{"a": 1, "n": 3, "h": 7, "crowded": False}]
+    rows = [{"doc_id": d, "th": 0, "text": " ".join(rng.choice("ab") for _ in range(15)), "spots": spots() if d % 4 else None} for d in range(40)]
+    batch = pa.RecordBatch.from_pylist(rows)
+    wanted: dict = {}
+    for part in passages._places([batch], 4):
+        for r in part.to_pylist():
+            k = r["key"], r["segment"]
+            wanted[k] = min(r["doc_id"], wanted.get(k, r["doc_id"]))
+    assert wanted and not list(passages._summed([batch.slice(0, 1)], 4))
+    for held, chars in ((1, 10**6), (7, 10**6), (10**6, 1), (10**6, 40), (10**6, 10**6)):
+        found: dict = {}
+        for part in passages._summed([batch], 4, held, chars):
+            assert part.num_rows <= held
+            for r in part.to_pylist():
+                k = r["key"], r["segment"]
+                found[k] = min(r["first"], found.get(k, r["first"]))
+        assert found == wanted
+
+
 def test_passages_of_random_overlaps(spark):
     rng = random.Random(12)
     pool = [[f"{rng.choice('abcd')}{rng.randrange(40)}" for _ in range(60)] for _ in range(5)]
