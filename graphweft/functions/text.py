@@ -79,6 +79,33 @@ def is_registry(kind: Column) -> Column:
     return kind.isin("tag", "version", "range", "alias")
 
 
+def legacy_spec(version: Column, asked: Column, integrity: Column, resolved: Column) -> Column:
+    """The requirement that an entry of an old lock stands for. The version, if
+    the entry has an integrity or it names a repository; else what was asked
+    for (`asked`), where nothing is resolved, and its version if that was a
+    registry's; else the resolved address. Empty counts as null. What was asked
+    for, if no valid tag, leaves the version; a version that is none gives null."""
+    has = lambda c: F.coalesce(c != "", F.lit(False))
+    bad = lambda c: (spec_type(c) == "tag") & ~c.rlike(r"^[A-Za-z0-9_.!~*'()-]+$")
+    own = F.when(has(version), version)
+    return (
+        F.when(has(version) & bad(version), F.lit(None))
+        .when(has(version) & (has(integrity) | (spec_type(version) == "git")), version)
+        .when(has(asked) & (bad(asked) | (is_registry(spec_type(asked)) & has(version))), own)
+        .when(has(asked) & ~has(resolved), asked)
+        .when(has(resolved), resolved)
+        .otherwise(own)
+    )
+
+
+def json_digest(document: Column) -> Column:
+    """`sha512-` and the base64 digest of a JSON text with sorted keys and
+    without blanks: texts that differ in order or white space have one digest.
+    Keys sort by their UTF-8 bytes; what is no JSON gives null."""
+    plain = F.to_json(F.try_parse_json(document))
+    return F.concat(F.lit("sha512-"), F.regexp_replace(F.base64(F.unhex(F.sha2(plain, 512))), r"\s", ""))
+
+
 def format_bytes(n: Column, space: bool = True) -> Column:
     """Sizes in steps of 1000 with one decimal; whole bytes below."""
     gap = " " if space else ""

@@ -51,6 +51,41 @@ def test_range_algebra():
     assert [semver.difference(*p) for p in (("1.0.0", "2.0.0"), ("1.0.0", "1.1.0"), ("1.0.0", "1.0.1"), ("1.0.0", "1.0.0"), ("1.0.0", "2.0.0-a"))] == ["major", "minor", "patch", None, "premajor"]
 
 
+@pytest.mark.parametrize(
+    ("version", "asked", "integrity", "resolved", "expected"),
+    [
+        ("1.2.3", "^1.0.0", "sha512-x", "https://r/a.tgz", "1.2.3"),
+        ("git+ssh://git@host.test/a/b.git#0", None, None, None, "git+ssh://git@host.test/a/b.git#0"),
+        ("1.2.3", "^1.0.0", None, "https://r/a.tgz", "1.2.3"),
+        ("1.2.3", "latest", "", None, "1.2.3"),
+        (None, "^1.0.0", None, None, "^1.0.0"),
+        ("1.2.3", "file:../a", None, None, "file:../a"),
+        ("1.2.3", "file:../a", None, "file:../b", "file:../b"),
+        ("1.2.3", "a@^1", None, "https://r/a.tgz", "1.2.3"),
+        (None, "a@^1", None, "https://r/a.tgz", None),
+        ("1.2.3", None, None, "https://r/a.tgz", "https://r/a.tgz"),
+        ("1.2.3", None, None, None, "1.2.3"),
+        ("a@1", None, "sha512-x", None, None),
+        ("", "", "", "", None),
+        (None, None, None, None, None),
+    ],
+)
+def test_specs_of_old_locks(spark, version, asked, integrity, resolved, expected):
+    row = spark.createDataFrame([(version, asked, integrity, resolved)], "v string, f string, i string, r string")
+    assert row.select(text.legacy_spec(*map(F.col, "vfir"))).first()[0] == expected
+
+
+def test_digest_of_json(spark):
+    import base64
+    import hashlib
+
+    value = {"b@1": {"peer": {"z": "^1 || 2", "a/é": "*"}, "n": [1, True, None, "x y"]}, "a": {}}
+    plain = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    texts = [json.dumps(value), json.dumps(value, indent=2, sort_keys=True), plain, "{nope", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(text.json_digest(F.col("t"))).collect()]
+    assert got == ["sha512-" + base64.b64encode(hashlib.sha512(plain.encode()).digest()).decode()] * 3 + [None, None]
+
+
 def test_globs():
     import re
 
