@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphweft.functions import semver, text
 from graphweft.operators.closure import closure, reached
 from graphweft.operators.graph import Graph
-from graphweft.storage import stored
+from graphweft.storage import stored, written
 
 SEVERITY = ("info", "low", "moderate", "high", "critical")
 
@@ -219,23 +219,22 @@ def audit(graph: Graph) -> DataFrame:
     such that every version that the spec lets in is vulnerable, until no more
     are found. That last rule is our definition of a dependent's vulnerability."""
     own = vulnerable_nodes(graph).select("name", "version", "severity", F.col("id").alias("via")).distinct()
-    found = [stored(own, "audit")]
+    found = [written(own, "audit")]
     known = graph.versions.select("name", "version").union(graph.nodes.select("name", "version")).distinct()
     pairs = graph.resolved.select("src", "name", "spec").distinct()
     terms = semver.range_terms(pairs.select("spec"))
     allowed = pairs.select("name", "spec").distinct().join(known, "name").join(terms, "spec").where(semver.sv_satisfies(semver.sv(F.col("version")), F.col("terms"))).select("name", "spec", "version")
     allowed = stored(allowed, "allowed")
     places = graph.nodes.where("not is_root").select(F.col("location").alias("src"), F.col("name").alias("owner"), F.col("version").alias("owner_version"))
-    seen = found[0]
+    seen = graph.nodes.sparkSession.read.schema(own.schema).parquet(*found)
     while True:
         bad = seen.groupBy("name", "version").agg(F.max_by("severity", severity_rank(F.col("severity"))).alias("severity"))
         judged = allowed.join(bad, ["name", "version"], "left").groupBy("name", "spec").agg(F.bool_and(F.col("severity").isNotNull()).alias("all_bad"), F.max_by("severity", severity_rank(F.col("severity"))).alias("severity")).where("all_bad")
         more = pairs.join(judged, ["name", "spec"]).join(places, "src").select(F.col("owner").alias("name"), F.col("owner_version").alias("version"), "severity", F.col("name").alias("via")).distinct()
-        new = stored(more.join(seen, ["name", "version", "via"], "left_anti"), "audit")
-        if new.isEmpty():
+        found.append(written(more.join(seen, ["name", "version", "via"], "left_anti").select(*seen.columns), "audit"))
+        if seen.sparkSession.read.schema(own.schema).parquet(found[-1]).isEmpty():
             return seen
-        found.append(new)
-        seen = stored(seen.unionByName(new.select(*seen.columns)), "audit")
+        seen = seen.sparkSession.read.schema(own.schema).parquet(*found)
 
 
 def fix_available(summary: DataFrame, versions: DataFrame, advisories: DataFrame, specs: DataFrame) -> DataFrame:

@@ -84,11 +84,8 @@ selector("sel_attr_array", ":attr(detail, [words=red])", nodes_of("list_contains
 selector("sel_empty", ":empty", nodes_of("location not in (select src from e)"))
 selector("sel_deduped", ":deduped", nodes_of("location in (select dst from e group by dst having count(*) > 1)"))
 selector("sel_invalid", ":invalid", nodes_of("location in (select dst from bad)"))
-selector("sel_link", ":link", nodes_of("false"))
 selector("sel_root_scope", ":root, :scope", nodes_of("location = ''"))
-selector("sel_private", ":private", nodes_of("false"))
 selector("sel_type_range", ":type(range)", nodes_of("location in (select dst from e)"))
-selector("sel_type_git", ":type(git)", nodes_of("false"))
 selector("sel_path_glob", ":path(part/*5)", nodes_of("regexp_full_match(location, 'part/[^/]*5')"))
 selector("sel_semver_satisfies", ":semver(^2.1.0)", nodes_of("split_part(version, '.', 1) = '2' and cast(split_part(version, '.', 2) as int) >= 1"))
 selector("sel_semver_cmp", ":semver(3.2.10, [version], gt)", nodes_of("(cast(split_part(version, '.', 1) as int), cast(split_part(version, '.', 2) as int), cast(split_part(version, '.', 3) as int)) > (3, 2, 10)"))
@@ -132,6 +129,37 @@ def sel_missing(spark, sf_dir):
     return select(g, ":missing").select("name", "version")
 
 
+def changed_selector(name: str, text_: str, where: str, change: Callable[[G.Graph], None]) -> None:
+    """A selector over the graph with something that its tables don't have."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        g = star.star_graph(spark, sf_dir)
+        change(g)
+        return select(g, text_).select("location", "name", "version")
+
+    query(name, nodes_of(where))(run)
+
+
+KIND = "variant_get(package, '$.kind', 'string')"
+
+
+def _linked(g: G.Graph) -> None:
+    g.nodes = g.nodes.withColumn("is_link", F.expr(f"{KIND} = 'PROMO'"))
+
+
+def _private(g: G.Graph) -> None:
+    hidden = F.parse_json(F.when(F.expr(f"{KIND} = 'LARGE'"), '{"private":true}').otherwise('{"private":false}'))
+    g.nodes = g.nodes.withColumn("package", hidden)
+
+
+def _from_git(g: G.Graph) -> None:
+    g.edges = g.edges.withColumn("spec", F.when(F.col("name").startswith("red"), "github:a/b").otherwise(F.col("spec")))
+
+
+changed_selector("sel_link", ":link", "kind = 'PROMO'", _linked)
+changed_selector("sel_private", ":private", "kind = 'LARGE'", _private)
+changed_selector("sel_type_git", ":type(git)", "location in (select dst from e where starts_with(name, 'red'))", _from_git)
+
 # --- outdated ----------------------------------------------------------------------
 
 NEWER = "newer as (select n.location, n.name, n.version, v.version as other, v.days, cast(split_part(n.version, '.', 1) as int) as na, cast(split_part(n.version, '.', 2) as int) as nb, cast(split_part(n.version, '.', 3) as int) as nc, v.a, v.b, v.c from n join ver v on v.name = n.name where n.location <> '' and (v.a, v.b, v.c) > (cast(split_part(n.version, '.', 1) as int), cast(split_part(n.version, '.', 2) as int), cast(split_part(n.version, '.', 3) as int)))"
@@ -175,7 +203,12 @@ def vuln_counts(spark, sf_dir):
     return reports.severity_counts(reports.vulnerability_summary(star.star_graph(spark, sf_dir)))
 
 
-@query("audit_fixpoint")
+@query("audit_fixpoint", f"""with {GRAPH}, {VER}, {ADV}, {HIT}, own as (select distinct name, version, severity, id as via from hit),
+ judged as (select s.name, spec, max(own.severity) as severity from (select distinct name, spec from e where spec <> '*') s join ver on ver.name = s.name and try_cast(substr(split_part(spec, '.', 1), 2) as int) = a left join own on own.name = ver.name and own.version = ver.version group by all having count(*) = count(own.name)),
+ orders_ as (select n.name, n.version, severity, e.name as via from e join judged using (name, spec) join n on n.location = e.src),
+ levels as (select name, max(list_position(['low', 'moderate', 'high', 'critical'], severity)) as level from orders_ group by name),
+ customers_ as (select n.name, n.version, ['low', 'moderate', 'high', 'critical'][level] as severity, e.name as via from e join levels using (name) join n on n.location = e.src)
+ select name, version, severity, via from own union all select distinct * from orders_ union all select distinct * from customers_""")
 def audit_fixpoint(spark, sf_dir):
     return reports.audit(star.star_graph(spark, sf_dir))
 
@@ -236,20 +269,14 @@ def peer_sets(spark, sf_dir):
 # --- reports -----------------------------------------------------------------------
 
 
-@query("query_report", f"with {GRAPH} select n.location, n.name, n.version, (select count(distinct src) from e where e.dst = n.location) as n_from, coalesce((select string_agg(distinct dst, ',' order by dst) from e where e.src = n.location), '') as \"to\" from n where location like 'supplier/%' or location like 'nation/%'")
+@query("query_report", f"""with {GRAPH}, i as (select dst, count(distinct src) as c from e group by dst), o as (select src, string_agg(distinct dst, ',' order by dst) as c from e group by src)
+ select n.location, n.name, n.version, coalesce(i.c, 0) as n_from, coalesce(o.c, '') as "to" from n left join i on i.dst = n.location left join o on o.src = n.location""")
 def query_report(spark, sf_dir):
     g = star.star_graph(spark, sf_dir)
-    rows = reports.query_report(g, g.nodes.where("location like 'supplier/%' or location like 'nation/%'"))
+    rows = reports.query_report(g, g.nodes)
     return rows.select("location", "name", "version", F.size("from").cast("long").alias("n_from"), F.array_join("to", ",").alias("to"))
 
 
-@query("query_report_all")
-def query_report_all(spark, sf_dir):
-    """query_report over every node."""
-    g = star.star_graph(spark, sf_dir)
-    return reports.query_report(g, g.nodes).select("location", "name", "version", F.size("from").cast("long").alias("n_from"), F.array_join("to", ",").alias("to"))
-
-
 @query("dedupe_by_rank", f"with {GRAPH} select name, location, version from (select *, row_number() over (partition by name order by case when kind = 'PROMO' then 2 when kind = 'ECONOMY' then 1 else 0 end desc, location) rn from n) z where rn = 1")
 def dedupe_by_rank(spark, sf_dir):
     n = star.star_graph(spark, sf_dir).nodes.withColumn("kind", F.expr("variant_get(package, '$.kind', 'string')"))
@@ -314,14 +341,8 @@ def lock_validate(spark, sf_dir):
     return reports.validate_lock(later, now)
 
 
-@query("newest_by_name", f"with {VER} select name, arg_max(version, (a, b, c)) as version from ver group by name")
+@query("newest_by_name", f"with {GRAPH} select name, arg_max(version, ({', '.join(f"cast(split_part(version, '.', {k}) as int)" for k in (1, 2, 3))})) as version from n group by name")
 def newest_by_name(spark, sf_dir):
-    return reports.newest_by_name(star.star_graph(spark, sf_dir).nodes.where("location like 'part/%'"))
-
-
-@query("newest_by_name_all")
-def newest_by_name_all(spark, sf_dir):
-    """newest_by_name over every node."""
     return reports.newest_by_name(star.star_graph(spark, sf_dir).nodes)
 
 
@@ -335,7 +356,7 @@ def sbom_relationships(spark, sf_dir):
     return reports.bill_relationships(star.star_graph(spark, sf_dir))
 
 
-@query("explain_paths")
+@query("explain_paths", f"with recursive {GRAPH}, up as (select distinct src, dst from e), p as (select location, [location] as path from n where name = 'AFRICA' union all select up.src, list_append(path, up.src) from up join p on p.location = up.dst where not list_contains(path, up.src)) select array_to_string(path, ' < ') as path from p")
 def explain_paths(spark, sf_dir):
     g = star.star_graph(spark, sf_dir)
     return reports.explain(g, g.nodes.where("name = 'AFRICA'")).select(F.array_join("path", " < ").alias("path"))
@@ -346,14 +367,32 @@ def brief_dependents(spark, sf_dir):
     return reports.brief_dependents(star.star_graph(spark, sf_dir).edges, 4).select("location", "shown", F.col("more").cast("long").alias("more"))
 
 
-@query("printable", f"with {GRAPH} select location, '{{\"name\":\"' || name || '\",\"version\":\"' || version || '\",\"location\":\"' || location || '\"}}' as json from n where location not in (select src from e)")
+@query("printable", f"""with {GRAPH}, o as (select src, ',"edgesOut":[' || string_agg('{{"name":"' || e.name || '","type":"' || type || '","spec":"' || spec || '","to":"' || dst || '"' || case when spec <> '*' and try_cast(substr(split_part(spec, '.', 1), 2) as int) <> m then ',"error":"INVALID"' else '' end || '}}', ',' order by e.name, type, spec, dst) || ']' as edges from e join major on location = dst group by src)
+ select location, '{{"name":"' || name || '","version":"' || version || '","location":"' || location || '"' || coalesce(edges, '') || '}}' as json from n left join o on src = location""")
 def printable(spark, sf_dir):
-    g = star.star_graph(spark, sf_dir)
-    return reports.printable(g).join(select(g, ":empty").select("location"), "location", "left_semi")
+    return reports.printable(star.star_graph(spark, sf_dir))
 
 
-@query("tree_checks", "select 'duplicate edge' as \"check\", 0::bigint as n union all select 'duplicate location', 0 union all select 'edge from nowhere', 0 union all select 'edge to nowhere', 0 union all select 'link without target', 0 union all select 'no single root', 0")
+@query("tree_checks", f"""with {GRAPH}, twice as (select count(*) as c from e where type = 'workspace'), lone as (select count(*) as c from n where kind = 'supplier'),
+ lost as (select count(*) as c from e where src like 'supplier/%'), past as (select count(*) as c from e where dst like 'supplier/%'), link as (select count(*) as c from n where kind = 'PROMO' and size = '7'), again as (select count(*) as c from n where kind = 'region')
+ select 'duplicate edge' as "check", c as n from twice union all select 'duplicate location', c from again union all select 'edge from nowhere', c from lost
+ union all select 'edge to nowhere', c from past union all select 'link without target', c from link union all select 'no single root', case when c > 0 then 1 else 0 end from lone""")
 def tree_checks(spark, sf_dir):
+    """On a graph with breaches of every kind: suppliers gone but their edges
+    kept, regions and workspace edges doubled, a second root, some parts
+    links to nothing."""
+    g = star.star_graph(spark, sf_dir)
+    kind = F.expr("variant_get(package, '$.kind', 'string')")
+    dangling = (kind == "PROMO") & (F.expr("variant_get(package, '$.detail.size', 'string')") == "7")
+    n = g.nodes.where(kind != "supplier").withColumn("is_link", dangling).withColumn("target_location", F.when(dangling, "nowhere"))
+    roots = n.where("is_root").withColumn("location", F.lit("second"))
+    g.nodes = n.unionByName(n.where(kind == "region")).unionByName(roots)
+    g.edges = g.edges.unionByName(g.edges.where("type = 'workspace'"))
+    return G.check_tree(g)
+
+
+@query("tree_checks_sound", "select * from (values ('duplicate edge', 0::bigint), ('duplicate location', 0), ('edge from nowhere', 0), ('edge to nowhere', 0), ('link without target', 0), ('no single root', 0)) z(\"check\", n)")
+def tree_checks_sound(spark, sf_dir):
     return G.check_tree(star.star_graph(spark, sf_dir))
 
 

@@ -58,12 +58,12 @@ def test_reports_take_every_node(spark):
     for src, dst in g.edges.where("dst is not null").select("src", "dst").collect():
         into.setdefault(dst, set()).add(src)
         out.setdefault(src, set()).add(dst)
-    got = [tuple(r) for r in queries.QUERIES["query_report_all"](spark, SF).collect()]
+    got = [tuple(r) for r in queries.QUERIES["query_report"](spark, SF).collect()]
     assert sorted(got) == sorted((at, name, version, len(into.get(at, ())), ",".join(sorted(out.get(at, ())))) for at, name, version in nodes)
     newest = {}
     for _, name, version in nodes:
         newest[name] = max(newest.get(name, (0, 0, 0)), tuple(map(int, version.split("."))))
-    got = {r["name"]: r["version"] for r in queries.QUERIES["newest_by_name_all"](spark, SF).collect()}
+    got = {r["name"]: r["version"] for r in queries.QUERIES["newest_by_name"](spark, SF).collect()}
     assert got == {name: ".".join(map(str, v)) for name, v in newest.items()}
 
 
