@@ -33,4 +33,18 @@ def written(df: DataFrame, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
+    """Write df there and read it back; `path_of` tells where."""
+    path = written(df, name)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._gw_path = path
+    return out
+
+
+def path_of(df: DataFrame) -> str:
+    return df._gw_path
+
+
+def dropped(df: DataFrame) -> None:
+    """Delete what stored() wrote; df must not be read any more."""
+    spark, at = df.sparkSession, df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path_of(df))
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -3,7 +3,7 @@
 import pytest
 from oracle import compare
 
-from graphweft import queries
+from graphweft import graph_queries, queries  # noqa: F401
 from graphweft.sources import star
 
 SF = "/root/testdata/sf0.001"
