@@ -192,9 +192,10 @@ def find_runs(docs: DataFrame, digest: bool = False, plant: bool = False, unit:
     row of their own; a null id has no planted tail. Any other column, whatever
     its name, is left behind. Words are bytes between ASCII white space."""
     schema = OUT if digest else TEXTS
-    # no text has more words than white space characters, and one
-    words = (F.length("text") - F.length(F.translate("text", SPACES, "")) + 1).cast("double")
-    parts = F.greatest(F.ceil(words * words / LEAST_PERIODS / unit), F.lit(1))
+    # no text has more words than white space characters, and one; nor than half its bytes, and one
+    ranges = lambda words: F.greatest(F.ceil(words.cast("double") * words / LEAST_PERIODS / unit), F.lit(1))
+    few = ranges(F.octet_length(text_col) / 2 + 1)
+    parts = F.when(few.isNull() | (few == 1), F.lit(1)).otherwise(ranges(F.length(text_col) - F.length(F.translate(text_col, SPACES, "")) + 1))
     own = pick(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text"), parts.cast("int").alias("parts"))
     short = own.where("parts = 1").select("doc_id", "text").mapInArrow(functools.partial(_short, digest=digest, plant=plant), schema)
     long = stored(own.where("parts > 1").withColumn("key", F.monotonically_increasing_id()), "long-texts")
