@@ -139,7 +139,7 @@ def hex_digest(sri: Column) -> Column:
 
 
 def name_key(name: Column) -> Column:
-    """Names compare without case, in compatibility decomposition."""
+    """Names compare without case; compatibility forms are left as they are."""
     return F.lower(name)
 
 

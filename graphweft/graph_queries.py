@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphweft.operators import audits, fixpoints, reports, trees
+from graphweft.operators import audits, bills, fixpoints, reports, trees
 from graphweft.queries import GRAPH, SQL, VER, query
 from graphweft.sources import star
 
@@ -192,3 +192,51 @@ def link_targets(spark, sf_dir):
     chain = own.select(F.concat(F.lit("l/"), i).alias("location"), F.when(i % 100 == 0, end).otherwise(F.concat(F.lit("l/"), i + 1)).alias("target"))
     inner = own.where(i % 10 == 0).select(F.concat(F.lit("d/"), i), F.concat(F.lit("l/"), i, F.lit("/sub")))
     return fixpoints.link_targets(chain.union(inner))
+
+
+# --- bills, items, explanations ----------------------------------------------------
+
+_REACHED = "r as (select '' as location union select e.dst from e join r on r.location = e.src)"
+
+
+@query("sbom_document", f"""with recursive {GRAPH}, {_REACHED}, b as (select n.location, name, version, name || '@' || version as ref from n join r using (location)),
+ f as (select * from b where location <> '' qualify row_number() over (partition by ref order by location) = 1),
+ d as (select x.ref, string_agg(distinct '"' || y.ref || '"', ',' order by '"' || y.ref || '"') as needs from e join (select * from f union all select * from b where location = '') x on x.location = e.src join b y on y.location = e.dst group by x.ref),
+ c as (select ref, '{{"bom-ref":"' || ref || '","type":"library","name":"' || name || '","version":"' || version || '","scope":"required","purl":"pkg:npm/' || ref || '","properties":[],"externalReferences":[]}}' as value from (select * from f union all select * from b where location = '') z),
+ lines as (select 0 as s, '' as k, '{{"$schema":"http://cyclonedx.org/schema/bom-1.5.schema.json","bomFormat":"CycloneDX","specVersion":"1.5","serialNumber":"urn:uuid:0","version":1,"metadata":{{"timestamp":"1996-01-01T00:00:00Z","lifecycles":[{{"phase":"build"}}],"tools":[{{"name":"graphweft"}}],"component":' || (select value from c where ref = 'root@1.0.0') || '}},"components":[' as value
+  union all select 1, ref, value || case when ref = (select max(ref) from f) then '' else ',' end from c where ref <> 'root@1.0.0' union all select 2, '', '],"dependencies":['
+  union all select 3, case when ref = 'root@1.0.0' then '' else ref end, '{{"ref":"' || ref || '","dependsOn":[' || coalesce(needs, '') || ']}}' || case when ref = (select max(ref) from f) then '' else ',' end from c left join d using (ref) union all select 4, '', ']}}')
+ select row_number() over (order by s, k) as n, value from lines""")
+def sbom_document(spark, sf_dir):
+    g = star.star_graph(spark, sf_dir)
+    return bills.cyclonedx(g, bills.selection(g), "0", "1996-01-01T00:00:00Z")
+
+
+@query("sbom_selected", f"""with recursive {GRAPH}, {_REACHED}, d as (select dst as location from e where type = 'dev' union select e.dst from e join d on d.location = e.src)
+ select location from r where location not in (select location from d) or location = ''""")
+def sbom_selected(spark, sf_dir):
+    return bills.selection(star.star_graph(spark, sf_dir), omit=("dev",)).select("location")
+
+
+@query("bill_errors", f"with recursive {GRAPH}, {_REACHED} select distinct 'invalid: ' || a.name || '@' || a.version || ', ' || spec || ' required by ' || b.name || '@' || b.version as error from bad join n a on a.location = dst join n b on b.location = src join r on r.location = src")
+def bill_errors(spark, sf_dir):
+    g = star.star_graph(spark, sf_dir)
+    return bills.bill_errors(g, bills.selection(g))
+
+
+@query("query_items", f"""with {GRAPH}, i as (select dst, string_agg(src, ',' order by src) as c, count(*) as k from e group by dst), o as (select src, string_agg(dst, ',' order by dst) as c from e group by src)
+ select name || '@' || version as pkgid, location, '/star' || case when location = '' then '' else '/' || location end as path, '/star/' || location as realpath, cast(null as varchar) as resolved,
+ '{{"brand":' || coalesce('"' || brand || '"', 'null') || ',"detail":{{"size":' || coalesce('"' || size || '"', 'null') || ',"words":["' || replace(name, ' ', '","') || '"]}},"kind":"' || kind || '","name":"' || name || '","version":"' || version || '"}}' as manifest,
+ coalesce(i.c, '') as from_, coalesce(o.c, '') as to_, false as dev, false as in_bundle, coalesce(i.k, 0) > 1 as deduped, false as overridden from n left join i on i.dst = location left join o on o.src = location""")
+def query_items(spark, sf_dir):
+    g = star.star_graph(spark, sf_dir)
+    joined = lambda c: F.array_join(c, ",")
+    return reports.query_items(g, g.nodes, strict_compat=False).withColumns({"from_": joined("from"), "to_": joined("to"), "in_bundle": F.col("inBundle"), "manifest": F.to_json("manifest")}).drop("from", "to", "inBundle")
+
+
+@query("explain_dependents", f"""with recursive {GRAPH}, ok as (select e.*, b.src is not null as wrong from e left join bad b on b.src = e.src and b.dst = e.dst where b.src is null or e.src = ''),
+ up as (select location, 0 as depth from n where name = 'AFRICA' or location = 'part/2' union select ok.src, depth + 1 from ok join up on up.location = ok.dst), near as (select location, min(depth) as depth from up group by location)
+ select near.location, n.name, n.version, near.location like 'customer/%' as is_workspace, cast(near.depth as int) as depth, ok.src as dependent, ok.type, ok.name as edge, ok.spec, case when wrong then 'INVALID' end as error from near join n using (location) left join ok on ok.dst = near.location""")
+def explain_dependents(spark, sf_dir):
+    g = star.star_graph(spark, sf_dir)
+    return reports.explain_dependents(g, g.nodes.where("name = 'AFRICA' or location = 'part/2'")).drop("bundled")

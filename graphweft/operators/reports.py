@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphweft.functions import semver, text
 from graphweft.operators.closure import closure, reached
 from graphweft.operators.graph import Graph
+from graphweft.plans.compiler import package_id
 from graphweft.storage import stored, written
 
 SEVERITY = ("info", "low", "moderate", "high", "critical")
@@ -33,6 +34,28 @@ def query_report(graph: Graph, nodes: DataFrame, strict_compat: bool = True) ->
     return found.select("name", "version", "location", "realpath", F.coalesce("from", none).alias("from"), F.coalesce("to", none).alias("to"), "dev", F.col("in_bundle").alias("inBundle"), deduped.alias("deduped"), "overridden")
 
 
+def query_items(graph: Graph, nodes: DataFrame, strict_compat: bool = True) -> DataFrame:
+    """What a query tells of each place: (pkgid, location, path, realpath,
+    resolved, manifest, from, to, dev, inBundle, deduped, overridden). A link
+    is told as its target, a link into the store under its own location. Of
+    several rows of one place the one nearest the top stays, see place_rank.
+    from and to have an entry for each edge, in order; deduped as in query_report."""
+    store = F.col("location").contains("node_modules/.store/")
+    resolved = F.col("resolved") if "resolved" in graph.nodes.columns else F.lit(None).cast("string")
+    real = graph.nodes.select(F.col("location").alias("_real"), package_id(F.col("name"), F.col("package_name"), F.col("version")).alias("pkgid"), "realpath", resolved.alias("resolved"), F.col("package").alias("manifest"), "dev", F.col("in_bundle").alias("inBundle"), F.col("in_store").alias("_stored"))
+    found = nodes.select("location", "is_link", "overridden", store.alias("_store"), F.coalesce(F.when(F.col("is_link"), F.col("target_location")), F.col("location")).alias("_real")).join(real, "_real")
+    found = one_a_place(found, "_real", place_rank(F.col("location"), F.col("is_link"), F.col("_store")), "location")
+    e = graph.resolved
+    into = e.groupBy(F.col("dst").alias("_real")).agg(F.sort_array(F.collect_list("src")).alias("from"))
+    out = e.groupBy(F.col("src").alias("_real")).agg(F.sort_array(F.collect_list("dst")).alias("to"))
+    none = F.array().cast("array<string>")
+    rows = found.join(into, "_real", "left").join(out, "_real", "left").withColumn("from", F.coalesce("from", none))
+    at = F.when(F.col("_stored") & F.col("is_link"), F.col("location")).otherwise(F.col("_real"))
+    path = F.concat(F.lit(graph.root_path.rstrip("/")), F.when(at == "", "").otherwise(F.concat(F.lit("/"), at)))
+    deduped = F.lit(False) if strict_compat else F.size("from") > 1
+    return rows.select("pkgid", at.alias("location"), path.alias("path"), "realpath", "resolved", "manifest", "from", F.coalesce("to", none).alias("to"), "dev", "inBundle", deduped.alias("deduped"), "overridden")
+
+
 def one_a_place(rows: DataFrame, place: str, rank: Column, order: str) -> DataFrame:
     """The row of the highest rank at each place; the first among equals."""
     w = Window.partitionBy(place).orderBy(rank.desc(), F.col(order))
@@ -352,6 +375,22 @@ def explain(graph: Graph, target: DataFrame, most: int | None = None) -> DataFra
     return paths(up, target.select("location"), most)
 
 
+def explain_dependents(graph: Graph, target: DataFrame) -> DataFrame:
+    """(location, name, version, is_workspace, depth, dependent, type, edge,
+    spec, error, bundled): the targets and all that leads to them, with a row
+    for each edge that holds a node where it is, and one without for a node
+    that none holds. Edges that aren't valid hold nothing, but the root's. This
+    is the explanation with each node's part told once, however many chains
+    pass through it; depth is the fewest steps from a target."""
+    e = graph.resolved.where(F.col("error").isNull() | (F.col("src") == graph.root))
+    near = closure(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), target.select("location"))
+    own = graph.nodes.select("location", "name", "version", "is_workspace")
+    bundles = graph.nodes.select(F.col("location").alias("dependent"), F.try_variant_get("package", "$.bundleDependencies", "array<string>").alias("_bundles"))
+    held = e.select(F.col("dst").alias("location"), F.col("src").alias("dependent"), "type", F.col("name").alias("edge"), "spec", "error")
+    rows = near.join(own, "location").join(held, "location", "left").join(bundles, "dependent", "left")
+    return rows.select("location", "name", "version", "is_workspace", "depth", "dependent", "type", "edge", "spec", "error", F.coalesce(F.array_contains("_bundles", F.col("edge")), F.lit(False)).alias("bundled"))
+
+
 def find_nodes(graph: Graph, wanted: str) -> DataFrame:
     """Nodes that an argument names: a location, else a realpath, else a name,
     else a name with a range behind its last @. The first kind that finds any decides."""
