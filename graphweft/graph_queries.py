@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphweft.operators import audits, bills, fixpoints, reports, trees
+from graphweft.operators import audits, bills, fixpoints, reports, resolve, trees
 from graphweft.queries import GRAPH, SQL, VER, query
 from graphweft.sources import star
 
@@ -240,3 +240,16 @@ def query_items(spark, sf_dir):
 def explain_dependents(spark, sf_dir):
     g = star.star_graph(spark, sf_dir)
     return reports.explain_dependents(g, g.nodes.where("name = 'AFRICA' or location = 'part/2'")).drop("bundled")
+
+
+@query("inert_nodes", f"""with recursive {GRAPH}, fail as (select location from n where location like 'part/%' and cast(size as int) between 11 and 12 and location in (select dst from e where type = 'optional') and location not in (select dst from e where type <> 'optional')),
+ up as (select location from fail union select e.src from e join up on up.location = e.dst where type not in ('optional', 'peerOptional')),
+ s as (select location from up where location <> ''), r as (select location from s union select e.dst from e join r on r.location = e.src),
+ o as (select e.dst as location from e where e.src not in (select location from r) and e.dst in (select location from r) and e.dst not in (select location from s)
+  union select e.dst from e join o on o.location = e.src where e.dst not in (select location from s))
+ select n.location, n.location in (select location from r where location not in (select location from o)) as inert from n""")
+def inert_nodes(spark, sf_dir):
+    g = star.star_graph(spark, sf_dir)
+    sized = g.nodes.where("location like 'part/%' and variant_get(package, '$.detail.size', 'int') between 11 and 12")
+    only = g.resolved.groupBy(F.col("dst").alias("location")).agg(F.bool_and(F.col("type") == "optional").alias("only")).where("only")
+    return resolve.mark_inert(g.nodes, g.edges, sized.join(only, "location", "left_semi"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweft.functions import semver, text
-from graphweft.operators.closure import closure, least_joined, reached
+from graphweft.operators.closure import least_joined, reached
 from graphweft.storage import stored
 
 #: Columns that a node may leave out, with what then holds.
@@ -149,6 +149,7 @@ def dependency_flags(nodes: DataFrame, edges: DataFrame, root: str = "") -> Data
     steps = edges.where("dst is not null").select("src", "dst", F.array_compact(F.array(*[F.when(ok, F.lit(name)) for name, ok in allowed.items()])).alias("seeds"))
     links = nodes.where("is_link").select(F.col("location").alias("src"), F.col("target_location").alias("dst"), every.alias("seeds"))
     tagged = steps.union(links).groupBy("src", "dst").agg(F.array_distinct(F.flatten(F.collect_list("seeds"))).alias("seeds")).select("src", "dst", F.explode("seeds").alias("seed"))
+    tagged = stored(tagged, "tagged")  # each round joins it
     start = nodes.sparkSession.createDataFrame([(name, root) for name in allowed], "seed string, location string")
     free = reached(tagged, start).groupBy("location").agg(F.collect_set("seed").alias("_free"))
     found = nodes.select("location").join(free, "location", "left").withColumn("_free", F.coalesce("_free", F.array().cast("array<string>")))
@@ -292,9 +293,3 @@ def check_tree(graph: Graph) -> DataFrame:
         row = bad.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check"), "n")
         out = row if out is None else out.union(row)
     return out
-
-
-def explain_depth(graph: Graph, target: DataFrame) -> DataFrame:
-    """Steps from each node up to the root over edges into it, nearest first."""
-    up = graph.resolved.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return closure(up, target)

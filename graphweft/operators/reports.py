@@ -87,12 +87,11 @@ def outdated(graph: Graph, edges: DataFrame | None = None, omit: tuple[str, ...]
         e = e.where(F.col("type") != kind)
     published = graph.versions if before is None else graph.versions.where(F.col("published_at") <= F.lit(before).cast("timestamp"))
     v = published.select("name", "version", semver.sv(F.col("version")).alias("v")).where("v is not null")
-    known = v.groupBy("name").agg(F.sort_array(F.collect_set(F.struct("v", "version")), asc=False).alias("all"))
     current = graph.nodes.select(F.col("location").alias("dst"), F.col("version").alias("current"))
-    terms = semver.range_terms(e.select("spec"))
-    wanted = F.filter("all", lambda x: semver.sv_satisfies(x["v"], F.col("terms")))
-    asked = e.select("name", "spec").distinct().join(known, "name").join(terms, "spec")
-    best = asked.select("name", "spec", F.try_element_at(wanted, F.lit(1))["version"].alias("wanted"), F.col("all")[0]["version"].alias("latest"))
+    asked = e.select("name", "spec").distinct()
+    pairs = asked.join(v, "name").join(semver.range_terms(asked.select("spec")), "spec")
+    one = F.struct("v", "version")
+    best = pairs.groupBy("name", "spec").agg(F.max(F.when(semver.sv_satisfies(F.col("v"), F.col("terms")), one))["version"].alias("wanted"), F.max(one)["version"].alias("latest"))
     if tags is not None:
         tagged = tags.where("tag = 'latest'").join(v.select("name", "version"), ["name", "version"], "left_semi").select("name", F.col("version").alias("_tagged"))
         best = best.join(tagged, "name", "left").withColumn("latest", F.coalesce("_tagged", "latest")).drop("_tagged")

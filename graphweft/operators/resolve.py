@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphweft.functions import semver
-from graphweft.operators.graph import closed_set, optional_set  # noqa: F401  (pruning uses them)
+from graphweft.operators.graph import optional_set
 
 STRATEGIES = ("hoisted", "nested", "shallow")
 
@@ -167,12 +167,9 @@ def remove_dependency(manifest: dict, name: str) -> dict:
     return out
 
 
-def store_keys(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(location, key): content keys of nodes for a linked layout: a hash of the
-    node and of all that it leads to."""
-    from graphweft.operators.closure import reached
-
-    own = nodes.select("location", F.concat("name", F.lit("@"), "version").alias("ref"))
-    within = reached(edges, own.select(F.col("location").alias("seed"), "location"))
-    deps = within.join(own, "location").groupBy("seed").agg(F.sort_array(F.collect_set("ref")).alias("all"))
-    return own.join(deps, F.col("location") == F.col("seed")).select("location", F.concat("ref", F.lit("-"), F.substring(F.sha2(F.array_join("all", ","), 256), 1, 32)).alias("key"))
+def mark_inert(nodes: DataFrame, edges: DataFrame, failed: DataFrame) -> DataFrame:
+    """(location, inert): whether a node is left out since an optional
+    dependency can't be installed: the failed nodes (location), what needs them
+    up to the optional edges above, and what only those lead to."""
+    out = optional_set(edges, failed.select("location").distinct()).select("location", F.lit(True).alias("inert"))
+    return nodes.select("location").join(out, "location", "left").select("location", F.coalesce("inert", F.lit(False)).alias("inert"))

@@ -129,9 +129,6 @@ class Compiler:
         on = [c for c in ("seed", "location") if c in keys.columns and c in other.columns]
         return Items(keys.join(other.select(*on).distinct(), on, how))
 
-    def with_seeds(self, right: Items, left: Items) -> DataFrame:
-        return self.table(right)
-
     # evaluation
 
     def query(self, text_: str) -> DataFrame:
@@ -363,31 +360,38 @@ class Compiler:
         return self.kept(base, self.outdated(t.args[0] if t.args and t.args[0] else "any").select("location"))
 
     def available(self) -> DataFrame:
-        """(name, versions): versions of each name, as of `before`."""
+        """(name, newer, _n): versions of each name, as of `before`."""
         v = self.g.versions.select("name", "version", "published_at")
         if self.before is not None:
             spared = F.lit(False)
             for glob in self.exclude:
                 spared = spared | F.col("name").rlike(text.glob_regex(glob))
             v = v.where(F.coalesce(F.col("published_at") <= F.lit(self.before).cast("timestamp"), F.lit(False)) | spared)
-        own = v.select("name", "version", semver.sv(F.col("version")).alias("v")).where("v is not null")
-        return own.groupBy("name").agg(F.sort_array(F.collect_set(F.struct("v", "version"))).alias("versions"))
+        return v.select("name", F.col("version").alias("newer"), semver.sv(F.col("version")).alias("_n")).where("_n is not null").distinct()
 
     def outdated(self, kind: str = "any") -> DataFrame:
-        """(location, newer): nodes with a newer version of the kind."""
-        own = self.g.nodes.where(~F.col("is_root") & ~truthy(F.try_variant_get("package", "$.private", "variant"))).select("location", "name", semver.sv(F.col("version")).alias("_v"))
-        newer = own.join(self.available(), "name").withColumn("newer", F.filter("versions", lambda x: x["v"] > F.col("_v"))).where(F.size("newer") > 0).drop("versions", "name")
-        if kind == "any":
-            return newer.select("location", F.transform("newer", lambda x: x["version"]).alias("newer"))
-        if kind in ("major", "minor", "patch"):
-            newer = newer.withColumn("newer", F.filter("newer", lambda x: semver.sv_difference(F.col("_v"), x["v"]) == kind))
-            return newer.where(F.size("newer") > 0).select("location", F.transform("newer", lambda x: x["version"]).alias("newer"))
+        """(location, newer): nodes with a newer version of the kind. Versions are
+        compared once for each installed version of a name, and for each range
+        that asks for it where ranges count, not for each node."""
+        own = self.g.nodes.where(~F.col("is_root") & ~truthy(F.try_variant_get("package", "$.private", "variant"))).select("location", "name", "version")
+        by = ["name", "version"]
         if kind in ("in-range", "out-of-range"):
-            into = self.g.resolved.select(F.col("dst").alias("location"), "spec").distinct().join(semver.range_terms(self.g.resolved.select("spec")), "spec")
-            good = lambda x: semver.sv_satisfies(x["v"], F.col("terms")) if kind == "in-range" else ~semver.sv_satisfies(x["v"], F.col("terms"))
-            found = newer.join(into, "location").withColumn("newer", F.filter("newer", good)).where(F.size("newer") > 0)
-            return found.groupBy("location").agg(F.array_distinct(F.flatten(F.collect_list(F.transform("newer", lambda x: x["version"])))).alias("newer"))
-        return newer.where("false").select("location", F.array().cast("array<string>").alias("newer"))
+            by.append("spec")
+            own = own.join(self.g.resolved.select(F.col("dst").alias("location"), "spec").distinct(), "location")
+        asked = own.select(*by).distinct().withColumn("_v", semver.sv(F.col("version")))
+        pairs = asked.join(self.available(), "name").where(F.col("_n") > F.col("_v"))
+        if kind in ("major", "minor", "patch"):
+            pairs = pairs.where(semver.sv_difference(F.col("_v"), F.col("_n")) == kind)
+        elif len(by) == 3:
+            let_in = semver.sv_satisfies(F.col("_n"), F.col("terms"))
+            pairs = pairs.join(semver.range_terms(self.g.resolved.select("spec")), "spec").where(let_in if kind == "in-range" else ~let_in)
+        elif kind != "any":
+            pairs = pairs.where("false")
+        found = pairs.groupBy(*by).agg(F.array_sort(F.collect_set(F.struct("_n", "newer"))).alias("newer"))
+        told = own.join(found.select(*by, F.transform("newer", lambda x: x["newer"]).alias("newer")), by)
+        if len(by) == 2:
+            return told.select("location", F.reverse("newer").alias("newer"))
+        return told.groupBy("location").agg(F.array_distinct(F.flatten(F.collect_list("newer"))).alias("newer"))
 
 
 def select(graph: Graph, query: str, scope: str | None = None, before: str | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:

@@ -34,19 +34,25 @@ union all select 'supplier/' || s_suppkey, s_name, '1.0.0', 'supplier', null, nu
 union all select 'orders/' || o_orderkey, 'order-' || o_orderkey, '1.0.0', o_orderpriority, null, o_orderstatus from {{orders}}
 union all {PARTS}"""
 
-EDGES = """select '' as src, 'customer/' || c_custkey as dst, c_name as name, 'workspace' as type, '*' as spec from {customer} where c_acctbal > 0
+#: The parts that orders need, with the version that each of them has.
+PART_LINES = """select 'orders/' || l_orderkey as src, 'part/' || l_partkey as dst, p_name as name,
+ case when p_size <= 10 then 'dev' when p_size <= 18 then 'optional' when l_returnflag = 'N' then 'prod' when l_returnflag = 'A' then 'dev' else 'optional' end as type,
+ '^' || cast((l_linenumber - 1) % 5 + 1 as varchar(9)) || '.0.0' as spec, p_brand, p_size
+ from (select l_orderkey, l_partkey, l_returnflag, l_linenumber, p_name, p_size, p_brand,
+  row_number() over (partition by l_orderkey, p_name order by l_linenumber, l_partkey, l_suppkey, l_returnflag) as rn
+  from {lineitem} join {part} on p_partkey = l_partkey) pe where rn = 1"""
+#: All the ranges that PART_LINES asks for.
+PART_SPECS = tuple(f"^{k}.0.0" for k in range(1, 6))
+
+PLAIN_EDGES = """select '' as src, 'customer/' || c_custkey as dst, c_name as name, 'workspace' as type, '*' as spec from {customer} where c_acctbal > 0
 union all select 'customer/' || o_custkey, 'orders/' || o_orderkey, 'order-' || o_orderkey, 'prod', '*' from {orders}
 union all select 'customer/' || c_custkey, 'nation/' || c_nationkey, n_name, 'prod', '*' from {customer} join {nation} on n_nationkey = c_nationkey
-union all select 'orders/' || l_orderkey, 'part/' || l_partkey, p_name,
- case when p_size <= 10 then 'dev' when p_size <= 18 then 'optional' when l_returnflag = 'N' then 'prod' when l_returnflag = 'A' then 'dev' else 'optional' end,
- '^' || cast((l_linenumber - 1) % 5 + 1 as varchar(9)) || '.0.0'
- from (select l_orderkey, l_partkey, l_returnflag, l_linenumber, p_name, p_size,
-  row_number() over (partition by l_orderkey, p_name order by l_linenumber, l_partkey, l_suppkey, l_returnflag) as rn
-  from {lineitem} join {part} on p_partkey = l_partkey) pe where rn = 1
 union all select distinct 'orders/' || l_orderkey, 'supplier/' || l_suppkey, 'supplier-' || l_suppkey, 'peer', '*' from {lineitem}
 union all select 'supplier/' || s_suppkey, 'nation/' || s_nationkey, n_name, 'prod', '*' from {supplier} join {nation} on n_nationkey = s_nationkey
 union all select 'nation/' || n_nationkey, 'region/' || n_regionkey, r_name, 'prod', '*' from {nation} join {region} on r_regionkey = n_regionkey"""
 
+EDGES = f"{PLAIN_EDGES} union all select src, dst, name, type, spec from ({PART_LINES}) p"
+
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
@@ -70,13 +76,15 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
 def project(spark: SparkSession, sf_dir: str) -> Graph:
     own = tables(spark, sf_dir)
     nodes = spark.sql(NODES, **own)
-    edges = stored(spark.sql(EDGES, **own), "raw-edges")  # read thrice below
-    targets = spark.sql(PARTS, part=own["part"]).select(F.col("location").alias("dst"), semver.sv(F.col("version")).alias("v"))
-    terms = semver.range_terms(edges.select("spec"))
-    # only ranges need a look at the target; "*" is always met
-    ranged = edges.where("spec <> '*'").join(targets, "dst", "left").join(F.broadcast(terms), "spec", "left")
-    ranged = ranged.select("src", "dst", "name", "type", "spec", F.when(~semver.sv_satisfies(F.col("v"), F.col("terms")), "INVALID").alias("error"))
-    edges = edges.where("spec = '*'").withColumn("error", F.lit(None).cast("string")).unionByName(ranged)
+    # "*" is always met; only parts are asked for by ranges, and their lines have the versions at hand
+    brand = F.expr("cast(substr(p_brand, 7) as int)")
+    version = F.concat_ws(".", F.floor(brand / 5), brand % 5, "p_size")
+    terms = semver.range_terms(spark.createDataFrame([(s,) for s in PART_SPECS], "spec string"))
+    lines = spark.sql(PART_LINES, lineitem=own["lineitem"], part=own["part"]).join(F.broadcast(terms), "spec", "left")  # a row a spec
+    wrong = F.when(~semver.sv_satisfies(semver.sv(version), F.col("terms")), "INVALID")
+    plain = spark.sql(PLAIN_EDGES, **{t: own[t] for t in TABLES if t != "part"})
+    edges = plain.withColumn("error", F.lit(None).cast("string")).unionByName(lines.select("src", "dst", "name", "type", "spec", wrong.alias("error")))
+    edges = edges.select("src", "dst", "name", "type", "spec", "error")
     package = F.to_variant_object(F.struct("name", "version", "kind", "brand", F.struct("size", F.split("name", " ").alias("words")).alias("detail")))
     nodes = nodes.withColumn("package", package).withColumn("is_root", F.col("location") == "").withColumn("is_workspace", F.col("location").startswith("customer/"))
     nodes = nodes.withColumn("realpath", F.concat(F.lit("/star/"), "location"))
