@@ -150,3 +150,51 @@ def tarball_name(url: Column) -> Column:
 
 def tarball_version(url: Column) -> Column:
     return F.regexp_extract(url, r"/-/[^/]*?-([0-9]+\.[0-9]+\.[0-9]+(?:-[0-9A-Za-z.-]+)?(?:\+[0-9A-Za-z.-]+)?)\.tgz$", 1)
+
+
+# --- paths and addresses -----------------------------------------------------------
+
+
+def _segments(path: Column) -> Column:
+    """A path's names, `.` left out and `..` followed."""
+    step = lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
+    return F.aggregate(F.filter(F.split(path, "/"), lambda x: ~x.isin("", ".")), F.array().cast("array<string>"), step)
+
+
+def absolute_path(base: Column, path: Column) -> Column:
+    """path as seen from the folder base."""
+    return F.concat(F.lit("/"), F.array_join(_segments(F.when(path.startswith("/"), path).otherwise(F.concat(base, F.lit("/"), path))), "/"))
+
+
+def relative_path(base: Column, path: Column) -> Column:
+    """The way from the folder base to path, both absolute."""
+    a, b = _segments(base), _segments(path)
+    shared = F.size(F.filter(F.sequence(F.lit(0), F.least(F.size(a), F.size(b))), lambda k: (k > 0) & (F.slice(a, F.lit(1), k) == F.slice(b, F.lit(1), k))))
+    return F.array_join(F.concat(F.array_repeat(F.lit(".."), F.size(a) - shared), F.slice(b, shared + 1, F.size(b))), "/")
+
+
+#: Hosts with short names for their repositories.
+HOSTS = {"github": "github.com", "gitlab": "gitlab.com", "bitbucket": "bitbucket.org"}
+_OWNED = r"([^/:#@\s]+)/([^/:#\s]+?)(?:\.git)?(#.*)?$"
+
+
+def consistent_resolve(resolved: Column, base: Column, to: Column | None = None) -> Column:
+    """One form for each address that a lock may record. Files become `file:`
+    and an absolute path, or the way from `to`; a repository of a known host
+    git+https where it is asked for by https, else git+ssh, with its commit;
+    name@spec the spec, unless that is *. Other addresses, of git servers,
+    archives and registries, stay as they are; nothing stays nothing."""
+    path = F.regexp_replace(resolved, "^file:(//)?", "")
+    full = absolute_path(base, path)
+    file = F.concat(F.lit("file:"), full if to is None else relative_path(to, full))
+    out = F.when(resolved.isNull() | (resolved == ""), None).when(resolved.rlike(r"^(file:|\.{1,2}(/|$)|/)"), file)
+    for short, host in HOSTS.items():
+        dotted = host.replace(".", r"\.")
+        https = rf"^(?:git\+)?https://((?:[^/@\s]+@)?{dotted})/{_OWNED}"
+        ssh = rf"^(?:(?:git\+)?(?:ssh|git)://(?:[^/@\s]+@)?{dotted}[/:]|(?:[^/@\s]+@){dotted}:|{short}:){_OWNED}"
+        out = out.when(resolved.rlike(https), F.regexp_replace(resolved, https, "git+https://$1/$2/$3.git$4"))
+        out = out.when(resolved.rlike(ssh), F.regexp_replace(resolved, ssh, f"git+ssh://git@{host}/$1/$2.git$3"))
+    bare = rf"^(?![@.~]){_OWNED}"
+    named = r"^((?:@[^/@\s]+/)?[^@/:\s]+)@([^*\s].*)$"
+    out = out.when(resolved.rlike(bare), F.regexp_replace(resolved, bare, "git+ssh://git@github.com/$1/$2.git$3"))
+    return out.when(resolved.rlike(named), F.regexp_extract(resolved, named, 2)).otherwise(resolved)

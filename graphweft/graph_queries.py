@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphweft.operators import audits, bills, fixpoints, reports, resolve, trees
-from graphweft.queries import GRAPH, SQL, VER, query
+from graphweft.functions import text
+from graphweft.operators import audits, bills, diffs, extensions, fixpoints, reports, resolve, trees
+from graphweft.operators.ordering import by_name, numbered
+from graphweft.queries import ADV, GRAPH, HIT, LATER, PART_V, SQL, VER, query, snapshots
 from graphweft.sources import star
 
 # --- trees -------------------------------------------------------------------------
@@ -253,3 +255,82 @@ def inert_nodes(spark, sf_dir):
     sized = g.nodes.where("location like 'part/%' and variant_get(package, '$.detail.size', 'int') between 11 and 12")
     only = g.resolved.groupBy(F.col("dst").alias("location")).agg(F.bool_and(F.col("type") == "optional").alias("only")).where("only")
     return resolve.mark_inert(g.nodes, g.edges, sized.join(only, "location", "left_semi"))
+
+
+@query("query_context", f"""with {GRAPH}, {VER}, {ADV}, {HIT}, h as (select location, string_agg(id || ' ' || severity, ',') as advisories from hit group by location),
+ o as (select location, string_agg(ver.version, ',' order by ver.a desc, ver.b desc, ver.c desc) as versions from (select location, name, {PART_V} from n) m join ver using (name) where (ver.a, ver.b, ver.c) > (m.a, m.b, m.c) group by location)
+ select n.location, coalesce(advisories, '') as advisories, coalesce(versions, '') as versions from n left join h using (location) left join o using (location)""")
+def query_context(spark, sf_dir):
+    g = star.star_graph(spark, sf_dir)
+    told = reports.query_context(g, g.nodes)
+    listed = F.array_join(F.array_sort(F.transform("advisories", lambda a: F.concat_ws(" ", a["id"], a["severity"]))), ",")
+    return told.select("location", F.coalesce(listed, F.lit("")).alias("advisories"), F.coalesce(F.array_join("versions", ","), F.lit("")).alias("versions"))
+
+
+# --- differences -------------------------------------------------------------------
+
+_NOW = "select 'part/' || p_partkey as location, p_size || '.0.0' as version, case when p_partkey % 2 = 0 then 'sha512-a sha1-b' end as integrity, case when p_partkey % 3 = 0 then 'r1' end as resolved, case when p_partkey % 19 = 0 then 'p1' end as patch, false as in_bundle, p_partkey as i from {part}"
+_THEN = """select 'part/' || p_partkey as location, case when p_partkey % 13 = 0 then '9' else p_size || '' end || '.0.0' as version, case when p_partkey % 2 = 0 then case when p_partkey % 5 = 0 then 'sha512-c' else 'sha1-b' end when p_partkey % 7 = 0 then 'sha512-a' end as integrity,
+ case when p_partkey % 3 = 0 then case when p_partkey % 9 = 0 then 'r2' else 'r1' end end as resolved, case when p_partkey % 38 = 0 then 'p1' end as patch, false as in_bundle, p_partkey as i from {part} where p_partkey % 11 > 0
+ union all select 'more/' || p_partkey, '1.0.0', null, null, null, p_partkey % 2 = 0, p_partkey from {part} where p_partkey % 17 = 0"""
+
+
+@query("diff_actions", f"""with a as ({_NOW.format(part='part')}), b as ({_THEN.format(part='part')}) select coalesce(a.location, b.location) as location, case when b.location is null then 'REMOVE' when a.location is null then 'ADD' else 'CHANGE' end as action, a.version as was, b.version as will
+ from a full join b on a.location = b.location where b.location is null or a.location is null and not b.in_bundle or a.location is not null and (a.version <> b.version or a.patch is distinct from b.patch
+  or case when a.i % 2 = 0 then a.i % 5 = 0 when a.i % 7 = 0 then true else a.i % 9 = 0 end)""")
+def diff_actions(spark, sf_dir):
+    part = star.tables(spark, sf_dir)["part"]
+    return diffs.diff_actions(spark.sql(_NOW, part=part), spark.sql(_THEN, part=part))
+
+
+@query("diff_filtered", f"""with recursive {GRAPH}, r as (select location from n where kind = 'BUILDING' union select e.dst from e join r on r.location = e.src), l as ({LATER})
+ select coalesce(n.location, l.location) as location, case when n.location is null then 'ADD' when l.location is null then 'REMOVE' else 'CHANGE' end as action, n.version as was, l.version as will
+ from n full join l on n.location = l.location where n.version is distinct from l.version and coalesce(n.location, l.location) in (select location from r union all select '')""")
+def diff_filtered(spark, sf_dir):
+    g = star.star_graph(spark, sf_dir)
+    now, later = snapshots(spark, sf_dir)
+    chosen = g.nodes.where("variant_get(package, '$.kind', 'string') = 'BUILDING'")
+    return diffs.diff_actions(now, later, diffs.filter_set(g, g, chosen))
+
+
+# --- extensions --------------------------------------------------------------------
+
+_EXTENSIONS = {
+    "order-1": {"dependencies": {"extra": "^1.0.0"}}, "order-2@^1.0.0": {"optionalDependencies": {"own": "2"}}, "order-3@^2.0.0": {"dependencies": {"never": "1"}}, "order-4": {"dependencies": {"own": "1"}},
+    "order-5": {"peerDependencies": {"p": "^2"}, "peerDependenciesMeta": {"p": {"optional": True}}}, "order-6": {"peerDependenciesMeta": {"lost": {"optional": True}}}, "order-7": {}, "order-7@*": {"dependencies": {"x": "1"}},
+}
+
+
+@query("extended_manifests", """with o as (select o_orderkey as k, 'orders/' || o_orderkey as location from orders where o_orderkey between 1 and 7 and o_orderkey <> 3)
+ select location, case k when 2 then 'order-2@^1.0.0' else 'order-' || k end as selector, 'own' || case when k = 1 then ',extra' else '' end as dependencies, case when k = 5 then 'p ^2,q ^1' else 'p ^1,q ^1' end as peers, case k when 1 then 'dependencies.extra' when 5 then 'peerDependencies.p,peerDependenciesMeta.p' end as applied,
+ case when k in (2, 4) then 'EEXTENSIONDUPDEP: own' when k = 6 then 'EEXTENSIONORPHANMETA: lost' when k = 7 then 'EEXTENSIONCONFLICT: order-7, order-7@*' end as error from o""")
+def extended_manifests(spark, sf_dir):
+    manifest = F.parse_json(F.lit('{"dependencies":{"own":"^1.0.0"},"peerDependencies":{"p":"^1","q":"^1"}}'))
+    nodes = star.star_graph(spark, sf_dir).nodes.withColumn("package", manifest)
+    told = extensions.extended(nodes, extensions.extension_rules(spark, _EXTENSIONS))
+    peers = F.array_join(F.array_sort(F.transform(F.map_entries("peerDependencies"), lambda e: F.concat_ws(" ", e["key"], e["value"]))), ",")
+    return told.select("location", "selector", F.array_join(F.reverse(F.array_sort(F.map_keys("dependencies"))), ",").alias("dependencies"), peers.alias("peers"), F.array_join("applied", ",").alias("applied"), "error")
+
+
+# --- addresses and names -----------------------------------------------------------
+
+_FORMS = (
+    ("file:../x/%s", "file:/srv/x/%s"), ("./a/../%s", "file:/srv/app/%s"), ("github:u/%s#v1", "git+ssh://git@github.com/u/%s.git#v1"), ("u/%s", "git+ssh://git@github.com/u/%s.git"), ("git+ssh://git@gitlab.com/u/%s.git#c", "git+ssh://git@gitlab.com/u/%s.git#c"),
+    ("https://github.com/u/%s", "git+https://github.com/u/%s.git"), ("git+https://t@bitbucket.org/u/%s.git#c", "git+https://t@bitbucket.org/u/%s.git#c"), ("git@github.com:u/%s.git", "git+ssh://git@github.com/u/%s.git"), ("git://h.example/u/%s.git", "git://h.example/u/%s.git"),
+    ("https://registry.example/p/-/p-%s.0.0.tgz", "https://registry.example/p/-/p-%s.0.0.tgz"), ("p@%s.x", "%s.x"), ("https://github.com/u/r/archive/%s.tgz", "https://github.com/u/r/archive/%s.tgz"), ("", None),
+)
+
+
+@query("resolved_addresses", "select p_partkey as part, case p_partkey % 13 " + " ".join(f"when {k} then " + ("null" if to is None else f"replace('{to}', '%s', p_partkey || '')") for k, (_, to) in enumerate(_FORMS)) + " end as resolved, case p_partkey % 13 when 0 then 'file:../../x/' || p_partkey when 1 then 'file:../' || p_partkey end as relative from part")
+def resolved_addresses(spark, sf_dir):
+    part = star.tables(spark, sf_dir)["part"]
+    form = F.element_at(F.array(*[F.lit(a) for a, _ in _FORMS]), (F.col("p_partkey") % 13 + 1).cast("int"))
+    said = F.replace(form, F.lit("%s"), F.col("p_partkey").cast("string"))
+    base = F.lit("/srv/app")
+    return part.select(F.col("p_partkey").alias("part"), text.consistent_resolve(said, base).alias("resolved"), F.when(F.col("p_partkey") % 13 < 2, text.consistent_resolve(said, base, F.lit("/srv/app/sub"))).alias("relative"))
+
+
+@query("ranked_names", "with n as (select distinct case when p_size % 2 = 0 then upper(p_name[1]) || p_name[2:] else p_name end as name from part) select row_number() over (order by lower(name), name desc) as rank, name from n")
+def ranked_names(spark, sf_dir):
+    name = F.when(F.col("p_size") % 2 == 0, F.concat(F.upper(F.substring("p_name", 1, 1)), F.expr("substring(p_name, 2)"))).otherwise(F.col("p_name"))
+    return numbered(star.tables(spark, sf_dir)["part"].select(name.alias("name")).distinct(), by_name(F.col("name")), name="rank")

@@ -1,15 +1,15 @@
-"""Paths into JSON documents: get in Catalyst over variants, set and delete in
-Arrow batches (there is no native update of a variant)."""
+"""Paths into JSON documents, in Catalyst over variants. set_value and
+delete_value are the rules for one document, such as a manifest on the driver."""
 
 from __future__ import annotations
 
-import json
 import re
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphweft.storage import path_of, stored
+
 APPEND = object()
 #: Keys that a path must not set.
 FORBIDDEN = ("__proto__", "constructor", "prototype")
@@ -144,42 +144,107 @@ def delete_value(document, path: str):
     return cut(document, steps)
 
 
-def _mapped(change):
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else json.dumps(change(json.loads(t)), separators=(",", ":"), ensure_ascii=False))
+def _bound(value: Column, then) -> Column:
+    """then(value), where value is worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
-    return run
 
+_MAP, _LIST = "map<string,variant>", "array<variant>"
+_NULL = "null"
 
-def set_column(document: Column, path: str, value, force: bool = False) -> Column:
-    """set_value over a column of JSON text."""
-    parse(path)
-    return _mapped(lambda d: set_value(d, path, value, force))(document)
 
+def set_variant(document: Column, path: str, value: Column, force: bool = False) -> Column:
+    """set_value over a column of variants, in Catalyst; value is a variant.
+    What can't be set fails the query with the code; keys come out sorted."""
+    steps = parse(path)
+    if any(s in FORBIDDEN for s in steps if isinstance(s, str)):
+        raise PathError("EFORBIDDENKEY", f"{path!r} names a forbidden key")
+    fail = lambda code: F.raise_error(F.lit(f"{code}: {path}")).cast("variant")
+    null = F.parse_json(F.lit(_NULL))
 
-def delete_column(document: Column, path: str) -> Column:
-    parse(path)
-    return _mapped(lambda d: delete_value(d, path))(document)
-
-
-def field_paths(document, prefix: str = "") -> list[str]:
-    """All paths of a document, but those of keys that begin with "_" or hold a dot."""
-    out = []
-    if isinstance(document, dict):
-        for k, v in document.items():
-            if not k.startswith("_") and "." not in k:
-                own = f"{prefix}.{k}" if prefix else k
-                out += [own, *field_paths(v, own)]
-    elif isinstance(document, list):
-        for k, v in enumerate(document):
-            out += [f"{prefix}[{k}]", *field_paths(v, f"{prefix}[{k}]")]
-    return out
+    def put(at: Column, steps: list) -> Column:
+        if not steps:
+            return value
+        first, rest = steps[0], steps[1:]
+
+        def into_object(m: Column, key: str) -> Column:
+            own = F.try_element_at(m, F.lit(key))
+            return F.to_variant_object(F.map_concat(F.map_filter(m, lambda k, _: k != key), F.create_map(F.lit(key), put(own, rest))))
+
+        def into_list(a: Column) -> Column:
+            if first is APPEND:
+                return F.to_variant_object(F.concat(a, F.array(value)))
+            own = F.try_element_at(a, F.lit(first + 1))
+            padded = F.concat(F.slice(a, 1, first), F.array_repeat(null, F.greatest(F.lit(first) - F.size(a), F.lit(0))))
+            after = F.slice(a, F.lit(first + 2), F.greatest(F.size(a) - first - 1, F.lit(0)))
+            return F.to_variant_object(F.concat(padded, F.array(put(own, rest)), after))
+
+        listed = first is APPEND or isinstance(first, int)
+        no_map, no_list = F.create_map().cast(_MAP), F.array().cast(_LIST)
+        new = into_list(no_list) if listed else into_object(no_map, str(first))
+
+        def choose(v: Column) -> Column:
+            m, a = F.try_variant_get(v, "$", _MAP), F.try_variant_get(v, "$", _LIST)
+            if listed:
+                at_object = into_object(m, str(first)) if isinstance(first, int) else new if force else fail("ENOAPPEND")
+                at_list = into_list(a)
+            else:
+                at_object, at_list = into_object(m, first), new if force else fail("ENOADDPROP")
+            empty = v.isNull() | F.coalesce(F.is_variant_null(v), F.lit(True))
+            return F.when(empty, new).when(m.isNotNull(), at_object).when(a.isNotNull(), at_list).otherwise(new if force else fail("EOVERRIDEVALUE"))
 
+        return _bound(at, choose)
 
-def paths_column(document: Column) -> Column:
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else field_paths(json.loads(t)))
+    return put(document, steps)
+
+
+def delete_variant(document: Column, path: str) -> Column:
+    """delete_value over a column of variants, in Catalyst; keys come out sorted."""
+
+    def cut(at: Column, steps: list) -> Column:
+        first, rest = steps[0], steps[1:]
+        if first is APPEND:
+            return at
 
-    return run(document)
+        def choose(v: Column) -> Column:
+            m, a, key = F.try_variant_get(v, "$", _MAP), F.try_variant_get(v, "$", _LIST), str(first)
+            others = F.map_filter(m, lambda k, _: k != key)
+            fewer = others if not rest else F.map_concat(others, F.create_map(F.lit(key), cut(F.try_element_at(m, F.lit(key)), rest)))
+            out = F.when(F.coalesce(F.map_contains_key(m, F.lit(key)), F.lit(False)) & F.lit(isinstance(first, str)), F.to_variant_object(fewer))
+            if isinstance(first, int):
+                kept = [] if not rest else [F.array(cut(F.try_element_at(a, F.lit(first + 1)), rest))]
+                after = F.slice(a, F.lit(first + 2), F.greatest(F.size(a) - first - 1, F.lit(0)))
+                out = out.when(F.size(a) > first, F.to_variant_object(F.concat(F.slice(a, 1, first), *kept, after)))
+            return out.otherwise(v)
+
+        return _bound(at, choose)
+
+    return cut(document, parse(path))
+
+
+def set_column(document: Column, path: str, value: Column, force: bool = False) -> Column:
+    """set_variant over a column of JSON text."""
+    return F.to_json(set_variant(F.parse_json(document), path, value, force))
+
+
+def delete_column(document: Column, path: str) -> Column:
+    return F.to_json(delete_variant(F.parse_json(document), path))
+
+
+def field_paths(rows: DataFrame, key: str, document: str) -> DataFrame:
+    """(key, path): all paths of each row's document (a variant), but those of
+    fields that begin with "_" or hold a dot, and what is below them. A round
+    opens the objects and lists of one depth; as many rounds as the deepest."""
+    level = rows.select(F.col(key).alias("key"), F.lit("").alias("path"), F.col(document).alias("v"))
+    parts = []
+    while True:
+        m, a = F.try_variant_get("v", "$", _MAP), F.try_variant_get("v", "$", _LIST)
+        fields = F.transform(F.filter(F.map_entries(m), lambda e: ~e["key"].startswith("_") & ~e["key"].contains(".")), lambda e: F.struct(F.concat(F.when(F.col("path") == "", "").otherwise(F.concat("path", F.lit("."))), e["key"]).alias("path"), e["value"].alias("v")))
+        items = F.transform(a, lambda v, k: F.struct(F.concat("path", F.lit("["), k.cast("string"), F.lit("]")).alias("path"), v.alias("v")))
+        level = stored(level.select("key", F.explode(F.coalesce(fields, items)).alias("e")).select("key", "e.path", "e.v"), "paths")
+        if level.isEmpty():
+            break
+        parts.append(path_of(level))
+    if not parts:
+        return level.select("key", "path")
+    return rows.sparkSession.read.schema(level.schema).parquet(*parts).select("key", "path")

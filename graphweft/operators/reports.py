@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphweft.functions import semver, text
 from graphweft.operators.closure import closure, reached
 from graphweft.operators.graph import Graph
-from graphweft.plans.compiler import package_id
+from graphweft.plans.compiler import Compiler, package_id
 from graphweft.storage import stored, written
 
 SEVERITY = ("info", "low", "moderate", "high", "critical")
@@ -56,6 +56,15 @@ def query_items(graph: Graph, nodes: DataFrame, strict_compat: bool = True) -> D
     return rows.select("pkgid", at.alias("location"), path.alias("path"), "realpath", "resolved", "manifest", "from", F.coalesce("to", none).alias("to"), "dev", "inBundle", deduped.alias("deduped"), "overridden")
 
 
+def query_context(graph: Graph, nodes: DataFrame, before: str | None = None) -> DataFrame:
+    """(location, advisories, versions): what a query for vulnerable or outdated
+    nodes notes of each: the advisories whose range it is in, and the newer
+    versions that there are (as of `before`); null where there are none."""
+    c = Compiler(graph, None, before, ())
+    newer = c.outdated().select("location", F.col("newer").alias("versions"))
+    return nodes.select("location").join(c.vulnerable(), "location", "left").join(newer, "location", "left")
+
+
 def one_a_place(rows: DataFrame, place: str, rank: Column, order: str) -> DataFrame:
     """The row of the highest rank at each place; the first among equals."""
     w = Window.partitionBy(place).orderBy(rank.desc(), F.col(order))
@@ -489,9 +498,14 @@ def view_versions(versions: DataFrame, name: str, range_: str) -> DataFrame:
     return versions.where((F.col("name") == name) & semver.in_range(semver.sv(F.col("version")), range_))
 
 
+def tag_line() -> Column:
+    """`tag: version`, as tags are listed."""
+    return F.concat("tag", F.lit(": "), "version")
+
+
 def dist_tags(tags: DataFrame) -> DataFrame:
     """`tag: version` of each package, latest first, then by tag."""
-    return tags.orderBy("name", F.col("tag") != "latest", "tag").select("name", F.concat("tag", F.lit(": "), "version").alias("line"))
+    return tags.orderBy("name", F.col("tag") != "latest", "tag").select("name", tag_line().alias("line"))
 
 
 def roster(rows: DataFrame, key: str, value: str | None, relabel: dict[str, str], field: str, order: str) -> DataFrame:

@@ -12,6 +12,7 @@ from graphweft.operators import graph as G
 from graphweft.operators import jsonpath, reports, search
 from graphweft.operators.closure import closure, reached
 from graphweft.operators.filediff import file_diff
+from graphweft.operators.ordering import numbered
 from graphweft.operators.resolve import ideal_trees
 from graphweft.plans.compiler import select
 from graphweft.sources import lockfile, star
@@ -269,12 +270,12 @@ def peer_sets(spark, sf_dir):
 # --- reports -----------------------------------------------------------------------
 
 
-@query("query_report", f"""with {GRAPH}, i as (select dst, count(distinct src) as c from e group by dst), o as (select src, string_agg(distinct dst, ',' order by dst) as c from e group by src)
- select n.location, n.name, n.version, coalesce(i.c, 0) as n_from, coalesce(o.c, '') as "to" from n left join i on i.dst = n.location left join o on o.src = n.location""")
+@query("query_report", f"""with {GRAPH}, i as (select dst, string_agg(distinct src, ',' order by src) as c, count(distinct src) as k from e group by dst), o as (select src, string_agg(distinct dst, ',' order by dst) as c from e group by src)
+ select n.location, n.name, n.version, '/star/' || n.location as realpath, coalesce(i.k, 0) as n_from, coalesce(i.c, '') as "from", coalesce(o.c, '') as "to", false as dev, false as in_bundle, false as deduped, false as overridden from n left join i on i.dst = n.location left join o on o.src = n.location""")
 def query_report(spark, sf_dir):
     g = star.star_graph(spark, sf_dir)
     rows = reports.query_report(g, g.nodes)
-    return rows.select("location", "name", "version", F.size("from").cast("long").alias("n_from"), F.array_join("to", ",").alias("to"))
+    return rows.select("location", "name", "version", F.size("from").cast("long").alias("n_from"), F.array_join("to", ",").alias("to"), "realpath", F.array_join("from", ",").alias("from"), "dev", F.col("inBundle").alias("in_bundle"), "deduped", "overridden")
 
 
 @query("dedupe_by_rank", f"with {GRAPH} select name, location, version from (select *, row_number() over (partition by name order by case when kind = 'PROMO' then 2 when kind = 'ECONOMY' then 1 else 0 end desc, location) rn from n) z where rn = 1")
@@ -305,9 +306,10 @@ def dup_names(spark, sf_dir):
     return reports.duplicate_names(star.star_graph(spark, sf_dir).nodes)
 
 
-@query("license_hist", f"with {GRAPH} select kind as value, count(*) as n from n group by kind")
+@query("license_hist", f"with {GRAPH}, h as (select kind as value, count(*) as n from n group by kind) select row_number() over (order by value is null, n desc, value) as rank, value, n from h")
 def license_hist(spark, sf_dir):
-    return reports.histogram(star.star_graph(spark, sf_dir).nodes, F.expr("variant_get(package, '$.kind', 'string')"))
+    found = reports.histogram(star.star_graph(spark, sf_dir).nodes, F.expr("variant_get(package, '$.kind', 'string')"))
+    return numbered(found, F.col("value").isNull(), F.desc("n"), "value", name="rank")
 
 
 @query("index_values", "select distinct p_brand as value from part")
@@ -318,7 +320,7 @@ def index_values(spark, sf_dir):
 LATER = "select location, case when kind = 'PROMO' then '9.0.0' else version end as version from n where kind <> 'ECONOMY' union all select 'new/' || location, version from n where kind = 'LARGE'"
 
 
-def _snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     n = star.star_graph(spark, sf_dir).nodes.select("location", "name", "version", F.expr("variant_get(package, '$.kind', 'string')").alias("kind"))
     later = n.where("kind <> 'ECONOMY'").withColumn("version", F.when(F.col("kind") == "PROMO", "9.0.0").otherwise(F.col("version")))
     new = n.where("kind = 'LARGE'").withColumn("location", F.concat(F.lit("new/"), "location"))
@@ -327,17 +329,17 @@ def _snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 @query("tree_diff", f"with {GRAPH}, l as ({LATER}) select coalesce(n.location, l.location) as location, case when n.location is null then 'ADD' when l.location is null then 'REMOVE' else 'CHANGE' end as action, n.version as was, l.version as will from n full join l on n.location = l.location where n.version is distinct from l.version")
 def tree_diff(spark, sf_dir):
-    return reports.tree_diff(*_snapshots(spark, sf_dir))
+    return reports.tree_diff(*snapshots(spark, sf_dir))
 
 
 @query("install_summary", f"with {GRAPH}, l as ({LATER}) select case when n.location is null then 'ADD' when l.location is null then 'REMOVE' else 'CHANGE' end as action, count(*) as n from n full join l on n.location = l.location where n.version is distinct from l.version group by 1")
 def install_summary(spark, sf_dir):
-    return reports.install_summary(reports.tree_diff(*_snapshots(spark, sf_dir))).select("action", "n")
+    return reports.install_summary(reports.tree_diff(*snapshots(spark, sf_dir))).select("action", "n")
 
 
 @query("lock_validate", f"with {GRAPH}, l as ({LATER}) select n.location, case when l.location is null then 'Missing: ' || name || '@' || n.version || ' from lock file' else 'Invalid: lock file''s ' || name || '@' || l.version || ' does not satisfy ' || name || '@' || n.version end as error from n left join l on n.location = l.location where n.version is distinct from l.version")
 def lock_validate(spark, sf_dir):
-    now, later = _snapshots(spark, sf_dir)
+    now, later = snapshots(spark, sf_dir)
     return reports.validate_lock(later, now)
 
 
@@ -438,17 +440,18 @@ def view_versions(spark, sf_dir):
     return reports.view_versions(star.star_graph(spark, sf_dir).versions, "red ring", "2 || 3").select("version")
 
 
-@query("dist_tags", f"with {VER} select name, 'latest: ' || arg_max(version, (a, b, c)) as line from ver group by name union all select name, 'first: ' || arg_min(version, (a, b, c)) from ver group by name")
+@query("dist_tags", f"with {VER}, t as (select name, 'latest: ' || arg_max(version, (a, b, c)) as line, 0 as k from ver group by name union all select name, 'first: ' || arg_min(version, (a, b, c)), 1 from ver group by name union all select name, 'any: ' || arg_max(version, (a, b, c)), 1 from ver group by name) select row_number() over (order by name, k, line) as rank, name, line from t")
 def dist_tags(spark, sf_dir):
     v = star.star_graph(spark, sf_dir).versions.withColumn("v", semver.sv(F.col("version")))
     tags = v.groupBy("name").agg(F.max_by("version", "v").alias("latest"), F.min_by("version", "v").alias("first"))
-    return reports.dist_tags(tags.selectExpr("name", "stack(2, 'latest', latest, 'first', first) as (tag, version)"))
+    told = tags.selectExpr("name", "stack(3, 'first', first, 'any', latest, 'latest', latest) as (tag, version)")
+    return numbered(told, "name", F.col("tag") != "latest", "tag", name="rank").select("rank", "name", reports.tag_line().alias("line"))
 
 
-@query("roster", "select c_name as name, case c_mktsegment when 'BUILDING' then 'builder' else c_mktsegment end as role from customer where c_nationkey = 3")
+@query("roster", "select row_number() over (order by c_name) as rank, c_name as name, case c_mktsegment when 'BUILDING' then 'builder' else c_mktsegment end as role from customer where c_nationkey = 3")
 def roster(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("role"), F.col("c_nationkey").alias("team"))
-    return reports.roster(rows, "team", 3, {"BUILDING": "builder"}, "role", "name").select("name", "role")
+    return reports.roster(rows, "team", 3, {"BUILDING": "builder"}, "role", "name").select("name", "role").transform(numbered, "name", name="rank")
 
 
 @query("cache_keys", "select 'https://registry.example/red-ring/-/red-ring-' || l_linenumber || '.' || (l_partkey % 7) || '.' || l_suppkey || '.tgz' as key from lineitem where l_linenumber = 2 group by all")
@@ -481,15 +484,24 @@ def json_multi_get(spark, sf_dir):
     return e.select("event_id", F.to_json(jsonpath.get_many(F.col("v"), ["k", "none.at[0]"])).alias("found"))
 
 
-@query("json_set_delete", "select event_id, '{\"n\":{\"at\":[1]}}' as props from events")
+@query("json_set_delete", """select event_id, '{"k":[' || json_extract_string(props, '$.k') || ',null,"' || event_type || '"],"n":{"at":[' || user_id || ',' || event_id || ']}}' as props from events""")
 def json_set_delete(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.select("event_id", jsonpath.delete_column(jsonpath.set_column(F.col("props"), "n.at[]", 1), "k").alias("props"))
+    e = table(spark, sf_dir, "events").withColumn("doc", F.parse_json("props"))
+    held = lambda c: F.to_variant_object(F.array(c))
+    doc = jsonpath.set_variant(F.col("doc"), "n.at", held("user_id"))
+    doc = jsonpath.set_variant(doc, "n.at[]", F.parse_json(F.col("event_id").cast("string")))
+    doc = jsonpath.set_variant(jsonpath.set_variant(doc, "gone.x[1].y", held("event_id")), "k", F.to_variant_object(F.array(F.try_variant_get("doc", "$.k", "variant"))))
+    doc = jsonpath.set_variant(doc, "k[2]", F.parse_json(F.to_json(F.array("event_type"))).cast("variant"))
+    doc = jsonpath.set_variant(doc, "k[2]", F.try_variant_get(doc, "$.k[2][0]", "variant"), force=True)
+    return e.select("event_id", F.to_json(jsonpath.delete_variant(jsonpath.delete_variant(doc, "gone"), "k[9]")).alias("props"))
 
 
-@query("json_paths", "select event_id, 'k' as paths from events")
+@query("json_paths", """select event_id, case event_id % 3 when 0 then 'id,list,list[0],list[0].k,type' when 1 then 'id,list,type' else 'id,list,list[0],list[0].k,list[1],list[1].k,type' end as paths from events""")
 def json_paths(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(jsonpath.paths_column(F.col("props")), ",").alias("paths"))
+    some = F.expr("case event_id % 3 when 0 then array(named_struct('k', 1, '_h', 2)) when 1 then array() else array(named_struct('k', 1, '_h', 2), named_struct('k', 3, '_h', 4)) end")
+    doc = F.to_variant_object(F.struct(F.col("event_id").alias("id"), some.alias("list"), F.col("event_type").alias("type"), F.lit(1).alias("_own"), F.lit(2).alias("a.b")))
+    found = jsonpath.field_paths(table(spark, sf_dir, "events").withColumn("doc", doc), "event_id", "doc")
+    return found.groupBy(F.col("key").alias("event_id")).agg(F.array_join(F.sort_array(F.collect_list("path")), ",").alias("paths"))
 
 
 @query("help_search_hits", "select doc_id, cast((length(lower(text)) - length(replace(lower(text), 'ring', ''))) / 4 as bigint) + cast((length(lower(text)) - length(replace(lower(text), 'tion', ''))) / 4 as bigint) as hits from documents where contains(lower(text), 'ring') or contains(lower(text), 'tion')")
@@ -547,11 +559,11 @@ def format_bytes(spark, sf_dir):
     return o.select("o_orderkey", text.format_bytes(F.col("v")).alias("size"))
 
 
-@query("spec_types", f"with {GRAPH} select type, count(*) as n from (select case when name like 'small%' then 'alias' when name like 'red%' then 'git' when name like 'hot%' then 'remote' when name like 'old%' then 'directory' when spec = '*' then 'range' else 'range' end as type from e) z group by type")
+@query("spec_types", f"with {GRAPH} select type, count(*) as n from (select case when name like 'small%' then 'alias' when name like 'red%' then 'git' when name like 'hot%' then 'remote' when name like 'old%' then 'directory' when spec = '*' then 'range' when spec = '^2.0.0' then 'version' when spec = '^3.0.0' then 'tag' when spec = '^4.0.0' then 'file' else 'range' end as type from e) z group by type")
 def spec_types(spark, sf_dir):
     e = star.star_graph(spark, sf_dir).edges
     starts = lambda p: F.col("name").startswith(p)
-    spec = F.when(starts("small"), "npm:x@1").when(starts("red"), "github:a/b").when(starts("hot"), "https://h.example/a.tgz").when(starts("old"), "file:../a").otherwise(F.col("spec"))
+    spec = F.when(starts("small"), "npm:x@1").when(starts("red"), "github:a/b").when(starts("hot"), "https://h.example/a.tgz").when(starts("old"), "file:../a").when(F.col("spec") == "^2.0.0", "2.0.0").when(F.col("spec") == "^3.0.0", "beta").when(F.col("spec") == "^4.0.0", "file:../a.tgz").otherwise(F.col("spec"))
     return e.select(text.spec_type(spec).alias("type")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -616,15 +628,16 @@ def outdated_before(spark, sf_dir):
 
 @query("outdated_folded", f"""{OUT_EDGES},
  best as (select edge.src, edge.dst, edge.name, edge.type, edge.current, arg_max(v.version, (v.a, v.b, v.c)) filter (where v.a = try_cast(substr(split_part(edge.spec, '.', 1), 2) as int)) as wanted, arg_max(v.version, (v.a, v.b, v.c)) as latest from edge join ver v on v.name = edge.name group by all)
- select name, count(*) as entries from best where wanted is not null and (current <> wanted or wanted <> latest) and type <> 'dev' group by name""")
+ select name, count(*) as n, string_agg(concat_ws(' ', current, wanted, latest, src, type), ',' order by concat_ws(' ', current, wanted, latest, src, type)) as entries from best where wanted is not null and (current <> wanted or wanted <> latest) and type <> 'dev' group by name""")
 def outdated_folded(spark, sf_dir):
-    return reports.folded_by_name(reports.outdated(star.star_graph(spark, sf_dir), omit=("dev",))).select("name", F.size("entries").cast("long").alias("entries"))
+    return reports.folded_by_name(reports.outdated(star.star_graph(spark, sf_dir), omit=("dev",))).select("name", F.size("entries").cast("long").alias("n"), F.array_join(F.array_sort(F.transform("entries", lambda x: F.concat_ws(" ", x["current"], x["wanted"], x["latest"], x["dependent"], x["type"]))), ",").alias("entries"))
 
 
-@query("page_of_names", "select p_partkey as location, p_name as name from part order by p_name, p_partkey limit 50 offset 120")
+@query("page_of_names", "select row_number() over (order by p_name, p_partkey) as rank, p_partkey as location, p_name as name from part qualify rank between 121 and 170")
 def page_of_names(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("location"), F.col("p_name").alias("name"))
-    return reports.page(rows, ["name", "location"], 120, 50)
+    found = numbered(reports.page(rows, ["name", "location"], 120, 50), "name", "location", name="rank")
+    return found.withColumn("rank", F.col("rank") + 120)
 
 
 @query("audit_request", f"with n as ({N}) select name, string_agg(distinct version, ',' order by version) as versions from n where location <> '' group by name")
@@ -690,10 +703,10 @@ def identity(spark, sf_dir):
     return pairs.select("a", G.matches(F.col("x"), F.col("y")).alias("same"))
 
 
-@query("can_replace", f"with {GRAPH} select location, coalesce(bool_and(spec = '*' or spec = '^2.0.0'), true) as ok from n left join e on dst = location and src <> '' where location like 'part/%' or location like 'customer/%' group by location")
+@query("can_replace", f"with {GRAPH} select location, coalesce(bool_and(spec = '*' or spec = '^2.0.0'), true) as ok from n left join e on dst = location and src <> '' group by location")
 def can_replace(spark, sf_dir):
     g = star.star_graph(spark, sf_dir)
-    candidates = g.nodes.where("location like 'part/%' or location like 'customer/%'").select("location", F.lit("2.3.4").alias("version"))
+    candidates = g.nodes.select("location", F.lit("2.3.4").alias("version"))
     return G.can_replace(g.edges, candidates).select("location", "ok")
 
 
@@ -744,12 +757,12 @@ def folder_depths(spark, sf_dir):
     return G.depths(folders(spark, sf_dir)[0]).select("location", "depth", "top")
 
 
-@query("deepest_targets", f"""with f as ({FOLDERS.format(**_P)}) select location, case when location like '%node_modules/r%' then location else '' end as target from f where location not like 'node_modules/n%' or location like '%/node_modules/c%' and location like 'node_modules/n3/%' or location = 'node_modules/n3'""")
+@query("deepest_targets", f"""with f as ({FOLDERS.format(**_P)}) select location, case when location like '%node_modules/r%' then location when location like '%/node_modules/c%' then '' when location like 'node_modules/n%' then '' else location end as target from f""")
 def deepest_targets(spark, sf_dir):
     nodes, edges = folders(spark, sf_dir)
     peers = edges.where("type = 'peer'").withColumn("name", F.lit("host"))
-    few = nodes.where("location not like 'node_modules/n%' or location like 'node_modules/n3/node_modules/c%' or location = 'node_modules/n3'")
-    return G.deepest_target(peers, few, "host").select("location", "target")
+    return G.deepest_target(peers, nodes, "host").select("location", "target")
+
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

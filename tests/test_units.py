@@ -108,7 +108,34 @@ def test_json_paths(spark):
     with pytest.raises(jsonpath.PathError):
         jsonpath.set_value({"a": 1}, "a.b", 1)
     assert jsonpath.set_value({"a": 1}, "a.b", 1, force=True) == {"a": {"b": 1}}
-    assert jsonpath.field_paths({"a": {"b": 1}, "_x": 1, "l": [1]}) == ["a", "a.b", "l", "l[0]"]
+    held = spark.createDataFrame([(1, '{"a": {"b": 1}, "_x": {"y": 1}, "l": [1, {"m": null}], "p.q": 2}'), (2, "7"), (3, None)], "k int, t string").withColumn("v", F.parse_json("t"))
+    assert sorted(tuple(r) for r in jsonpath.field_paths(held, "k", "v").collect()) == [(1, "a"), (1, "a.b"), (1, "l"), (1, "l[0]"), (1, "l[1]"), (1, "l[1].m")]
+    assert jsonpath.field_paths(held.where("k = 2"), "k", "v").count() == 0
+
+
+PATHS = ("a", "a.b", "a.b.c", "x[0]", "x[2]", "x[]", "a.x[1].y", "[k.k].z", "x[0].y[]", "a[3]")
+
+
+@pytest.mark.parametrize("force", [False, True])
+def test_json_set_and_delete_follow_the_plain_rules(spark, force):
+    """Each document and path in Catalyst as set_value and delete_value have it, errors included."""
+    docs = [{}, None, 5, [], {"a": 1}, {"a": {"b": {"c": 2}, "z": None}}, {"x": [1, 2, 3]}, {"x": [{"y": [0]}, 2]}, {"x": {"0": 1}, "k.k": {"z": 1}}, {"a": None, "x": "s"}, {"a": ["l"]}, {"a": {"x": [1]}}]
+    for path in PATHS:
+        want, good = [], []
+        for d in docs:
+            try:
+                want.append(jsonpath.set_value(d, path, {"new": 1}, force))
+                good.append(d)
+            except jsonpath.PathError as e:
+                bad = spark.createDataFrame([(json.dumps(d),)], "t string")
+                with pytest.raises(Exception, match=e.code):
+                    bad.select(jsonpath.set_column(F.col("t"), path, F.parse_json(F.lit('{"new":1}')), force)).collect()
+        frame = spark.createDataFrame([(k, json.dumps(d)) for k, d in enumerate(good)], "k int, t string").coalesce(1)
+        got = frame.select("k", jsonpath.set_column(F.col("t"), path, F.parse_json(F.lit('{"new":1}')), force).alias("s"), jsonpath.delete_column(F.col("t"), path).alias("d")).orderBy("k").collect()
+        assert [json.loads(r["s"]) for r in got] == want, path
+        assert [json.loads(r["d"]) for r in got] == [jsonpath.delete_value(d, path) for d in good], path
+    with pytest.raises(jsonpath.PathError):
+        jsonpath.set_column(F.col("t"), "a.constructor.b", F.lit(1))
 
 
 def plain_search(docs, terms):
