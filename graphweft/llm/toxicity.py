@@ -32,6 +32,8 @@ WORD_BUCKETS, GRAM_BUCKETS, GRAMS = 1 << 14, 1 << 15, (3, 4, 5)
 #: Labelled rows of each class that are learned from, at most, and their
 #: characters in all: rows are taken until either bound is met, each whole.
 ROWS_A_CLASS, CHARS_A_CLASS = 2500, 16_000_000
+#: Rows of more than this part of CHARS_A_CLASS come after all others, the shortest first.
+LONG_PART = 64
 #: The windows are gone through EPOCHS times, or often enough for LEAST_STEPS
 #: steps, in batches of BATCH, or of a CUT-th of the windows if that is less.
 EPOCHS, LEAST_STEPS, BATCH, CUT, RATE = 2, 600, 160, 40, 0.006
@@ -393,8 +395,10 @@ def held_out(doc_id) -> F.Column:
 def learn(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLASS, chars_a_class: int = CHARS_A_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on labelled documents, none of them held out: of each class those
     with the smallest hashes of their doc_id, at most rows_a_class of them and
-    chars_a_class characters. An id labelled both ways counts as toxic; of
-    rows that repeat an id the least text is taken."""
+    chars_a_class characters. A text that is long for that bound waits behind
+    the others, so it can't keep them out, and the first of a class is always
+    taken: a class that has labelled rows is learned from. An id labelled both
+    ways counts as toxic; of rows that repeat an id the least text is taken."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out("doc_id"))
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
     sample = None
@@ -403,8 +407,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLASS,
         sample = part if sample is None else sample.union(part)
     found = pick(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")  # rows_a_class ids of each class at most
     held = stored(found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")), "labelled")
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = held.select("doc_id", "toxic", F.length("text").alias("n")).withColumn("upto", F.sum("n").over(order)).where(F.col("upto") <= chars_a_class)
+    long = F.col("n") > chars_a_class // LONG_PART
+    order = Window.partitionBy("toxic").orderBy(long, F.when(long, F.col("n")), F.xxhash64("doc_id"), "doc_id")
+    sizes = held.select("doc_id", "toxic", F.length("text").alias("n")).withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    chosen = sizes.where((F.col("upto") <= chars_a_class) | (F.col("upto") == F.col("n")))
     rows = held.join(F.broadcast(chosen.select("doc_id")), "doc_id").select("doc_id", "toxic", "text").collect()
     dropped(held)
     return train(sorted((r["doc_id"], r["toxic"], r["text"]) for r in rows), share)

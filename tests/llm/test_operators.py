@@ -3,6 +3,7 @@ empty, very long, tied and repeated texts and columns of clashing names."""
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -669,6 +670,52 @@ def test_learning_takes_one_row_an_id_and_whole_rows_up_to_a_bound(toxic_docs, m
         assert 3000 < sum(len(t) for _, x, t in seen[1] if x == toxic) <= 5000
 
 
+def test_learning_never_loses_a_class_to_a_long_text(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda rows, share: seen.append(rows))
+    ids = [d for d in range(400) if zlib.crc32(str(d).encode()) % 3 != 1][:200]
+    for longs in (set(ids[:150]), set(ids)):  # most texts, then all, are over the bound
+        docs = spark.createDataFrame([(d, "w " * (4000 if d in longs else 30)) for d in ids], "doc_id long, text string")
+        toxicity.learn(docs, spark.createDataFrame([(d, d % 2) for d in ids], "doc_id long, toxic int"), chars_a_class=5000)
+    for toxic in (0, 1):
+        short = [d for d in ids[150:] if d % 2 == toxic]
+        assert {d for d, x, _ in seen[0] if x == toxic} == set(short)
+        assert len([1 for _, x, _ in seen[1] if x == toxic]) == 1
+
+
+def test_forward_equals_a_plain_network():
+    """The gates, both directions and the attention pooling, number by number."""
+    rng = random.Random(3)
+    p = {k: v.astype(np.float64) for k, v in toxicity.Model.new().p.items()}
+    H, D = toxicity.HIDDEN, toxicity.DIM
+    x = [[rng.gauss(0, 1) for _ in range(D)] for _ in range(6)]
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    dot = lambda row, m, j: sum(v * m[i][j] for i, v in enumerate(row))
+
+    def run(d, order):
+        h, out = [0.0] * H, {}
+        for t in order:
+            w = [dot(x[t], p[f"W{d}"], j) + p[f"b{d}"][j] for j in range(3 * H)]
+            u = [dot(h, p[f"U{d}"], j) for j in range(3 * H)]
+            z, r = [sig(w[j] + u[j]) for j in range(H)], [sig(w[H + j] + u[H + j]) for j in range(H)]
+            g = [math.tanh(w[2 * H + j] + r[j] * u[2 * H + j]) for j in range(H)]
+            h = [z[j] * h[j] + (1 - z[j]) * g[j] for j in range(H)]
+            out[t] = h
+        return out
+
+    f, b = run("f", range(6)), run("b", range(5, -1, -1))
+    both = [f[t] + b[t] for t in range(6)]
+    a = [[math.tanh(dot(row, p["A"], j)) for j in range(p["A"].shape[1])] for row in both]
+    e = [math.exp(sum(v * w for v, w in zip(row, p["v"], strict=True))) for row in a]
+    pooled = [sum(e[t] * both[t][j] for t in range(6)) / sum(e) for j in range(2 * H)]
+    want = sum(v * w for v, w in zip(pooled, p["w"], strict=True)) + p["c"][0]
+    padded = np.zeros((9, 2, D))
+    padded[:6, 0], padded[:6, 1] = x, x[::-1]
+    mask = np.zeros((9, 2))
+    mask[:6] = 1
+    assert abs(toxicity.forward(p, padded.astype(np.float32), mask.astype(np.float32))[0][0] - want) < 1e-4
+
+
 def test_windows_cover_every_word():
     for n in (0, 1, 63, 64, 65, 112, 113, 1000):
         cuts = toxicity.cut_windows(n)
