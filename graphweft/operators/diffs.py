@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphweft.operators.closure import reached
-from graphweft.operators.graph import Graph
-from graphweft.operators.trees import FOLDER
+from graphweft.operators.graph import FOLDER, Graph
 
 
 def digests_meet(a: Column, b: Column) -> Column:

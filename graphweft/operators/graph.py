@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweft.functions import semver, text
-from graphweft.operators.closure import least_joined, reached
+from graphweft.operators.closure import closure, least_joined, reached
 from graphweft.storage import stored
 
 #: Columns that a node may leave out, with what then holds.
@@ -198,18 +198,31 @@ def without_workspaces(graph: Graph) -> DataFrame:
     return reached(graph.resolved.join(spaces, "dst", "left_anti"), spark.createDataFrame([(graph.root,)], "location string"))
 
 
+#: A node's own folder at the end of its location.
+FOLDER = r"(?:^|/)node_modules/(?:@[^/]+/)?[^/]+$"
+
+
 def bundled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(location, bundler): the nearest containing node whose bundleDependencies
-    name the node, or that has bundled all that lead to it."""
-    wants = nodes.select(F.col("location").alias("bundler"), F.explode(F.try_variant_get("package", "$.bundleDependencies", "array<string>")).alias("name"))
-    own = edges.where("dst is not null").join(wants, (F.col("src") == F.col("bundler")) & (edges["name"] == wants["name"])).select(F.col("dst").alias("location"), "bundler")
-    seeds = own.select(F.col("bundler").alias("seed"), "location").distinct()
-    inside = reached(edges, seeds)
-    held = edges.where("dst is not null").select("src", F.col("dst").alias("location"))
-    sources = inside.join(held, "location").join(inside.select("seed", F.col("location").alias("src")).withColumn("ok", F.lit(True)), ["seed", "src"], "left")
-    outside = sources.where((F.col("src") != F.col("seed")) & F.col("ok").isNull()).select("seed", "location").distinct()
-    kept = inside.join(outside, ["seed", "location"], "left_anti").union(seeds).distinct()
-    return kept.where(F.col("location") != F.col("seed")).groupBy("location").agg(F.max("seed").alias("bundler"))
+    """(location, bundler): the outermost node that bundles each node. A node
+    bundles those in its folder that its bundleDependencies name, those in its
+    folder that what it bundles leads to, and all inside their folders.
+
+    An edge counts for the folder of its end, from whatever in that folder
+    holds its start, so each is followed once, and a folder has a row for each
+    node in it at most."""
+    folder = lambda c: F.regexp_replace(c, FOLDER, "")
+    own = nodes.where(F.col("location").rlike(FOLDER)).select("location", folder("location").alias("seed"), "name")
+    wants = nodes.select(F.col("location").alias("seed"), F.explode(F.try_variant_get("package", "$.bundleDependencies", "array<string>")).alias("name")).distinct()
+    start = own.join(wants, ["seed", "name"]).select("seed", "location")
+    prefix = F.concat("seed", F.when(F.col("seed") == "", "node_modules/").otherwise("/node_modules/"))
+    inner = F.regexp_extract(F.expr("substring(src, length(_prefix) + 1)"), "^((?:@[^/]+/)?[^/]+)", 1)
+    steps = edges.where("dst is not null").where(F.col("dst").rlike(FOLDER)).select("src", "dst", folder("dst").alias("seed")).withColumn("_prefix", prefix)
+    steps = steps.where(F.col("src").startswith(F.col("_prefix"))).select("seed", F.concat("_prefix", inner).alias("src"), "dst").where("src <> dst").distinct()
+    found = closure(steps, start).select(F.col("location").alias("held"), F.col("seed").alias("bundler"))
+    names = F.split("location", "/node_modules/")
+    above = F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.array_join(F.slice(names, 1, k), "/node_modules/"))
+    places = nodes.select("location", F.posexplode(above).alias("at", "held"))
+    return places.join(found, "held").groupBy("location").agg(F.min_by("bundler", "at").alias("bundler"))
 
 
 def depths(nodes: DataFrame) -> DataFrame:

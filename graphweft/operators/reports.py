@@ -257,15 +257,18 @@ def audit(graph: Graph) -> DataFrame:
     allowed = pairs.select("name", "spec").distinct().join(known, "name").join(terms, "spec").where(semver.sv_satisfies(semver.sv(F.col("version")), F.col("terms"))).select("name", "spec", "version")
     allowed = stored(allowed, "allowed")
     places = graph.nodes.where("not is_root").select(F.col("location").alias("src"), F.col("name").alias("owner"), F.col("version").alias("owner_version"))
-    seen = graph.nodes.sparkSession.read.schema(own.schema).parquet(*found)
+    read = lambda paths: graph.nodes.sparkSession.read.schema(own.schema).parquet(*paths)
     while True:
-        bad = seen.groupBy("name", "version").agg(F.max_by("severity", severity_rank(F.col("severity"))).alias("severity"))
-        judged = allowed.join(bad, ["name", "version"], "left").groupBy("name", "spec").agg(F.bool_and(F.col("severity").isNotNull()).alias("all_bad"), F.max_by("severity", severity_rank(F.col("severity"))).alias("severity")).where("all_bad")
+        last = read(found[-1:])
+        if last.isEmpty():
+            return read(found)
+        # only specs of names that the last round found more of can have become vulnerable
+        names = last.select("name").distinct()
+        asked = allowed.join(names, "name", "left_semi")
+        bad = read(found).join(names, "name", "left_semi").groupBy("name", "version").agg(F.max_by("severity", severity_rank(F.col("severity"))).alias("severity"))
+        judged = asked.join(bad, ["name", "version"], "left").groupBy("name", "spec").agg(F.bool_and(F.col("severity").isNotNull()).alias("all_bad"), F.max_by("severity", severity_rank(F.col("severity"))).alias("severity")).where("all_bad")
         more = pairs.join(judged, ["name", "spec"]).join(places, "src").select(F.col("owner").alias("name"), F.col("owner_version").alias("version"), "severity", F.col("name").alias("via")).distinct()
-        found.append(written(more.join(seen, ["name", "version", "via"], "left_anti").select(*seen.columns), "audit"))
-        if seen.sparkSession.read.schema(own.schema).parquet(found[-1]).isEmpty():
-            return seen
-        seen = seen.sparkSession.read.schema(own.schema).parquet(*found)
+        found.append(written(more.join(read(found), ["name", "version", "via"], "left_anti").select(*own.columns), "audit"))
 
 
 def fix_available(summary: DataFrame, versions: DataFrame, advisories: DataFrame, specs: DataFrame) -> DataFrame:

@@ -25,16 +25,11 @@ def help_search(docs: DataFrame, terms: list[str], top: int | None = 10, id_col:
     has = lambda c: F.exists(F.array(*[F.lit(t.lower()) for t in terms]), lambda t: F.contains(F.lower(c), t))
     rows = docs.select(id_col, F.col(text_col).alias("_text")).where(has(F.col("_text")))
     rows = rows.select(id_col, F.split("_text", "\n+").alias("_lines")).withColumn("_hit", F.transform("_lines", has))
-    start = F.struct(F.lit(0).alias("skip"), F.array().cast("array<int>").alias("keep"))
-
-    def scan(state: Column, k: Column) -> Column:
-        following = F.coalesce(F.get(F.col("_hit"), k + 1), F.lit(False))
-        skip = F.when(state["skip"] > 0, state["skip"] - 1).when(following, 2).when(F.get(F.col("_hit"), k), 1).otherwise(0)
-        kept = (state["skip"] > 0) | following | F.get(F.col("_hit"), k)
-        return F.struct(skip.cast("int").alias("skip"), F.when(kept, F.array_append(state["keep"], k)).otherwise(state["keep"]).alias("keep"))
-
-    order = F.sequence(F.lit(0), F.size("_lines") - 1)
-    rows = rows.withColumn("_keep", F.aggregate(order, start, scan)["keep"])
+    # one letter a line; the expression takes it from left to right as the rule says
+    marks = F.array_join(F.transform("_hit", lambda h: F.when(h, "1").otherwise("0")), "")
+    taken = F.transform(F.regexp_extract_all(marks, F.lit("([01]1[01]?|1[01]?|0)"), F.lit(1)), lambda t: F.regexp_replace(t, "[01]", F.when(t.contains("1"), "k").otherwise("-")))
+    rows = rows.withColumn("_kept", F.split(F.array_join(taken, ""), ""))
+    rows = rows.withColumn("_keep", F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda k: F.get(F.col("_kept"), k) == "k"))
     gap = F.array(F.lit(None).cast("string"))
     pieces = F.transform(F.col("_keep"), lambda k, i: F.when((i > 0) & (F.get(F.col("_keep"), i - 1) < k - 1), F.concat(gap, F.array(F.get(F.col("_lines"), k)))).otherwise(F.array(F.get(F.col("_lines"), k))))
     rows = rows.select(id_col, F.flatten(pieces).alias("lines"))

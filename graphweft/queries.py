@@ -510,7 +510,13 @@ def help_search_hits(spark, sf_dir):
     return d.select("doc_id", (search.occurrences(F.col("text"), "ring") + search.occurrences(F.col("text"), "tion")).alias("hits"))
 
 
-@query("help_search")
+@query("help_search", """with d as (select doc_id, string_split_regex(text, '\\n+') as l from documents where contains(lower(text), 'ring') or contains(lower(text), 'idiot')),
+ h as (select doc_id, l, array_to_string(list_transform(l, lambda x: case when contains(lower(x), 'ring') or contains(lower(x), 'idiot') then '1' else '0' end), '') as m from d),
+ f as (select doc_id, l, array_to_string(list_transform(regexp_extract_all(m, '[01]1[01]?|1[01]?|0'), lambda x: repeat(case when contains(x, '1') then 'k' else '-' end, len(x))), '') as f from h),
+ k as (select doc_id, l, list_filter(range(1, len(l) + 1), lambda i: f[i] = 'k') as keep from f),
+ g as (select doc_id, list_transform(keep, lambda i: l[i]) as kept, list_transform(range(1, len(keep) + 1), lambda j: case when j > 1 and keep[j - 1] < keep[j] - 1 then '...' || chr(10) else '' end || l[keep[j]]) as lines, len(list_filter(range(2, len(keep) + 1), lambda j: keep[j - 1] < keep[j] - 1)) as gaps from k),
+ c as (select *, list_sum(list_transform(kept, lambda x: (len(x) - len(replace(lower(x), 'ring', ''))) // 4)) as a, list_sum(list_transform(kept, lambda x: (len(x) - len(replace(lower(x), 'idiot', ''))) // 5)) as b from g)
+ select doc_id, array_to_string(lines, chr(10)) as lines, cast((a > 0)::int + (b > 0)::int as int) as found, cast(a + b as bigint) as hits from c order by found desc, hits desc, len(lines) + gaps desc, doc_id limit 10""")
 def help_search(spark, sf_dir):
     return search.help_search(table(spark, sf_dir, "documents"), ["ring", "idiot"]).select("doc_id", F.array_join("lines", "\n", "...").alias("lines"), "found", "hits")
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphweft.functions import text
-from graphweft.operators import diffs, extensions, reports, resolve
+from graphweft.operators import diffs, extensions, graph, reports, resolve
 from graphweft.operators.graph import Graph, complete
 
 
@@ -79,6 +79,38 @@ def test_inert_nodes(spark):
     assert got == {"a", "b", "c"}  # d is still needed by e
 
 
+def test_bundlers(spark):
+    """The walk up the folders, node by node, against one closure over folders."""
+    import random
+
+    rng = random.Random(8)
+    places, names = [""], "abcde"
+    for _ in range(40):
+        at = rng.choice(places)
+        new = f"{at}/node_modules/{rng.choice(names)}".lstrip("/")
+        if new not in places and new.count("node_modules") < 4:
+            places.append(new)
+    wants = {p: rng.sample(names, rng.randint(1, 2)) for p in places if rng.random() < 0.3}
+    edges = {(s, d) for s in places for d in places if d and rng.random() < 0.05}
+    parent = {p: p.rpartition("node_modules/")[0].rstrip("/") for p in places if p}
+
+    def bundler(n, path=()):
+        if n in path or n not in parent:
+            return None
+        path = (*path, n)
+        up = parent[n]
+        above = bundler(up, path)
+        if above is not None:
+            return above
+        if n.rpartition("/")[2] in wants.get(up, ()):
+            return up
+        return up if any(d == n and bundler(s, path) == up for s, d in edges) else None
+
+    nodes = complete(spark.createDataFrame([(p, p.rpartition("/")[2], json.dumps({"bundleDependencies": wants.get(p, [])})) for p in places], "location string, name string, package string"))
+    got = {r["location"]: r["bundler"] for r in graph.bundled(nodes, spark.createDataFrame(sorted(edges), "src string, dst string")).collect()}
+    assert got == {p: b for p in places if (b := bundler(p)) is not None} and len(set(got.values())) > 2
+
+
 def test_paths(spark):
     row = spark.range(1).select(
         text.absolute_path(F.lit("/a/b"), F.lit("../c/./d")).alias("a"), text.absolute_path(F.lit("/a"), F.lit("/x/../y")).alias("b"), text.absolute_path(F.lit("/"), F.lit("../..")).alias("c"),
