@@ -130,6 +130,18 @@ def edge_errors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return with_target.select(*edges.columns, error.alias("error"))
 
 
+def edges_found_outside(edges: DataFrame, folders: DataFrame, root_path: str) -> DataFrame:
+    """(src, name, path): missing edges whose package stands in a node_modules
+    folder above the tree: the nearest of the folders (path) up from the
+    root's. Nearest the root wins, as when a package looks for what it needs."""
+    parts = [p for p in root_path.split("/") if p][:-1]
+    above = ["/" + "/".join(parts[:k]) for k in range(len(parts) + 1)]
+    missing = edges.where("dst is null and error = 'MISSING'").select("src", "name")
+    steps = F.explode(F.array(*[F.struct(F.lit(k).alias("depth"), F.lit(p.rstrip("/")).alias("base")) for k, p in enumerate(above)])).alias("s")
+    asked = missing.select("src", "name", steps).select("src", "name", "s.depth", F.concat("s.base", F.lit("/node_modules/"), "name").alias("path"))
+    return asked.join(folders.select("path").distinct(), "path").groupBy("src", "name").agg(F.max_by("path", "depth").alias("path"))
+
+
 # --- flags -------------------------------------------------------------------------
 
 
@@ -289,6 +301,33 @@ def can_replace(edges: DataFrame, candidates: DataFrame, root: str = "") -> Data
     return candidates.join(held, ["location", "version"], "left").withColumn("ok", F.coalesce("ok", F.lit(True)))
 
 
+def can_dedupe(nodes: DataFrame, edges: DataFrame, prefer: bool = False) -> DataFrame:
+    """(location, verdict) of nodes in folders of folders, but bundled ones:
+    whether each could go, as the package of its name next above its folder
+    would do. `unwanted`: no edge leads to it; `same`: that one is the same
+    package; `equal` or `newer`: it meets all edges into the node and its
+    version is equal, or higher and the node isn't overridden; `preferred`: it
+    meets them, and with `prefer` that is enough. null: it must stay."""
+    text_of = lambda c: F.col(c) if c in nodes.columns else F.lit(None).cast("string")
+    own = nodes.select("location", "name", "package_name", "version", "is_link", "target_location", "overridden", "in_bundle", text_of("integrity").alias("integrity"), text_of("resolved").alias("resolved"))
+    inner = own.where(F.col("location").rlike(FOLDER) & ~F.col("in_bundle")).withColumn("folder", F.regexp_replace("location", FOLDER, "")).where(F.col("folder") != "")
+    chain = inner.select("location", "name", F.regexp_replace("folder", FOLDER, "").alias("_from"))
+    up = ancestors(chain.select(F.col("_from").alias("location"))).withColumnRenamed("location", "_from")
+    seen = chain.join(up, "_from").select("location", "depth", F.concat("ancestor", F.when(F.col("ancestor") == "", "node_modules/").otherwise("/node_modules/"), "name").alias("at"))
+    other = own.select(F.col("location").alias("at"), F.struct(*own.columns).alias("o"))
+    nearest = seen.join(other, "at").groupBy("location").agg(F.max_by("o", "depth").alias("o"))
+    into = edges.where("dst is not null").groupBy(F.col("dst").alias("location")).agg(F.count(F.lit(1)).alias("_n"))
+    meets = can_replace(edges, nearest.select("location", F.col("o.version").alias("version"))).select("location", F.col("ok").alias("_ok"))
+    rows = inner.join(nearest, "location", "left").join(into, "location", "left").join(meets, "location", "left")
+    mine, theirs = F.struct(*own.columns), F.col("o")
+    a, b = semver.sv(F.col("version")), semver.sv(F.col("o.version"))
+    verdict = (
+        F.when(F.col("_n").isNull(), "unwanted").when(F.col("o").isNull(), None).when(matches(theirs, mine), "same").when(~F.coalesce("_ok", F.lit(False)), None)
+        .when(a == b, "equal").when(F.lit(prefer), "preferred").when(~F.col("overridden") & (b > a), "newer")
+    )
+    return rows.select("location", verdict.alias("verdict"))
+
+
 def check_tree(graph: Graph) -> DataFrame:
     """(check, n): breaches of what must hold of any graph; all zero if sound."""
     n, e = graph.nodes, graph.edges

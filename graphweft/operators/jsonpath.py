@@ -3,6 +3,7 @@ delete_value are the rules for one document, such as a manifest on the driver.""
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -48,10 +49,10 @@ def _quoted(key: str) -> str:
 
 
 def get(document: Column, path: str, unwrap: bool = True) -> Column:
-    """Map of path to variant. A key that meets an array fans out to
-    `path[i].key` for each element and stops there; with unwrap, an array of
-    one element stands for the element and an empty one for nothing. Nothing
-    found: an empty map."""
+    """Map of path, as it is given, to variant. A key that meets an array fans
+    out to each element and stops there: `keys[i].key`, where keys are those
+    before it, one after another. With unwrap, an array of one element stands
+    for the element and an empty one for nothing. Nothing found: an empty map."""
     none = F.create_map().cast("map<string,variant>")
 
     def held(prefix: str, value: Column) -> Column:
@@ -62,13 +63,13 @@ def get(document: Column, path: str, unwrap: bool = True) -> Column:
 
     def build(value: Column, steps: list, prefix: str) -> Column:
         if not steps:
-            return held(prefix, value)
+            return held(path, value)
         first, rest = steps[0], steps[1:]
         if first is APPEND:
             raise PathError("EINVALIDSYNTAX", "an empty index only sets")
         if isinstance(first, int):
-            return build(F.try_variant_get(value, f"$[{first}]", "variant"), rest, f"{prefix}[{first}]")
-        here = f"{prefix}.{first}" if prefix else first
+            return build(F.try_variant_get(value, f"$[{first}]", "variant"), rest, f"{prefix}{first}")
+        here = prefix + first
         items = F.try_variant_get(value, "$", "array<variant>")
         pairs = F.transform(items, lambda v, i: F.struct(F.concat(F.lit(prefix + "["), i.cast("string"), F.lit(f"].{first}")).alias("k"), F.try_variant_get(v, _quoted(first), "variant").alias("v")))
         fanned = F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull()))
@@ -248,3 +249,38 @@ def field_paths(rows: DataFrame, key: str, document: str) -> DataFrame:
     if not parts:
         return level.select("key", "path")
     return rows.sparkSession.read.schema(level.schema).parquet(*parts).select("key", "path")
+
+
+def assignments(args: list[str], as_json: bool = False) -> list[tuple[str, object]]:
+    """(path, value) of arguments `path=value`; as_json reads values as JSON.
+    An argument without = is refused."""
+    out = []
+    for arg in args:
+        path, eq, value = arg.partition("=")
+        if not eq or not path:
+            raise PathError("EUSAGE", f"{arg!r} is no path=value")
+        out.append((path, json.loads(value) if as_json else value))
+    return out
+
+
+def set_arguments(document: Column, args: list[str], as_json: bool = False, force: bool = False) -> Column:
+    """A variant with all of the arguments `path=value` set, in their order."""
+    for path, value in assignments(args, as_json):
+        document = set_variant(document, path, F.parse_json(F.lit(json.dumps(value))), force)
+    return document
+
+
+def fixed(manifest: Column) -> Column:
+    """A manifest (variant) as it is written after repair: names and versions
+    trimmed, `v` and `=` before a version left out, a `bin` of one text under
+    the package's name, dependency lists that are no objects left out."""
+    m = F.try_variant_get(manifest, "$", _MAP)
+    text_at = lambda k: F.trim(F.try_variant_get(manifest, f"$.{k}", "string"))
+    said = lambda c: F.variant_get(F.to_variant_object(F.array(c)), "$[0]", "variant")
+    is_text = lambda k: F.schema_of_variant(F.try_variant_get(manifest, f"$.{k}", "variant")) == "STRING"
+    base = F.regexp_extract(text_at("name"), "([^/]+)$", 1)
+    new = {"name": F.when(is_text("name"), said(text_at("name"))), "version": F.when(is_text("version"), said(F.regexp_replace(text_at("version"), r"^[v=\s]+", ""))), "bin": F.when(is_text("bin") & (base != ""), F.to_variant_object(F.create_map(base, text_at("bin"))))}
+    lists = ("dependencies", "devDependencies", "optionalDependencies", "peerDependencies")
+    bad = F.array_compact(F.array(*[F.when(F.map_contains_key(m, F.lit(k)) & F.try_variant_get(manifest, f"$.{k}", _MAP).isNull(), F.lit(k)) for k in lists]))
+    put = F.map_filter(F.create_map(*[x for k, v in new.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
+    return F.to_variant_object(F.map_concat(F.map_filter(m, lambda k, _: ~F.array_contains(bad, k) & ~F.map_contains_key(put, k)), put))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphweft.functions import semver, text
+from graphweft.operators import jsonpath
 from graphweft.operators.closure import closure, reached
 from graphweft.operators.graph import Graph
 from graphweft.plans.compiler import Compiler, package_id
@@ -307,6 +308,14 @@ def tree_diff(actual: DataFrame, ideal: DataFrame) -> DataFrame:
     return rows.join(hidden, "location", "left_anti")
 
 
+def install_counts(diff: DataFrame, nodes: DataFrame, funded: int | None = None, vulnerable: int | None = None) -> DataFrame:
+    """One row, as an installation ends: added, removed, changed, audited (all
+    but the root, links and workspaces), funding, vulnerabilities."""
+    own = nodes.agg(F.count_if(~F.col("is_root") & ~F.col("is_link") & ~F.col("is_workspace")).alias("audited"))
+    told = diff.agg(*[F.count_if(F.col("action") == a).alias(n) for a, n in (("ADD", "added"), ("REMOVE", "removed"), ("CHANGE", "changed"))])
+    return told.join(own, how="inner").select("*", F.lit(funded).cast("long").alias("funding"), F.lit(vulnerable).cast("long").alias("vulnerabilities"))  # a row and a row
+
+
 def install_summary(diff: DataFrame) -> DataFrame:
     return diff.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("location")).alias("locations"))
 
@@ -461,6 +470,13 @@ def chosen_patch(nodes: DataFrame, selectors: DataFrame) -> DataFrame:
     return rows.groupBy("location").agg(F.min(F.when(F.col("good"), F.col("selector"))).alias("selector"), (F.count_if("good") != 1).alias("ambiguous"))
 
 
+def unused_selectors(nodes: DataFrame, selectors: DataFrame) -> DataFrame:
+    """Selectors (selector, name, range) that meet no node."""
+    terms = semver.range_terms(selectors.select(F.col("range").alias("spec"))).withColumnRenamed("spec", "range")
+    met = nodes.select("name", semver.sv(F.col("version")).alias("_v")).join(selectors.join(terms, "range", "left"), "name").where(F.col("range").isNull() | semver.sv_satisfies(F.col("_v"), F.col("terms")))
+    return selectors.join(met.select("selector").distinct(), "selector", "left_anti").select("selector")
+
+
 def engine_check(nodes: DataFrame, runtime: str) -> DataFrame:
     """(location, name, wants): nodes whose engines.node range the runtime doesn't satisfy."""
     wants = F.try_variant_get("package", "$.engines.node", "string")
@@ -501,6 +517,14 @@ def view_versions(versions: DataFrame, name: str, range_: str) -> DataFrame:
     return versions.where((F.col("name") == name) & semver.in_range(semver.sv(F.col("version")), range_))
 
 
+def view_fields(versions: DataFrame, name: str, range_: str, fields: list[str]) -> DataFrame:
+    """(version, fields): of each version of a package in a literal range, what
+    its manifest (a variant) has at the paths, as a map of paths to values;
+    oldest first. versions: name, version, manifest."""
+    found = view_versions(versions, name, range_).withColumn("_v", semver.sv(F.col("version"))).orderBy("_v")
+    return found.select("version", jsonpath.get_many(F.col("manifest"), fields).alias("fields"))
+
+
 def tag_line() -> Column:
     """`tag: version`, as tags are listed."""
     return F.concat("tag", F.lit(": "), "version")

@@ -171,9 +171,33 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     return files.select(at.alias("location"), F.parse_json("value").alias("package"), F.col("_metadata.file_modification_time").alias("modified")).withColumn("name", F.try_variant_get("package", "$.name", "string")).withColumn("version", F.coalesce(F.try_variant_get("package", "$.version", "string"), F.lit("")))
 
 
-def snapshot_valid(manifests: DataFrame, lock_time) -> bool:
-    """Whether a cached scan holds: no manifest is newer than it."""
-    return manifests.where(F.col("modified") > F.lit(lock_time)).isEmpty()
+def snapshot_breaches(manifests: DataFrame, locked: DataFrame, lock_time) -> DataFrame:
+    """(location, breach): why a cached scan no longer holds: a manifest that is
+    newer than it, one that it doesn't have, or one that it has and that is gone.
+    manifests: location, modified; locked: location. Links count as there."""
+    known = locked.where("location <> ''").select("location", *(["is_link"] if "is_link" in locked.columns else [F.lit(False).alias("is_link")])).withColumn("_locked", F.lit(True))
+    rows = manifests.where("location <> ''").select("location", "modified").join(known, "location", "full_outer")
+    breach = F.when(F.col("_locked").isNull(), "not in the lockfile").when(F.col("modified") > F.lit(lock_time), "newer than the lockfile").when(F.col("modified").isNull() & ~F.col("is_link"), "not there")
+    return rows.select("location", breach.alias("breach")).where("breach is not null")
+
+
+def snapshot_valid(manifests: DataFrame, lock_time, locked: DataFrame | None = None) -> bool:
+    """Whether a cached scan holds: no manifest is newer than it and, where its
+    locations are given, both have the same ones."""
+    if locked is None:
+        return manifests.where(F.col("modified") > F.lit(lock_time)).isEmpty()
+    return snapshot_breaches(manifests, locked, lock_time).isEmpty()
+
+
+ADVISORY = "id string, url string, title string, severity string, vulnerable_versions string, cwe array<string>, cvss struct<score:double,vectorString:string>"
+
+
+def read_advisories(spark: SparkSession, path: str) -> DataFrame:
+    """(name, id, url, title, severity, vulnerable_versions, cwe, score) of bulk
+    answers, each an object of lists of advisories by package name. The same
+    advisory in several answers is one row."""
+    lists = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,array<struct<{ADVISORY.replace(' string', ':string').replace(' array', ':array').replace(' struct', ':struct')}>>>")).alias("name", "all"))
+    return lists.select("name", F.explode("all").alias("a")).select("name", "a.id", "a.url", "a.title", "a.severity", "a.vulnerable_versions", F.coalesce("a.cwe", F.array().cast("array<string>")).alias("cwe"), F.col("a.cvss.score").alias("score")).distinct()
 
 
 def read_archives(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphweft.functions import text
-from graphweft.operators import diffs, extensions, graph, reports, resolve
+from graphweft.operators import diffs, extensions, graph, jsonpath, reports, resolve
 from graphweft.operators.graph import Graph, complete
+from graphweft.sources import lockfile
 
 
 @pytest.mark.parametrize(
@@ -124,3 +125,67 @@ def test_explanations_leave_out_what_isnt_valid(spark):
     edges = spark.createDataFrame([("", "a", "a", "prod", "^2", "INVALID"), ("a", "c", "c", "prod", "*", None), ("b", "c", "c", "prod", "^9", "INVALID"), ("c", "a", "a", "prod", "*", None)], "src string, name string, dst string, type string, spec string, error string")
     got = {(r["location"], r["dependent"], r["error"], r["bundled"], r["depth"]) for r in reports.explain_dependents(Graph(nodes, edges), nodes.where("name = 'c'")).collect()}
     assert got == {("c", "a", None, False, 0), ("a", "", "INVALID", True, 1), ("a", "c", None, False, 1), ("", None, None, False, 2)}
+
+
+def test_cached_scans(spark):
+    at = lambda s: __import__("datetime").datetime(2026, 1, 1, 0, 0, s)
+    manifests = spark.createDataFrame([("", at(59)), ("a", at(1)), ("b", at(30)), ("new", at(1))], "location string, modified timestamp")
+    locked = spark.createDataFrame([("", False), ("a", False), ("b", False), ("gone", False), ("link", True)], "location string, is_link boolean")
+    got = {(r["location"], r["breach"]) for r in lockfile.snapshot_breaches(manifests, locked, at(10)).collect()}
+    assert got == {("b", "newer than the lockfile"), ("new", "not in the lockfile"), ("gone", "not there")}
+    assert lockfile.snapshot_valid(manifests.where("location = 'a'"), at(10), locked.where("location in ('', 'a', 'link')")) and not lockfile.snapshot_valid(manifests, at(10), locked)
+
+
+def test_bulk_advisories(spark, tmp_path):
+    one = {"id": 7, "url": "u", "title": "t", "severity": "high", "vulnerable_versions": "<2", "cwe": ["CWE-1"], "cvss": {"score": 7.5, "vectorString": None}}
+    (tmp_path / "a.json").write_text(json.dumps({"x": [one, {**one, "id": 8, "cwe": None, "cvss": None}], "y": []}))
+    (tmp_path / "b.json").write_text(json.dumps({"x": [one]}))
+    got = {(r["name"], r["id"], r["severity"], r["vulnerable_versions"], tuple(r["cwe"]), r["score"]) for r in lockfile.read_advisories(spark, str(tmp_path)).collect()}
+    assert got == {("x", "7", "high", "<2", ("CWE-1",), 7.5), ("x", "8", "high", "<2", (), None)}
+
+
+def test_missing_edges_are_looked_for_above_the_tree(spark):
+    edges = spark.createDataFrame([("", "a", None, "MISSING"), ("x", "b", None, "MISSING"), ("", "c", None, "MISSING"), ("", "d", "d", None)], "src string, name string, dst string, error string")
+    folders = spark.createDataFrame([("/node_modules/a",), ("/srv/node_modules/a",), ("/node_modules/b",), ("/srv/app/node_modules/c",)], "path string")
+    got = {(r["src"], r["name"], r["path"]) for r in graph.edges_found_outside(edges, folders, "/srv/app").collect()}
+    assert got == {("", "a", "/srv/node_modules/a"), ("x", "b", "/node_modules/b")}
+
+
+def test_what_can_be_deduped(spark):
+    rows = [("", "top", "1.0.0", False), ("node_modules/a", "a", "1.2.0", False), ("node_modules/p", "p", "1.0.0", False)]
+    cases = {"none": ("1.0.0", None), "same": ("1.2.0", "*"), "newer": ("1.1.0", "^1"), "held": ("1.1.0", "~1.1.0"), "older": ("1.3.0", "^1"), "over": ("1.1.0", "^1"), "alone": ("1.0.0", "^1")}
+    edges = [("", "a", "node_modules/a", "^1")]
+    for k, (version, spec) in cases.items():
+        name = "b" if k == "alone" else "a"
+        at = f"node_modules/p/node_modules/{k}/node_modules/{name}"
+        rows += [(f"node_modules/p/node_modules/{k}", k, "1.0.0", False), (at, name, version, k == "over")]
+        edges += [("node_modules/p", k, f"node_modules/p/node_modules/{k}", "*"), *([(f"node_modules/p/node_modules/{k}", name, at, spec)] if spec else [])]
+    nodes = complete(spark.createDataFrame(rows, "location string, name string, version string, overridden boolean"))
+    e = spark.createDataFrame(edges, "src string, name string, dst string, spec string")
+    told = lambda **o: {r["location"].split("/")[3]: r["verdict"] for r in graph.can_dedupe(nodes, e, **o).where("location rlike '/[ab]$'").collect()}
+    assert told() == {"none": "unwanted", "same": "same", "newer": "newer", "held": None, "older": None, "over": None, "alone": None}
+    assert told(prefer=True) == told() | {"older": "preferred", "over": "preferred", "newer": "preferred"}
+
+
+def test_views_and_selectors_that_meet_nothing(spark):
+    v = spark.createDataFrame([("a", "2.0.0", '{"dist":{"size":2},"list":[{"k":1},{"k":2}]}'), ("a", "1.10.0", '{"dist":{"size":1}}'), ("a", "3.0.0", "{}"), ("b", "1.0.0", "{}")], "name string, version string, m string").withColumn("manifest", F.parse_json("m"))
+    got = [(r["version"], json.loads(r["f"])) for r in reports.view_fields(v, "a", "<3", ["dist.size", "list.k"]).select("version", F.to_json("fields").alias("f")).collect()]
+    assert got == [("1.10.0", {"dist.size": 1}), ("2.0.0", {"dist.size": 2, "list[0].k": 1, "list[1].k": 2})]
+    s = spark.createDataFrame([("a@1", "a", "1"), ("a@9", "a", "9"), ("c", "c", None), ("b", "b", None)], "selector string, name string, range string")
+    assert {r["selector"] for r in reports.unused_selectors(v, s).collect()} == {"a@9", "c"}
+
+
+def test_install_counts(spark):
+    nodes = complete(spark.createDataFrame([("", True, False), ("a", False, False), ("w", False, True)], "location string, is_root boolean, is_workspace boolean").withColumn("name", F.col("location")))
+    diff = spark.createDataFrame([("a", "ADD"), ("b", "ADD"), ("c", "REMOVE")], "location string, action string")
+    assert tuple(reports.install_counts(diff, nodes, funded=3).first()) == (2, 1, 0, 1, 3, None)
+
+
+def test_manifest_commands(spark):
+    one = lambda c: json.loads(spark.range(1).select(F.to_json(c)).first()[0])
+    doc = F.parse_json(F.lit('{"name": " @s/a ", "version": "v1.0.0", "bin": "./x.js", "dependencies": ["no"], "devDependencies": {"d": "1"}, "k": 1}'))
+    assert one(jsonpath.fixed(doc)) == {"name": "@s/a", "version": "1.0.0", "bin": {"a": "./x.js"}, "devDependencies": {"d": "1"}, "k": 1}
+    assert one(jsonpath.set_arguments(doc, ["k=2", "x.y=z=1"]))["x"] == {"y": "z=1"} and one(jsonpath.set_arguments(doc, ["l[]=[1]"], as_json=True))["l"] == [[1]]
+    assert one(jsonpath.get(F.parse_json(F.lit('{"a b": {"c": 1}}')), "[a b].c")) == {"[a b].c": 1}
+    with pytest.raises(jsonpath.PathError):
+        jsonpath.assignments(["nothing"])

@@ -98,7 +98,8 @@ def test_json_paths(spark):
     frame = spark.createDataFrame([(json.dumps(doc),)], "t string").withColumn("v", F.parse_json("t"))
     get = lambda p, **o: json.loads(frame.select(F.to_json(jsonpath.get(F.col("v"), p, **o))).first()[0])
     assert get("a.b[1].c") == {"a.b[1].c": 2} and get("list.k") == {"list[0].k": 1, "list[1].k": 2}
-    assert get("one") == {"one": "x"} and get("one", unwrap=False) == {"one": ["x"]} and get("none.x") == {} and get("[d.e].f") == {"d.e.f": 0}
+    assert get("one") == {"one": "x"} and get("one", unwrap=False) == {"one": ["x"]} and get("none.x") == {} and get("[d.e].f") == {"[d.e].f": 0}
+    assert frame.select(F.to_json(jsonpath.get(F.parse_json(F.lit('{"x": {"l": [{"k": 1}]}}')), "x.l.k"))).first()[0] == '{"xl[0].k":1}'
     assert jsonpath.set_value({}, "a.b[1]", 5) == {"a": {"b": [None, 5]}} and jsonpath.set_value({"a": [1]}, "a[]", 2) == {"a": [1, 2]}
     assert jsonpath.delete_value(doc, "list[0]")["list"] == [{"k": 2}] and jsonpath.delete_value({"a": {"b": 1}}, "a.b") == {"a": {}}
     for bad, code in (("__proto__.x", "EFORBIDDENKEY"), ("a[].b", "ENOAPPEND")):
