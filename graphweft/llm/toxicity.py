@@ -15,6 +15,7 @@ finds most so.
 from __future__ import annotations
 
 import functools
+import pickle
 import zlib
 from dataclasses import dataclass, field
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphweft.llm.common import batch_of, dropped, pick, stored
+from graphweft.llm.common import batch_of, pick, stored
 from graphweft.llm.tokens import slices
 
 WINDOW, STRIDE = 64, 48
@@ -392,28 +393,40 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLASS, chars_a_class: int = CHARS_A_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on labelled documents, none of them held out: of each class those
-    with the smallest hashes of their doc_id, at most rows_a_class of them and
+def sample(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLASS, chars_a_class: int = CHARS_A_CLASS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, float]:
+    """(doc_id, toxic, text) to learn from, and the share of toxic among all
+    labelled rows: of documents that aren't held out, of each class those with
+    the smallest hashes of their doc_id, at most rows_a_class of them and
     chars_a_class characters. A text that is long for that bound waits behind
     the others, so it can't keep them out, and the first of a class is always
     taken: a class that has labelled rows is learned from. An id labelled both
     ways counts as toxic; of rows that repeat an id the least text is taken."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).where(~held_out("doc_id"))
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
-    sample = None
+    wanted = None
     for toxic in (0, 1):
         part = known.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_a_class)
-        sample = part if sample is None else sample.union(part)
-    found = pick(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")  # rows_a_class ids of each class at most
+        wanted = part if wanted is None else wanted.union(part)
+    found = pick(docs, id_col, text_col).join(F.broadcast(wanted), "doc_id")  # rows_a_class ids of each class at most
     held = stored(found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")), "labelled")
     long = F.col("n") > chars_a_class // LONG_PART
     order = Window.partitionBy("toxic").orderBy(long, F.when(long, F.col("n")), F.xxhash64("doc_id"), "doc_id")
     sizes = held.select("doc_id", "toxic", F.length("text").alias("n")).withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     chosen = sizes.where((F.col("upto") <= chars_a_class) | (F.col("upto") == F.col("n")))
-    rows = held.join(F.broadcast(chosen.select("doc_id")), "doc_id").select("doc_id", "toxic", "text").collect()
-    dropped(held)
-    return train(sorted((r["doc_id"], r["toxic"], r["text"]) for r in rows), share)
+    return held.join(F.broadcast(chosen.select("doc_id")), "doc_id").select("doc_id", "toxic", "text"), share
+
+
+def _train(batches, share: float):
+    rows = [r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(sorted(rows), share))], pa.binary())], names=["model"])
+
+
+def learn(docs: DataFrame, labels: DataFrame, rows_a_class: int = ROWS_A_CLASS, chars_a_class: int = CHARS_A_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit on sample(), in one task: its rows and characters are bounded. The
+    driver gets the parameters only."""
+    rows, share = sample(docs, labels, rows_a_class, chars_a_class, id_col, text_col)
+    models = rows.repartition(1).mapInArrow(functools.partial(_train, share=share), "model binary").collect()
+    return pickle.loads(models[0]["model"]) if models else Model.new()
 
 
 def _score(batches, model: Model, threshold: float):

@@ -659,24 +659,20 @@ def test_gradients(monkeypatch):
         assert abs(g[k][at] - (ends[0] - ends[1]) / 2e-5) < 1e-5
 
 
-def test_learning_takes_one_row_an_id_and_whole_rows_up_to_a_bound(toxic_docs, monkeypatch):
+def test_learning_takes_one_row_an_id_and_whole_rows_up_to_a_bound(toxic_docs):
     docs, labels = toxic_docs
-    seen = []
-    monkeypatch.setattr(toxicity, "train", lambda rows, share: seen.append(rows))
-    toxicity.learn(docs.union(docs), labels.union(labels), rows_a_class=30)
-    toxicity.learn(docs, labels, chars_a_class=5000)
+    seen = [toxicity.sample(docs.union(docs), labels.union(labels), rows_a_class=30)[0].collect(), toxicity.sample(docs, labels, chars_a_class=5000)[0].collect()]
     assert len(seen[0]) == 60 == len({d for d, _, _ in seen[0]})
     for toxic in (0, 1):
         assert 3000 < sum(len(t) for _, x, t in seen[1] if x == toxic) <= 5000
 
 
-def test_learning_never_loses_a_class_to_a_long_text(spark, monkeypatch):
+def test_learning_never_loses_a_class_to_a_long_text(spark):
     seen = []
-    monkeypatch.setattr(toxicity, "train", lambda rows, share: seen.append(rows))
     ids = [d for d in range(400) if zlib.crc32(str(d).encode()) % 3 != 1][:200]
     for longs in (set(ids[:150]), set(ids)):  # most texts, then all, are over the bound
         docs = spark.createDataFrame([(d, "w " * (4000 if d in longs else 30)) for d in ids], "doc_id long, text string")
-        toxicity.learn(docs, spark.createDataFrame([(d, d % 2) for d in ids], "doc_id long, toxic int"), chars_a_class=5000)
+        seen.append(toxicity.sample(docs, spark.createDataFrame([(d, d % 2) for d in ids], "doc_id long, toxic int"), chars_a_class=5000)[0].collect())
     for toxic in (0, 1):
         short = [d for d in ids[150:] if d % 2 == toxic]
         assert {d for d, x, _ in seen[0] if x == toxic} == set(short)
