@@ -23,16 +23,20 @@ def help_search(docs: DataFrame, terms: list[str], top: int | None = 10, id_col:
     next; the scan goes on behind what was kept. Gaps become one null line.
     """
     has = lambda c: F.exists(F.array(*[F.lit(t.lower()) for t in terms]), lambda t: F.contains(F.lower(c), t))
+    once = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)  # noqa: E731  else a lambda would work it out for each element
+
+    def around(lines: Column) -> Column:
+        # one letter a line; the expression takes it from left to right as the rule says
+        marks = F.array_join(F.transform(lines, lambda x: F.when(has(x), "1").otherwise("0")), "")
+        taken = F.transform(F.regexp_extract_all(marks, F.lit("([01]1[01]?|1[01]?|0)"), F.lit(1)), lambda t: F.repeat(F.when(t.contains("1"), "k").otherwise("-"), F.length(t)))
+        told = F.split(F.array_join(taken, ""), "")
+        gap = F.array(F.lit(None).cast("string"))
+        piece = lambda keep, k, i: F.when((i > 0) & (F.get(keep, i - 1) < k - 1), F.concat(gap, F.array(F.get(lines, k)))).otherwise(F.array(F.get(lines, k)))
+        kept = lambda told: F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda k: F.get(told, k) == "k")
+        return once(once(told, kept), lambda keep: F.flatten(F.transform(keep, lambda k, i: piece(keep, k, i))))
+
     rows = docs.select(id_col, F.col(text_col).alias("_text")).where(has(F.col("_text")))
-    rows = rows.select(id_col, F.split("_text", "\n+").alias("_lines")).withColumn("_hit", F.transform("_lines", has))
-    # one letter a line; the expression takes it from left to right as the rule says
-    marks = F.array_join(F.transform("_hit", lambda h: F.when(h, "1").otherwise("0")), "")
-    taken = F.transform(F.regexp_extract_all(marks, F.lit("([01]1[01]?|1[01]?|0)"), F.lit(1)), lambda t: F.regexp_replace(t, "[01]", F.when(t.contains("1"), "k").otherwise("-")))
-    rows = rows.withColumn("_kept", F.split(F.array_join(taken, ""), ""))
-    rows = rows.withColumn("_keep", F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda k: F.get(F.col("_kept"), k) == "k"))
-    gap = F.array(F.lit(None).cast("string"))
-    pieces = F.transform(F.col("_keep"), lambda k, i: F.when((i > 0) & (F.get(F.col("_keep"), i - 1) < k - 1), F.concat(gap, F.array(F.get(F.col("_lines"), k)))).otherwise(F.array(F.get(F.col("_lines"), k))))
-    rows = rows.select(id_col, F.flatten(pieces).alias("lines"))
+    rows = rows.select(id_col, once(F.split("_text", "\n+"), around).alias("lines"))
     counts = [F.aggregate("lines", F.lit(0).cast("long"), _adder(t)) for t in terms]
     rows = rows.withColumn("_counts", F.array(*counts))
     rows = rows.select(id_col, "lines", F.size(F.filter("_counts", lambda c: c > 0)).alias("found"), F.aggregate("_counts", F.lit(0).cast("long"), lambda a, c: a + c).alias("hits"))
