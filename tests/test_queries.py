@@ -58,8 +58,9 @@ def test_reports_take_every_node(spark):
     for src, dst in g.edges.where("dst is not null").select("src", "dst").collect():
         into.setdefault(dst, set()).add(src)
         out.setdefault(src, set()).add(dst)
-    got = [tuple(r) for r in queries.QUERIES["query_report"](spark, SF).collect()]
-    assert sorted(got) == sorted((at, name, version, len(into.get(at, ())), ",".join(sorted(out.get(at, ())))) for at, name, version in nodes)
+    got = [tuple(r) for r in queries.QUERIES["query_report"](spark, SF).select("location", "name", "version", "n_from", "from", "to").collect()]
+    told = lambda side, at: ",".join(sorted(side.get(at, ())))
+    assert sorted(got) == sorted((at, name, version, len(into.get(at, ())), told(into, at), told(out, at)) for at, name, version in nodes)
     newest = {}
     for _, name, version in nodes:
         newest[name] = max(newest.get(name, (0, 0, 0)), tuple(map(int, version.split("."))))
