@@ -6,6 +6,7 @@ import re
 import pytest
 
 from graphweft import graph_queries, queries  # noqa: F401
+from graphweft.operators import closure as C
 from graphweft.operators import graph as G
 from graphweft.sources import star
 
@@ -51,3 +52,29 @@ def test_flags_over_a_cycle_and_a_link(spark):
         "": (False, False, False, False, False), "a": (False, False, False, False, True), "b": (False, False, False, False, True), "c": (False, False, False, True, True),
         "l": (False, False, False, True, True), "t": (False, False, False, True, True), "x": (True, False, True, True, False),
     }
+
+
+def test_a_round_of_a_closure_shuffles_only_what_it_leads_to(spark, monkeypatch):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "y"), ("d", None)], "src string, dst string")
+    seen, own = [], C.dealt
+
+    def told(df, name, *keys, **more):
+        seen.append((name, plan(df)))
+        return own(df, name, *keys, **more)
+
+    monkeypatch.setattr(C, "dealt", told)
+    start = spark.createDataFrame([("a",)], "location string")
+    assert sorted(map(tuple, C.closure(edges, start).collect())) == [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
+    rounds = [text for name, text in seen if name == "found"][1:]
+    assert len(rounds) == 4
+    for text in rounds:
+        assert text.count("Exchange") == 1 and text.count("Bucketed: true") == 3 and "Broadcast" not in text and "LeftAnti" not in text
+    seeds = spark.createDataFrame([("1", "a"), ("2", "x"), ("3", "d")], "seed string, location string")
+    assert sorted(map(tuple, C.closure(edges, seeds, 1).collect())) == [("1", "a", 0), ("1", "b", 1), ("2", "x", 0), ("2", "y", 1), ("3", "d", 0)]
+
+
+def test_a_closed_set_broadcasts_nothing(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("x", "c"), ("c", "d"), ("b", "e"), ("x", "a")], "src string, dst string")
+    got = G.closed_set(edges, spark.createDataFrame([("a",)], "location string"))
+    assert "BroadcastHashJoin" not in plan(got)
+    assert sorted(r.location for r in got.collect()) == ["a", "b", "e"]
