@@ -102,7 +102,8 @@ def roots(fps: np.ndarray, bits: int) -> np.ndarray:
         linked[lo + at[near], other[near]] = True
     label = np.arange(n)
     while True:
-        new = np.where(linked, label[None, :], n).min(axis=1)
+        # a few rows at a time: labels of all pairs at once take eight bytes each, 134 MB in the longest posting
+        new = np.concatenate([np.where(linked[lo : lo + 256], label[None, :], n).min(axis=1) for lo in range(0, n, 256)])
         new = np.minimum(new, label)
         new = new[new]
         if (new == label).all():

@@ -717,3 +717,14 @@ def test_windows_cover_every_word():
         cuts = toxicity.cut_windows(n)
         assert {k for a, z in cuts for k in range(a, z)} == set(range(n))
         assert all(z - a <= toxicity.WINDOW for a, z in cuts)
+
+
+def test_a_long_posting_is_labelled_a_few_rows_at_a_time():
+    import tracemalloc
+
+    close = [sum(1 << p for p in at) for at in itertools.combinations(range(64), 3)][: simhash.LONG_POSTING]
+    tracemalloc.start()
+    found = simhash.roots(np.array(close, np.uint64), 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(found.tolist()) == {0} and peak < 100e6
