@@ -7,6 +7,7 @@ import pytest
 
 from graphweft import graph_queries, queries  # noqa: F401
 from graphweft.operators import closure as C
+from graphweft.operators import fixpoints
 from graphweft.operators import graph as G
 from graphweft.sources import star
 
@@ -78,3 +79,15 @@ def test_a_closed_set_broadcasts_nothing(spark):
     got = G.closed_set(edges, spark.createDataFrame([("a",)], "location string"))
     assert "BroadcastHashJoin" not in plan(got)
     assert sorted(r.location for r in got.collect()) == ["a", "b", "e"]
+
+
+def test_override_states_sends_no_edge_without_a_reference_to_one_task(spark):
+    nodes = G.complete(spark.createDataFrame([(x, x or "root", "1.0.0") for x in ("", "a", "b", "c")], "location string, name string, version string"))
+    edges = spark.createDataFrame([("", "a", "prod", "a", "*"), ("a", "b", "prod", "b", "^1.0.0"), ("b", "a", "prod", "a", "*"), ("b", "c", "prod", "c", "*"), ("c", "x", "prod", None, "*")], "src string, name string, type string, dst string, spec string")
+    told = lambda rules: fixpoints.override_states(nodes, edges, rules)
+    plain = told({"a": {"c": "2.0.0"}})
+    assert "[_ref#" not in plan(plain) and plan(plain).count("Bucketed: true") > 1
+    assert {(r.src, r.name): (r.rule, r.spec, r.error) for r in plain.collect()} == {
+        ("", "a"): (1, "*", None), ("a", "b"): (1, "^1.0.0", None), ("b", "a"): (1, "*", None), ("b", "c"): (2, "2.0.0", "INVALID"), ("c", "x"): (2, "*", "MISSING"),
+    }
+    assert {(r.src, r.name): r.spec for r in told({"b": "$a"}).collect()}["a", "b"] == "*"
