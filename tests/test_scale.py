@@ -7,7 +7,7 @@ import pytest
 
 from graphweft import graph_queries, queries  # noqa: F401
 from graphweft.operators import closure as C
-from graphweft.operators import fixpoints
+from graphweft.operators import fixpoints, trees
 from graphweft.operators import graph as G
 from graphweft.sources import star
 
@@ -91,3 +91,19 @@ def test_override_states_sends_no_edge_without_a_reference_to_one_task(spark):
         ("", "a"): (1, "*", None), ("a", "b"): (1, "^1.0.0", None), ("b", "a"): (1, "*", None), ("b", "c"): (2, "2.0.0", "INVALID"), ("c", "x"): (2, "*", "MISSING"),
     }
     assert {(r.src, r.name): r.spec for r in told({"b": "$a"}).collect()}["a", "b"] == "*"
+
+
+def test_a_listing_carries_places_not_texts_and_shuffles_no_listed_edge(spark, monkeypatch):
+    own, seen = trees.stored, []
+
+    def told(df, name):
+        seen.append((name, df.schema, plan(df)))
+        return own(df, name)
+
+    monkeypatch.setattr(trees, "stored", told)
+    nodes = G.complete(spark.createDataFrame([(x, x or "root", "1.0.0") for x in ("", "a", "b")], "location string, name string, version string"))
+    edges = spark.createDataFrame([("", "a", "prod", "a", "*", None), ("", "b", "prod", "b", "*", None), ("b", "a", "prod", "a", "*", None), ("b", "aa", "prod", None, "1", "MISSING"), ("b", "x", "prod", "x", "*", None)], "src string, name string, type string, dst string, spec string, error string")
+    rows = trees.ls_tree(G.Graph(nodes, edges), None).orderBy("n").collect()
+    assert [r.label for r in rows] == ["root@1.0.0", "a@1.0.0", "b@1.0.0", "a@1.0.0 deduped", "UNMET DEPENDENCY aa@1", "x@*"]
+    rounds = [(schema, text) for name, schema, text in seen if name == "shown"][1:]
+    assert rounds and all("_k" in schema["path"].dataType.elementType.names and "Bucketed: true" in text for schema, text in rounds)
