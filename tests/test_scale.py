@@ -1,9 +1,11 @@
 """What must not depend on how large a table seems to be: no table that grows
 with the graph is broadcast, and lines and flags stay narrow."""
 
+import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphweft import graph_queries, queries  # noqa: F401
 from graphweft.operators import closure as C
@@ -107,3 +109,31 @@ def test_a_listing_carries_places_not_texts_and_shuffles_no_listed_edge(spark, m
     assert [r.label for r in rows] == ["root@1.0.0", "a@1.0.0", "b@1.0.0", "a@1.0.0 deduped", "UNMET DEPENDENCY aa@1", "x@*"]
     rounds = [(schema, text) for name, schema, text in seen if name == "shown"][1:]
     assert rounds and all("_k" in schema["path"].dataType.elementType.names and "Bucketed: true" in text for schema, text in rounds)
+
+
+def test_content_keys_look_for_components_only_below_a_cycle(spark, monkeypatch):
+    """The star graph's cycles are nations and their regions: no order is searched for one."""
+    sizes, own = [], fixpoints.strong_components
+
+    def counted(nodes, edges):
+        sizes.append((nodes.count(), edges.count()))
+        return own(nodes, edges)
+
+    monkeypatch.setattr(fixpoints, "strong_components", counted)
+    assert queries.QUERIES["store_keys"](spark, SF).count() == star.star_graph(spark, SF).nodes.count()
+    assert sizes == [(30, 50)]
+
+
+def test_content_keys_without_a_cycle_and_with_a_step_to_itself(spark):
+    """Keys of a plain graph are those of its formula; ends that are no nodes and repeated edges don't count."""
+    nodes = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C"), ("d", "C")], "location string, id string")
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "c"), ("a", "d"), ("b", "b"), ("b", "c"), ("c", "gone"), ("d", None)], "src string, dst string")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+
+    def keyed(own, among, below):
+        return f"{own}-{sha(sha('|'.join((own, among, ','.join(sorted(own + '>' + k for k in below))))) + '|' + own)[:32]}"
+
+    c = keyed("C", "", [])
+    b = keyed("B", "B>B", [c])
+    want = {"a": keyed("A", "", {b, c}), "b": b, "c": c, "d": c}
+    assert {r.location: r.key for r in fixpoints.content_keys(nodes, edges, F.col("id")).collect()} == want
