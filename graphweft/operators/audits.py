@@ -9,7 +9,7 @@ from graphweft.functions import semver, text
 from graphweft.operators.fixpoints import least_along
 from graphweft.operators.graph import Graph
 from graphweft.operators.ordering import numbered
-from graphweft.operators.reports import severity_rank
+from graphweft.operators.reports import let_in, severity_rank
 from graphweft.storage import stored
 
 
@@ -34,16 +34,18 @@ def fixes(graph: Graph, audited: DataFrame, tops: DataFrame) -> DataFrame:
     good version within a caret of the highest that the range lets in; else
     MAJOR, to the highest good version; else, and for anything but ranges of a
     registry, NONE. tops: location."""
-    asked = graph.resolved.join(tops.select(F.col("location").alias("src")), "src", "left_semi").select("name", "spec").distinct().join(audited.select("name").distinct(), "name", "left_semi")
+    # written, so that no condition on its specs is tested on each edge instead
+    asked = stored(graph.resolved.join(tops.select(F.col("location").alias("src")), "src", "left_semi").select("name", "spec").distinct().join(audited.select("name").distinct(), "name", "left_semi"), "asked")
     ranged = asked.where(text.is_registry(text.spec_type(F.col("spec"))))
     # what is vulnerable: versions found so, and versions in an advisory's range
     ranges = graph.advisories.select("name", F.col("vulnerable_versions").alias("spec"))
-    v = graph.versions.select("name", "version").union(graph.nodes.select("name", "version")).distinct().withColumn("v", semver.sv(F.col("version"))).where("v is not null")
-    v = v.join(asked.select("name").distinct(), "name", "left_semi")
+    v = graph.versions.select("name", "version").union(graph.nodes.select("name", "version")).distinct().join(asked.select("name").distinct(), "name", "left_semi")
+    parsed = stored(v.select("version").distinct().withColumn("v", semver.sv(F.col("version"))).where("v is not null"), "parsed")
+    v = v.join(parsed, "version").select("name", "version", "v")
     told = v.join(ranges, "name").join(semver.range_terms(ranges.select("spec")), "spec").where(semver.sv_satisfies(F.col("v"), F.col("terms"), True)).select("name", "version")
     bad = told.union(audited.select("name", "version")).distinct().withColumn("bad", F.lit(True))
     judged = stored(v.join(bad, ["name", "version"], "left").select("name", "version", "v", F.col("bad").isNull().alias("good")), "judged")
-    inside = ranged.join(judged, "name").join(semver.range_terms(ranged.select("spec")), "spec", "left").withColumn("_in", F.coalesce(F.col("spec").isin("", "*") | semver.sv_satisfies(F.col("v"), F.col("terms")), F.lit(False)))
+    inside = let_in(ranged.join(judged, "name")).withColumn("_in", F.coalesce(F.col("spec").isin("", "*") | F.col("_in"), F.lit(False)))
     found = inside.groupBy("name", "spec").agg(
         F.bool_or(F.col("_in") & F.col("good")).alias("within"), F.max_by("version", F.when(F.col("_in"), F.col("v"))).alias("first"), F.max_by("version", F.when(F.col("good"), F.col("v"))).alias("far"),
     )
