@@ -159,3 +159,19 @@ def test_an_audit_tests_each_version_once_and_rounds_shuffle_few_rows_for_few_ra
 def test_let_in_keeps_every_row(spark):
     rows = spark.createDataFrame([("a", "1.2.3", "^1.0.0"), ("b", "1.2.3", "^1.0.0"), ("b", "2.0.0", "^1.0.0"), ("c", "1.2.3-pre", "^1.0.0"), ("d", "1.0.0", "file:x"), ("e", None, "*"), ("f", "no", "*"), ("g", "1.0.0", None)], "name string, version string, spec string")
     assert {(r.name, r.version): r._in for r in reports.let_in(rows).collect()} == {("a", "1.2.3"): True, ("b", "1.2.3"): True, ("b", "2.0.0"): False, ("c", "1.2.3-pre"): False, ("d", "1.0.0"): False, ("e", None): False, ("f", "no"): False, ("g", "1.0.0"): False}
+
+
+def test_claims_shuffle_no_step_in_a_round(spark, monkeypatch):
+    """Steps lie dealt out by where they start, whatever Spark may broadcast."""
+    plans, own = [], trees.stored
+
+    def kept(df, name):
+        plans.extend([plan(df)] if name == "claims" else [])
+        return own(df, name)
+
+    monkeypatch.setattr(trees, "stored", kept)
+    g = star.star_graph(spark, SF)
+    assert trees.fund_tree(g.nodes, g.edges, F.col("location").endswith("3")).count() > 0
+    rounds = plans[1:]
+    assert len(rounds) > 3
+    assert all("ShuffledHashJoin [src" in text and "Bucketed: true" in text and len(re.findall("Exchange hashpartitioning", text)) == 2 for text in rounds)
