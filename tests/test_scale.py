@@ -11,6 +11,7 @@ from graphweft import graph_queries, queries  # noqa: F401
 from graphweft.operators import closure as C
 from graphweft.operators import audits, fixpoints, reports, trees
 from graphweft.operators import graph as G
+from graphweft.plans.compiler import Compiler
 from graphweft.sources import star
 
 SF = "/root/testdata/sf0.001"
@@ -26,6 +27,24 @@ def test_locations_are_merged_not_broadcast(spark, name):
     assert not re.findall(r"BroadcastHashJoin \[(?:location#|name#\d+, version#|name#\d+\], \[name#\d+\], Inner, BuildLeft).*", text)
 
 
+def test_versions_of_a_name_are_not_paired(spark):
+    text = plan(queries.QUERIES["query_context"](spark, SF))
+    assert not re.search(r"Join.*\(_n#\d+ > _v#\d+\)", text)
+    # what is long meets the nodes by their packages, and isn't shuffled with them
+    assert not re.search(r"Join \[location#", text)
+
+
+def test_newer_versions_by_their_order(spark):
+    nodes = spark.sql("""select * from values ('', 'a', '1.0.0', true, '{}'), ('x', 'a', '1.0.0', false, '{}'), ('y', 'a', '2.0.0', false, '{}'), ('z', 'a', '1.9.0', false, '{"private": true}'),
+      ('u', 'a', 'odd', false, '{}'), ('v', 'a', null, false, '{}'), ('w', 'b', '1.0.0', false, '{}') as t(location, name, version, is_root, json)""").withColumn("package", F.parse_json("json")).drop("json")
+    versions = spark.sql("select *, timestamp'2020-01-01' as published_at from values ('a', '1.0.0'), ('a', '1.0.0+x'), ('a', '1.5.0-b'), ('a', '10.0.0'), ('a', '2.0.0'), ('a', '2.0.0'), ('a', 'odd'), ('c', '9.0.0') as t(name, version)")
+    advisories = spark.sql("select * from values ('a', 'A1', '<2.0.0'), ('a', 'A2', '1.0.0') as t(name, id, vulnerable_versions)")
+    g = G.Graph(nodes, None, "", "/", versions=versions, advisories=advisories)
+    assert {r.location: r.newer for r in Compiler(g).outdated().collect()} == {"x": ["10.0.0", "2.0.0", "1.5.0-b"], "y": ["10.0.0"]}
+    told = {r.location: (sorted(a["id"] for a in r.advisories or ()), r.versions) for r in reports.query_context(g, nodes).collect()}
+    assert told == {"": (["A1", "A2"], None), "x": (["A1", "A2"], ["10.0.0", "2.0.0", "1.5.0-b"]), "y": ([], ["10.0.0"]), "z": (["A1"], None), "u": ([], None), "v": ([], None), "w": ([], None)}
+
+
 def test_plain_conditions_need_no_join(spark):
     assert "Join" not in plan(queries.QUERIES["sel_attr_dash"](spark, SF))
 
