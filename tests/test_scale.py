@@ -194,3 +194,28 @@ def test_claims_shuffle_no_step_in_a_round(spark, monkeypatch):
     rounds = plans[1:]
     assert len(rounds) > 3
     assert all("ShuffledHashJoin [src" in text and "Bucketed: true" in text and len(re.findall("Exchange hashpartitioning", text)) == 2 for text in rounds)
+
+
+def test_peer_sets_fold_what_nothing_leads_to(spark, monkeypatch):
+    written = []
+
+    def noted(df, name, store=C.stored):
+        out = store(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(C, "stored", noted)
+    links = spark.sql("select concat('o', id) as src, concat('s', pmod(xxhash64(id, k), 50)) as dst, 'peer' as type from range(3000) cross join (select explode(sequence(1, 4)) as k)")
+    assert G.peer_sets(links).groupBy("peer_set").count().collect()[0]["count"] == 3050
+    names = [n for n, _ in written]
+    assert names.count("folded") == 1 and names.count("drawn") <= 4
+    assert all(n <= 50 for name, n in written if name not in ("folded", "links"))
+
+
+def test_long_chains_are_joined_in_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(C, "stored", lambda df, name, store=C.stored: (rounds.append(name), store(df, name))[1])
+    chain = spark.sql("select lpad(id, 5, '0') as src, lpad(id + 1, 5, '0') as dst from range(2000) union all select 'x', 'x' union all select 'z', 'y'")
+    got = {r.location: r.least for r in C.least_joined(chain).collect()}
+    assert got == {f"{k:05}": "00000" for k in range(2001)} | {"x": "x", "y": "y", "z": "y"}
+    assert rounds.count("drawn") <= 25
