@@ -219,3 +219,16 @@ def test_long_chains_are_joined_in_few_rounds(spark, monkeypatch):
     got = {r.location: r.least for r in C.least_joined(chain).collect()}
     assert got == {f"{k:05}": "00000" for k in range(2001)} | {"x": "x", "y": "y", "z": "y"}
     assert rounds.count("drawn") <= 25
+
+
+def test_edges_of_a_listing_wait_without_what_is_known_of_their_ends(spark, monkeypatch):
+    """And an end that is no node has its own place for each requirement."""
+    waiting = []
+    monkeypatch.setattr(trees, "dealt", lambda df, name, *keys, store=trees.dealt, **more: (waiting.append((name, df.columns)), store(df, name, *keys, **more))[1])
+    nodes = G.complete(spark.createDataFrame([(x, x or "root", "1.0.0") for x in ("", "a", "b")], "location string, name string, version string"))
+    edges = spark.createDataFrame([("", "a", "prod", "a", "*", None), ("", "b", "prod", "b", "2", "INVALID"), ("b", "x", "prod", "x", "*", None), ("a", "x", "prod", "x", "2", None), ("a", "x", "peer", "x", "1", None), ("b", "root", "peer", None, "1.0.0", "MISSING")], "src string, name string, type string, dst string, spec string, error string")
+    rows = trees.ls_tree(G.Graph(nodes, edges), None).orderBy("n").collect()
+    assert [("  " * r.level) + r.label for r in rows] == [
+        "root@1.0.0", "  a@1.0.0", "    x@1", "    x@2 deduped", '  b@1.0.0 invalid: "2" from the root project', "    UNMET DEPENDENCY root@1.0.0", "    x@* deduped",
+    ]
+    assert not {"pkgid", "matches", "_at", "is_workspace", "spec"} & set(dict(waiting)["listed"])
